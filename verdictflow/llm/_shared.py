@@ -40,10 +40,13 @@ def bucket(n: int, *cols: str | Column) -> Column:
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: list[str], spread: list[str], how: str = "left") -> DataFrame:
-    """Join rows to one-row-per-key `groups`; each key's rows are dealt over SALTS tasks by `spread`."""
+    """Join rows to one-row-per-key `groups`; each key's rows are dealt over SALTS tasks by `spread`.
+
+    The hint keeps Spark from broadcasting `groups` on the strength of an estimate.
+    """
     g = groups.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     r = rows.withColumn("_salt", bucket(SALTS, *spread))
-    return r.join(g, [*key, "_salt"], how).drop("_salt")
+    return r.join(g.hint("merge"), [*key, "_salt"], how).drop("_salt")
 
 
 def attach_bounded(rows: DataFrame, groups: DataFrame, key: list[str], spread: list[str], how: str = "left", limit: int = 50_000) -> DataFrame:

@@ -184,7 +184,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str
     known = nodes.where("rep is not null")
     found = components(links(known.select("fp", "rep"), radius, hot))
     # Only groups that change a row's component are joined back.
-    named = cut(nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n", "rep").where("n > 1 or component_id <> rep or rep is null").select("fp", "component_id"))
+    named = cut(nodes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n", "rep").where("n > 1 or component_id <> rep or rep is null").select("fp", "component_id"))
     out = attach(rows, named, ["fp"], ["doc_id"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
