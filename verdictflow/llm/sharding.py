@@ -25,13 +25,15 @@ from ._shared import cut
 RANGES_PER_SHARD = 256
 ROWS_PER_RANGE = 1_000_000
 DRAWS_PER_RANGE = 32
-ROWS_PER_NUMBERING = 100_000
 ROUNDS = 8
 
 
 @dataclass
 class ShardPlan:
-    """Splitters of the key space, and for each range: its shard and the parts in which it is numbered."""
+    """Splitters of the key space, and for each range: its shard and the parts in which it is numbered.
+
+    A part has about twice a range's mean rows at most, so the rows of a hot key are numbered by many tasks.
+    """
 
     splitters: np.ndarray
     shard: dict[int, int] = field(default_factory=dict)
@@ -95,7 +97,7 @@ def plan_shards(rows: DataFrame, shards: int) -> ShardPlan:
     for s in sorted(stats, key=lambda s: (-s["bytes"], s["range"])):
         load, shard = heapq.heappop(heap)
         plan.shard[s["range"]] = shard
-        plan.parts[s["range"]] = -(-s["n"] // ROWS_PER_NUMBERING)
+        plan.parts[s["range"]] = -(-s["n"] * len(stats) // (2 * total["n"]))
         heapq.heappush(heap, (load + s["bytes"], shard))
     return plan
 
