@@ -1,0 +1,116 @@
+"""Column expressions over verifier output, responses and sources."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from verdictflow.functions import findings as A
+from verdictflow.functions import prompts
+from verdictflow.functions import verifier as V
+from verdictflow.operators import jobs, lint
+from verdictflow.sources import analyzers, code, ground_truth
+
+
+def one(spark, column, **values):
+    return spark.range(1).select(column(*[F.lit(v) for v in values.values()])).first()[0]
+
+
+@pytest.mark.parametrize(("out", "code_", "want"), [("VERIFICATION FAILED", 1, "violation_found"), ("Verification Successful", 1, "no_violation_found"), ("av_violation.py", 0, "no_violation_found"), ("av_violation.py", 1, "inconclusive"), ("", 0, "no_violation_found"), ("", 1, "inconclusive"), ("ERROR: x", 0, "tool_error"), ("ERROR: x\nVERIFICATION FAILED", 0, "violation_found"), (None, None, "skipped")])
+def test_function_status(spark, out, code_, want):
+    assert one(spark, lambda o, c: V.function_status(o.cast("string"), c.cast("int")), o=out, c=code_) == want
+
+
+@pytest.mark.parametrize(("out", "want"), [("Generated 0 VCC(s)\nVERIFICATION SUCCESSFUL", "no_vcc_generated"), ("generated 12 VCCs\nVERIFICATION SUCCESSFUL", "no_violation_found"), ("ERROR: Cannot open file a", "unsupported_case"), ("ERROR: Not Supported", "unsupported_case"), ("ERROR: other", "tool_error"), ("Generated 0 VCC(s)\nVERIFICATION FAILED", "violation_found")])
+def test_module_status(spark, out, want):
+    assert one(spark, lambda o: V.module_status(o, F.lit(0)), o=out) == want
+
+
+def test_property_block(spark):
+    out = "State 1 file a.py line 3 function g thread 0\n x = 1 (0x1)\nl = 3\nx = 1 (0x9)\n" + "".join(f"v{i} = {i}\n" for i in range(9)) + "\nViolated property:\n  file a.py line 9 function f\n  assertion\n  x > 0\n  file b.py line 1 function late\n\nVERIFICATION FAILED\n"
+    p = one(spark, V.property_parts, o=out)
+    assert (p.kind, p.text, p.function, p.line) == ("assertion", "x > 0", "f", 9)
+    assert one(spark, V.counterexample, o=out) == ["x = 1", "v0 = 0", "v1 = 1", "v2 = 2", "v3 = 3", "v4 = 4"]
+    q = one(spark, V.property_parts, o=out.split("Violated")[0])
+    assert (q.kind, q.function, q.line) == (None, "g", 3)
+    bare = one(spark, V.property_parts, o="Violated property:\n  array bounds violated")
+    assert (bare.kind, bare.text) == ("array bounds violated", None)
+    assert one(spark, V.warnings, o="a SyntaxWarning: x\nSyntaxWarning: x\nb") == ["x"]
+
+
+@pytest.mark.parametrize(("text", "want"), [("Assertion of division by zero", "assertion_violation"), ("DIVISION BY ZERO", "division_by_zero"), ("bad divisor", "division_by_zero"), ("array out-of-bounds", "out_of_bounds"), ("dereference failure", "out_of_bounds"), ("IndexError", "out_of_bounds"), ("ZeroDivisionError", "division_by_zero"), ("leak", "unknown_esbmc_violation"), (None, "unknown_esbmc_violation")])
+def test_property_category(spark, text, want):
+    assert one(spark, lambda t: V.property_category(t.cast("string")), t=text) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [(' {"findings": []} ', '{"findings": []}'), ('<think>no\nyes</think>{"a": True}', '{"a": true}'), ('```json\n{"a": None, "b": "None"}\n```', '{"a": null, "b": "null"}'), ('```\n{"a": False}\n``` ', '{"a": false}'), ("Trueish", "Trueish")])
+def test_clean_json(spark, text, want):
+    assert one(spark, A.clean_json, t=text) == want
+
+
+def test_responses(spark):
+    found = one(spark, A.parse_response, t='```json\n{"findings": [{"id": "a", "verifiable": True, "evidence": ["x", "y"], "metadata": {"line": "7"}}]}\n``` ')
+    assert found[0].id == "a" and found[0].verifiable and found[0].metadata.line == "7"
+    assert one(spark, A.parse_response, t='{"findings": []} and more') == []
+    assert one(spark, A.parse_response, t="no json") is None
+    assert [one(spark, lambda t: A.evidence_list(t.cast("string")), t=x) for x in ('["x", "y"]', "plain", None, "[odd")] == [["x", "y"], ["plain"], [], ["[odd"]]
+    assert [one(spark, A.safe_int, t=x) for x in ("7", "", "x")] == [7, 0, 0]
+
+
+@pytest.mark.parametrize(("category", "expression", "guards", "want"), [("division_by_zero", "a // b", ["b != 0"], True), ("division_by_zero", "a / b", ["c"], False), ("division_by_zero", "a", ["a"], False), ("out_of_bounds", "m[i][j]", ["i][j < 3"], True), ("out_of_bounds", "m[i]", [], False), ("assertion_violation", "b", ["b"], False)])
+def test_guards(spark, category, expression, guards, want):
+    column = A.guard_covers(F.lit(category), F.lit(expression), F.array(*[F.lit(g) for g in guards]).cast("array<string>"))
+    assert spark.range(1).select(column).first()[0] is want
+
+
+@pytest.mark.parametrize(("row", "want"), [(("odd", True, True, True, True, True), "N1 out_of_scope_finding False"), (("assertion_violation", True, True, False, False, False), "N2 suspected_bug True"), (("assertion_violation", True, False, True, True, False), "N3 llm_false_positive False"), (("long_method", True, True, True, True, False), "N4 smell_heuristic False"), (("division_by_zero", True, False, True, True, True), "N5 llm_false_positive False"), (("division_by_zero", True, False, True, True, False), "N6 suspected_bug True"), (("division_by_zero", True, False, False, True, True), "N7 llm_false_positive False"), (("out_of_bounds", True, False, False, True, False), "N8 suspected_bug True"), (("out_of_bounds", True, True, False, False, False), "N9 llm_false_positive False"), (("out_of_bounds", False, True, True, True, True), "N10 given False")])
+def test_normal_form(spark, row, want):
+    c, *flags = row
+    got = spark.range(1).select(A.normal_form(F.lit("given"), F.lit(c), *[F.lit(f) for f in flags])).first()[0]
+    assert f"{got.rule} {got.finding_type} {got.verifiable}" == want
+
+
+def test_rollup_and_jobs(spark):
+    runs = spark.createDataFrame([("a", "f", 1, "no_violation_found"), ("a", "g", 0, "violation_found"), ("a", "e", 2, "violation_found"), ("b", "f", 0, "tool_error"), ("c", "f", 0, "skipped"), ("d", "f", 0, "tool_error"), ("d", "g", 1, "inconclusive")], "file string, function string, ord int, status string")
+    files = spark.createDataFrame([(x,) for x in "abcde"], "file string")
+    got = {r.file: (r.status, r.violating) for r in jobs.file_rollup(files, runs).collect()}
+    assert got == {"a": ("violation_found", ["g", "e"]), "b": ("tool_error", []), "c": ("skipped", []), "d": ("inconclusive", []), "e": ("skipped", [])}
+    plan = jobs.plan_jobs(runs.withColumn("verifiable", F.col("ord") == 0), runs.where("file = 'a'")).collect()
+    assert len(plan) == 6 and all(r.command[:2] == ["esbmc", "--function"] for r in plan)
+
+
+def test_units():
+    text = "class A:\n    def main(self, *a, k=1):\n        x: list[int] = a[0]\n        return x\n\nasync def f(p: int, /, q) -> int:\n    return p % q\n\ndef test_x():\n    def inner():\n        pass\n\ndef main():\n    pass\n"
+    rows = list(code.units_of(text))
+    assert [r[2] for r in rows] == ["A.main", "f"]
+    assert [o[1] for o in rows[0][8]] == ["a[0]"] and rows[1][6] == ["q"] and rows[1][7] == {"return": "int"}
+    assert list(code.units_of("def (")) == [] and code.facts_of("def (")[0] is False
+    assert code.normal_expression("assert a>0") == "a > 0" and code.normal_expression(" ") is None
+
+
+def test_prompts_keep_secrets(spark):
+    u = code.extract_units(spark.createDataFrame([("dir/secret.py", "def f(a):\n    assert a\n    if a > 1:\n        return a / 2\n"), ("bad.py", "def (")], "path string, text string"))
+    row = u.select(prompts.raw_prompt(F.col("name"), F.col("source")).alias("raw"), prompts.hints_prompt(F.col("path"), F.col("name"), F.col("source"), F.col("operations"), F.col("guards"), F.col("branch_count"), F.col("loop_count")).alias("hints"), prompts.assertion_lines(F.col("source")).alias("a")).collect()
+    assert len(row) == 1 and "secret" not in row[0].raw and "guards" not in row[0].raw and "secret" in row[0].hints and row[0].a[0].relative_line == 2
+
+
+def test_lint_rules(spark):
+    near = lambda line: one(spark, lambda t: lint.near_line(t, F.lit("A  /b"), F.lit(line)), t="x\ny\na / B\nz\nw")
+    assert [near(i) for i in (0, 1, 2, 3, 4, 5, 9)] == [False, False, True, True, True, False, False]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "p" / "__pycache__").mkdir(parents=True)
+    (tmp_path / "p" / "a.py").write_text("def f():\n    return 1\n")
+    (tmp_path / "p" / "__pycache__" / "b.py").write_text("x")
+    (tmp_path / "p" / "c.txt").write_text("x")
+    assert [r.path.rsplit("/", 1)[1] for r in code.read_sources(spark, str(tmp_path / "p")).collect()] == ["a.py"]
+    legacy = tmp_path / "legacy.json"
+    legacy.write_text('{"a.py": {"expected_findings": [{"function": "f", "category": "x", "line": 2}]}}')
+    assert [(r.file, r.function, r.line) for r in ground_truth.read_legacy(spark, str(legacy)).collect()] == [("a.py", "f", 2)]
+    rows = spark.createDataFrame([("a", 'say "x"', "out")], "file string, note string, stdout string")
+    ground_truth.write_annotations(rows, str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("*.csv")).read_text()
+    assert text == '"file","note","stdout"\n"a","say ""x""","out"\n'
+    ground_truth.write_direct_results(rows, str(tmp_path / "json"))
+    assert "stdout" not in next((tmp_path / "json").glob("*.json")).read_text()
+    with pytest.raises(ValueError):
+        analyzers.build_analyzer("other", rows)

@@ -1,0 +1 @@
+def broken(:

@@ -1,0 +1,30 @@
+import math
+
+
+def share(total: int, parts: int) -> int:
+    return total // parts
+
+
+def pick(rows: list[int], at: int) -> int:
+    if at < len(rows):
+        return rows[at]
+    return rows[0] / 2
+
+
+class Box:
+    def main(self, n: int) -> float:
+        def inner(k: int) -> int:
+            assert k > 0
+            return 10 % k
+
+        for i in range(n):
+            inner(i)
+        return math.sqrt(n)
+
+
+def main() -> None:
+    share(1, 2)
+
+
+def test_share() -> None:
+    assert share(4, 2) == 2

@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, findings, flagship, verifier
+from . import evaluation, findings, flagship, native, verifier
 
 
 class Query(NamedTuple):
@@ -17,6 +17,6 @@ class Query(NamedTuple):
 
 FLAGSHIP = "q_confusion_prf_mcc"
 QUERIES: dict[str, Query] = {}
-for _module in (flagship, evaluation, verifier, findings):
+for _module in (flagship, evaluation, verifier, findings, native):
     for _name, (_run, _sql) in _module.PLANS.items():
         QUERIES[_name] = Query(_run, _sql)

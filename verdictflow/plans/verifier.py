@@ -8,51 +8,48 @@ from ..functions import verifier as V
 from ..operators import jobs
 from . import fixtures as X
 
-OUT, RC = F.col("stdout"), F.col("returncode")
-
-
 def _runs(spark, d):
     return X.bound(spark, d, X.RUNS)
 
 
 def verifier_status(spark, d):
-    return _runs(spark, d).select("event_id", V.function_status(OUT, RC).alias("status"))
+    return _runs(spark, d).select("event_id", V.function_status(F.col("stdout"), F.col("returncode")).alias("status"))
 
 
 def direct_status(spark, d):
-    return _runs(spark, d).select("event_id", V.module_status(OUT, RC, F.col("event_id") % 50 == 0).alias("status"))
+    return _runs(spark, d).select("event_id", V.module_status(F.col("stdout"), F.col("returncode"), F.col("event_id") % 50 == 0).alias("status"))
 
 
 def vcc(spark, d):
-    return _runs(spark, d).select("event_id", V.vcc_count(OUT).cast("long").alias("vcc"))
+    return _runs(spark, d).select("event_id", V.vcc_count(F.col("stdout")).cast("long").alias("vcc"))
 
 
 def details_parse(spark, d):
-    return _runs(spark, d).select("event_id", V.property_parts(OUT).alias("p")).select("event_id", "p.kind", "p.text", "p.function", F.col("p.line").cast("long").alias("line"))
+    return _runs(spark, d).select("event_id", V.property_parts(F.col("stdout")).alias("p")).select("event_id", "p.kind", "p.text", "p.function", F.col("p.line").cast("long").alias("line"))
 
 
 def property_category(spark, d):
-    p = V.property_parts(OUT)
+    p = V.property_parts(F.col("stdout"))
     return _runs(spark, d).where("returncode = 0").select("event_id", V.property_category(F.concat_ws(" ", p["kind"], p["text"])).alias("category"))
 
 
 def category_match(spark, d):
-    p = V.property_parts(OUT)
+    p = V.property_parts(F.col("stdout"))
     rows = _runs(spark, d).select("event_id", V.matches_category(p["kind"], p["text"], F.lit("out_of_bounds")).alias("m"))
     return rows.groupBy("m").agg(F.count("*").alias("n"))
 
 
 def counterexample_top6(spark, d):
-    return _runs(spark, d).select("event_id", F.array_join(V.counterexample(OUT), ";").alias("values"), F.array_join(V.warnings(OUT), ";").alias("warnings"))
+    return _runs(spark, d).select("event_id", F.array_join(V.counterexample(F.col("stdout")), ";").alias("values"), F.array_join(V.warnings(F.col("stdout")), ";").alias("warnings"))
 
 
 def summaries(spark, d):
-    p = V.property_parts(OUT)
-    return _runs(spark, d).groupBy(V.summary(V.function_status(OUT, RC), p["kind"], p["text"]).alias("summary")).agg(F.count("*").alias("n"))
+    p = V.property_parts(F.col("stdout"))
+    return _runs(spark, d).groupBy(V.summary(V.function_status(F.col("stdout"), F.col("returncode")), p["kind"], p["text"]).alias("summary")).agg(F.count("*").alias("n"))
 
 
 def baseline_rollup(spark, d):
-    runs = _runs(spark, d).withColumn("status", V.function_status(OUT, RC)).where("event_id % 3 = 0")
+    runs = _runs(spark, d).withColumn("status", V.function_status(F.col("stdout"), F.col("returncode"))).where("event_id % 3 = 0")
     files = _runs(spark, d).select("file").distinct()
     return jobs.file_rollup(files, runs).select("file", "status", F.col("functions").cast("long").alias("functions"), F.array_join("violating", ",").alias("violating"))
 
@@ -71,11 +68,11 @@ def first_functions(spark, d):
 def replayed(spark, d):
     runs = _runs(spark, d).where("event_id % 4 = 0").groupBy("file", "function").agg(F.max("stdout").alias("stdout"), F.max("returncode").alias("returncode"))
     plan = _runs(spark, d).select("file", "function").distinct()
-    return jobs.replay(plan, runs).select("file", "function", V.function_status(OUT, RC).alias("status"))
+    return jobs.replay(plan, runs).select("file", "function", V.function_status(F.col("stdout"), F.col("returncode")).alias("status"))
 
 
 def sweep_tally(spark, d):
-    rows = _runs(spark, d).select(V.function_status(OUT, RC).alias("status"), V.keyword(OUT).alias("keyword"))
+    rows = _runs(spark, d).select(V.function_status(F.col("stdout"), F.col("returncode")).alias("status"), V.keyword(F.col("stdout")).alias("keyword"))
     return rows.groupBy("status", "keyword").agg(F.count("*").alias("n"))
 
 

@@ -15,7 +15,7 @@ FILE_FACTS = "ok boolean, imports array<string>, top_level_calls int, top_level_
 
 def read_sources(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, text) of all .py files, folders searched in depth, __pycache__ left out."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(list(paths))
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(list(paths), wholetext=True)
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("path"), F.col("value").alias("text")).where(~F.contains(path, F.lit("/__pycache__/")))
 

@@ -24,21 +24,21 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def read_legacy(spark: SparkSession, path: str) -> DataFrame:
     """The older layout: file name to expected findings."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", LEGACY).alias("m"))
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", LEGACY).alias("m"))
     per = rows.select(F.explode("m").alias("file", "x"))
     return per.select("file", F.explode("x.expected_findings").alias("e")).select("file", "e.*")
 
 
 def source_path(json_root, category, file):
     """Where an item's file lies: the tree of ground truths mirrors that of sources; clean has no folder of its own."""
-    root = F.regexp_replace(json_root, "/ground_truths/", "/ok/")
+    root = F.regexp_replace(json_root, "/ground_truths(?=/|$)", "/ok")
     inside = (category == "clean") | F.endswith(root, F.concat(F.lit("/"), category))
     return F.when(inside, F.concat_ws("/", root, file)).otherwise(F.concat_ws("/", root, category, file))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """(file, report): benchmark reports that have metrics, as JSON text."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "benchmark_*.json").text(path)
+    rows = spark.read.option("pathGlobFilter", "benchmark_*.json").text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     rows = rows.select(name.alias("file"), F.col("value").alias("report")).where(~F.contains(name, F.lit("manifest")))
     return rows.where(F.get_json_object("report", "$.metrics").isNotNull()).orderBy("file")
