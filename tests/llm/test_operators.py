@@ -108,12 +108,64 @@ def test_simhash_groups(docs, radius, hot):
     assert Counter((r.doc_id, r.component_id) for r in rows) == want
 
 
+def _jaccard(a, b):
+    cut = lambda t: {" ".join(w[i : i + 5]) for w in [(t or "").lower().split()] if w for i in range(max(1, len(w) - 4))}
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y) if x | y else 1
+
+
+def _near_groups(data):
+    """Smallest id of each id's group, by all pairs."""
+    data = [(i, t) for i, t in data if i is not None]
+    forest = simhash._Forest(len(data))
+    for a, b in itertools.combinations(range(len(data)), 2):
+        if data[a][0] == data[b][0] or _jaccard(data[a][1], data[b][1]) >= 0.8:
+            forest.join(a, b)
+    low = {}
+    for k, (i, _) in enumerate(data):
+        low[forest.root(k)] = min(i, low.get(forest.root(k), i))
+    return {i: low[forest.root(k)] for k, (i, _) in enumerate(data)}
+
+
 def test_simhash_empty_and_stage(docs, empty):
-    assert simhash.simhash_groups(empty).count() == 0
-    kept = simhash.near_dedup(docs, 3, 6)
+    assert simhash.simhash_groups(empty).count() == 0 and simhash.near_dedup(empty).count() == 0
+    kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
-    gone = {r.doc_id for r in simhash.simhash_groups(docs, 3, 6).collect() if r.doc_id is not None and r.doc_id != r.component_id}
-    assert {r.doc_id for r in kept.collect()} == {i for i, *_ in _texts()} - gone and gone
+    want = _near_groups([(i, t) for i, t, *_ in _texts()])
+    assert {r.doc_id for r in kept.collect()} == {i for i, low in want.items() if i == low} | {None}
+
+
+def test_near_dedup_with_edits(spark):
+    r = random.Random(11)
+    data, word = [], lambda: "".join(r.choices("abcdefghij", k=4))
+    for i in range(12):
+        base = [word() for _ in range(r.choice([40, 150, 600]))]
+        for c in range(r.choice([1, 4, 25])):
+            own = list(base)
+            for _ in range(int(len(base) * r.choice([0, 0.01, 0.02, 0.15]))):
+                own[r.randrange(len(own))] = word()
+            data.append((1000 * i + c, " ".join(own)))
+    want = _near_groups(data)
+    got = {i: i for i, _ in data} | {x.node: x.component for x in simhash.near_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 12
+
+
+def test_forests_join_what_links_join():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = np.concatenate([base ^ np.uint64(sum(1 << int(b) for b in set(r.integers(0, 63, 4)))) for _ in range(12)])
+    sizes = r.integers(80, 120, len(fps))
+    pairs = {(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if int(fps[a] ^ fps[b]).bit_count() <= 6 and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])}
+    for forests in (1, 3, 100):
+        got = [tuple(sorted(x)) for x in simhash.tiled_candidates(fps, sizes, 6, 0.8, forests, tile=7)]
+        assert len(set(got)) == len(got) <= forests * (len(fps) - 1) and set(got) <= pairs
+        one, two = simhash._Forest(len(fps)), simhash._Forest(len(fps))
+        for x in got:
+            one.join(*x)
+        for x in pairs:
+            two.join(*x)
+        assert len({one.root(k) for k in range(len(fps))}) == len({two.root(k) for k in range(len(fps))})
+    assert set(got) == pairs
 
 
 def test_tiles_lose_no_link():

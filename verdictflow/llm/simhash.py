@@ -10,6 +10,14 @@ out again by blocks of its remaining bits, until its groups are small or so few
 they must be. A group emits a spanning forest of its links, never all pairs, and connected
 components follow.
 
+near_dedup() goes on from wider candidates to exact similarity. Texts of the same words are one node.
+Its fingerprints are of the distinct two-word shingles, whose bits move less with an edit than those
+of longer ones. Candidates are NEAR_BITS or fewer bits apart, with numbers of five-word shingles that
+allow the wanted similarity; they are dealt out so that none within DEAL_BITS is missed (beyond, a few
+in a hundred are). Of a group, FORESTS edge-disjoint spanning forests of candidate links are taken, so
+groups of up to FORESTS + 1 give all, and large ones a number in proportion. Every link taken is then
+checked by its exact five-word Jaccard similarity, but for those whose ends checked links already join.
+
 Defined results: null or wordless text has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle; rows that repeat an id are one node; a null id stands alone unless
 its fingerprint links it; extra columns are ignored; an empty table gives an empty result.
@@ -27,13 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import attach, cut
+from ._shared import attach, attach_bounded, cut
 
 SEED = 42
 TILE = 1024
 HOT = 20_000
 CHUNK = 1 << 16
 LEAST_FREE_BITS = 14
+NEAR_WORDS, SHINGLE_WORDS, NEAR_SHARE = 2, 5, 0.8
+NEAR_BITS, DEAL_BITS, FORESTS = 12, 8, 4
+#: Links to one text from which on its row is dealt out over salted tasks.
+HUB = 64
+#: Rows of (id, count) that are broadcast at most.
+SMALL = 400_000
 
 
 def _counts(hashes: np.ndarray) -> np.ndarray:
@@ -42,20 +56,44 @@ def _counts(hashes: np.ndarray) -> np.ndarray:
     return bits.sum(axis=0, dtype=np.int64)
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _slices(w: list[bytes], words: int) -> tuple[bytes, list[int], list[int]]:
+    """The words in one line, and where in it each shingle starts and stops; fewer words make one shingle."""
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(w) - words + 1)]
+    return b" ".join(w), starts.tolist(), ends[min(words, len(w)) - 1 :].tolist()
+
+
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The sorted hashes of the text's distinct word shingles; none without words."""
+    w, digest = _words(text), xxhash.xxh64_intdigest
+    if not w:
+        return np.zeros(0, np.uint64)
+    line, starts, stops = _slices(w, words)
+    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts)))
+
+
+def _fingerprint_of(hashes: Iterator[np.ndarray], n: int) -> int:
+    return int.from_bytes(np.packbits(sum(map(_counts, hashes)) * 2 > n).tobytes(), "big") if n else 0
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The 64-bit SimHash of the text's word shingles; memory is bounded by CHUNK shingles."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    w, digest = _words(text), xxhash.xxh64_intdigest
     if not w:
         return 0
-    n = max(1, len(w) - words + 1)
-    line, digest = b" ".join(w), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(words, len(w)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, CHUNK):
-        ones += _counts(np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], stops[i : i + CHUNK])], dtype=np.uint64))
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    line, starts, stops = _slices(w, words)
+    parts = range(0, len(starts), CHUNK)
+    return _fingerprint_of((np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], stops[i : i + CHUNK])], dtype=np.uint64) for i in parts), len(starts))
+
+
+def distinct_fingerprint(text: str | None, words: int = NEAR_WORDS) -> int:
+    """As fingerprint(), of distinct shingles."""
+    hashes = shingle_hashes(text, words)
+    return _fingerprint_of((hashes[i : i + CHUNK] for i in range(0, len(hashes), CHUNK)), len(hashes))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,13 +154,42 @@ def tiled_links(fps: np.ndarray, radius: int, tile: int = TILE) -> list[tuple[in
     return found
 
 
-def _edges(radius: int):
+def tiled_candidates(fps: np.ndarray, sizes: np.ndarray, radius: int, share: float, forests: int, tile: int = TILE) -> list[tuple[int, int]]:
+    """`forests` edge-disjoint spanning forests, as index pairs, of the links within the radius whose sizes allow the share."""
+    pop = np.bitwise_count(fps)
+    order = np.argsort(pop, kind="stable")
+    fps, pop, sizes = fps[order], pop[order].astype(np.int16), sizes[order]
+    label, found = np.tile(np.arange(len(fps)), (forests, 1)), []  # who is connected in the last forest is so in all
+    for i in range(0, len(fps), tile):
+        a, m = fps[i : i + tile], sizes[i : i + tile, None]
+        high = pop[min(i + tile, len(fps)) - 1]
+        for j in range(i, len(fps), tile):
+            if pop[j] - high > radius:
+                break
+            n = sizes[None, j : j + tile]
+            near = np.bitwise_count(a[:, None] ^ fps[None, j : j + tile]) <= radius
+            near &= np.minimum(m, n) >= np.maximum(m, n) * share - 1e-9
+            if i == j:
+                near = np.triu(near, 1)
+            for x in np.flatnonzero(near.any(axis=1)).tolist():
+                ys = np.flatnonzero(near[x]) + j
+                for y in ys[label[-1][ys] != label[-1][i + x]].tolist():
+                    own = next((f for f in label if f[y] != f[i + x]), None)
+                    if own is not None:
+                        low, top = sorted((own[y], own[i + x]))
+                        own[own == top] = low
+                        found.append((int(order[i + x]), int(order[y])))
+    return found
+
+
+def _edges(radius: int, share: float = 0, forests: int = 0):
     """Rows sorted by (mask, value) to edges between the representatives of each group."""
+    columns = ("mask", "value", "fp", "rep", *["size"] * bool(forests))
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
         held = None
         for b in batches:
-            own = tuple(b[c].to_numpy(dtype=np.int64) for c in ("mask", "value", "fp", "rep"))
+            own = tuple(b[c].to_numpy(dtype=np.int64) for c in columns)
             held = own if held is None else tuple(np.concatenate(x) for x in zip(held, own))
             last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
             at = int(np.argmax(last))  # sorted: the rows of the last group, which may go on
@@ -133,7 +200,7 @@ def _edges(radius: int):
             yield held
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for mask, value, fp, rep in groups(batches):
+        for mask, value, fp, rep, *sizes in groups(batches):
             found: list[tuple[int, int]] = []
             cuts = np.flatnonzero((np.diff(mask) != 0) | (np.diff(value) != 0)) + 1
             starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(mask)]])
@@ -143,16 +210,22 @@ def _edges(radius: int):
             near = two[np.bitwise_count(u[two] ^ u[two + 1]) <= radius]
             found += zip(near.tolist(), (near + 1).tolist())
             for s, e in zip(starts[size > 2].tolist(), stops[size > 2].tolist()):
-                found += [(s + i, s + j) for i, j in tiled_links(u[s:e], radius)]
+                own = tiled_candidates(u[s:e], sizes[0][s:e], radius, share, forests) if forests else tiled_links(u[s:e], radius)
+                found += [(s + i, s + j) for i, j in own]
             a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
             yield pd.DataFrame({"a": rep[a], "b": rep[b]})
 
     return run
 
 
-def links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
-    """Distinct fingerprints (fp, rep) to the edges of a graph whose components are those of all links."""
-    masks = [signed(m) for m in block_masks((1 << 64) - 1, radius, 2)]
+def links(nodes: DataFrame, radius: int, hot: int = HOT, deal: int | None = None, share: float = 0, forests: int = 0) -> DataFrame:
+    """Distinct fingerprints (fp, rep) to the edges of a graph whose components are those of all links.
+
+    With `forests`, nodes have a size too, and the edges are candidates as tiled_candidates() takes them;
+    with `deal` below the radius, links of more bits than that are found if they agree on two blocks.
+    """
+    deal, columns = radius if deal is None else deal, ["fp", "rep", *["size"] * bool(forests)]
+    masks = [signed(m) for m in block_masks((1 << 64) - 1, deal, 2)]
     dealt = nodes.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
     out = None
     while True:
@@ -160,21 +233,22 @@ def links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
         counts = keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > hot)
         large = cut(counts)
         free = sorted({r["mask"] for r in large.select("mask").distinct().collect()})  # bounded by the number of masks
-        refine = {m: block_masks(~m & ((1 << 64) - 1), radius, 1) for m in free if bin(~m & ((1 << 64) - 1)).count("1") > LEAST_FREE_BITS}
+        refine = {m: block_masks(~m & ((1 << 64) - 1), deal, 1) for m in free if bin(~m & ((1 << 64) - 1)).count("1") > LEAST_FREE_BITS}
         if refine:
             split = large.where(F.col("mask").isin(list(refine)))
             ready = attach(keyed, split, ["mask", "value"], ["fp"]).where("n is null").drop("n")
         else:
             ready = keyed
-        part = ready.select("mask", "value", "fp", "rep").repartition("mask", "value").sortWithinPartitions("mask", "value").mapInPandas(_edges(radius), "a long, b long")
+        part = ready.select("mask", "value", *columns).repartition("mask", "value").sortWithinPartitions("mask", "value").mapInPandas(_edges(radius, share, forests), "a long, b long")
+        part = part.distinct() if forests else part
         part = cut(part)
         out = part if out is None else out.unionByName(part)
         if not refine:
             return out
-        rows = cut(attach(keyed, split, ["mask", "value"], ["fp"], "inner").select("fp", "rep", "mask"))
+        rows = cut(attach(keyed, split, ["mask", "value"], ["fp"], "inner").select(*columns, "mask"))
         finer = [(m, signed((m & ((1 << 64) - 1)) | f)) for m, fs in refine.items() for f in fs]
         finer = F.broadcast(rows.sparkSession.createDataFrame(finer, "mask long, finer long"))
-        dealt = cut(rows.join(finer, "mask").select("fp", "rep", F.col("finer").alias("mask")).distinct())
+        dealt = cut(rows.join(finer, "mask").select(*columns, F.col("finer").alias("mask")).distinct())
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -189,8 +263,78 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, words: int = 3, radius: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, same, fp, size): same is a hash of the words, size the number of distinct five-word shingles."""
+
+    @F.pandas_udf("same string, fp long, size int")
+    def read(text: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in text:
+            line = b" ".join(_words(t))
+            out.append((xxhash.xxh3_128_hexdigest(line), signed(distinct_fingerprint(t)), len(shingle_hashes(t))))
+        return pd.DataFrame(out, columns=["same", "fp", "size"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), read(text_col).alias("x")).select("doc_id", "x.*")
+
+
+def similar(edges: DataFrame, docs: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
+    """Those of the edges (a, b) whose texts' five-word shingle sets have a Jaccard similarity of `share`."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t).view(np.int64) for t in text])
+
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    degree = cut(ends.groupBy("node").agg(F.count("*").alias("degree")))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("body"))
+    texts = attach_bounded(texts, degree, ["node"], ["body"], "inner", SMALL).groupBy("node", "degree", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"))
+    sets = cut(texts.select("node", "degree", hashes("body").alias("s")))
+    few = sets.select(F.col("node").alias("a"), F.col("degree").alias("da"), F.col("s").alias("sa"))
+    many = sets.select(F.col("node").alias("b"), F.col("degree").alias("db"), F.col("s").alias("sb"))
+    # The end of fewer links is joined first, so what is dealt out by it is never hot.
+    d = degree.select("node", "degree")
+    sided = edges.join(d.toDF("a", "da").hint("merge"), "a").join(d.toDF("b", "db").hint("merge"), "b")
+    turned = F.struct("da", "a") > F.struct("db", "b")
+    sided = cut(sided.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("da", "db").alias("db")))
+    sided = sided.join(few.drop("da").hint("merge"), "a")
+    hot = attach(sided.where(F.col("db") > HUB).drop("db"), many.where(F.col("db") > HUB).drop("db"), ["b"], ["a"], "inner")
+    cold = sided.where(F.col("db") <= HUB).drop("db").join(many.where(F.col("db") <= HUB).drop("db").hint("merge"), "b")
+    both = hot.unionByName(cold).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("shared") >= share * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def _apart(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges whose ends lie in different components of `found` (node, component)."""
+    label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge")
+    named = edges.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def near_groups(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(node, component): ids that a chain of links of exact similarity `share` joins to a smaller id, the smallest.
+
+    Texts without words are alike; a null id is in no group.
+    """
+    rows = cut(near_rows(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    nodes = cut(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.count("*").alias("n")))
+    copies = attach(rows, nodes.where("n > 1").select("same", "rep"), ["same"], ["doc_id"], "inner").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Of the texts of one fingerprint and size the smallest id stands for all: a star of candidates, however many there are.
+    heads = cut(nodes.groupBy("fp", "size").agg(F.min("rep").alias("head"), F.count("*").alias("n")))
+    star = attach(nodes.drop("n"), heads.where("n > 1").drop("n"), ["fp", "size"], ["rep"], "inner").where("rep <> head")
+    star = cut(star.select(F.col("rep").alias("a"), F.col("head").alias("b"), "fp", "size"))
+    alike = cut(similar(star.select("a", "b"), docs, share, id_col, text_col))
+    alike = alike.select(F.greatest("a", "b").alias("a"))
+    rest = star.join(alike.hint("merge"), "a", "left_anti").select("fp", F.col("a").alias("rep"), "size")
+    found = links(heads.select("fp", F.col("head").alias("rep"), "size").unionByName(rest), NEAR_BITS, hot, DEAL_BITS, share, FORESTS)
+    found = cut(found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    sure = cut(copies.unionByName(star.join(alike.hint("merge"), "a", "left_semi").select("a", "b")))
+    first = found.groupBy("a").agg(F.min("b").alias("b"))  # one link of each text joins most of a group
+    sure = sure.unionByName(cut(similar(first, docs, share, id_col, text_col)))
+    later = cut(_apart(found, components(sure)))
+    return components(sure.unionByName(cut(similar(later, docs, share, id_col, text_col))))
+
+
+def near_dedup(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """The rows of docs without those near a document of smaller id; rows without an id stay."""
-    groups = simhash_groups(docs, words, radius, id_col, text_col)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = near_groups(docs, share, id_col, text_col, hot).where("component <> node").select(F.col("node").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
