@@ -60,20 +60,20 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _slices(w: list[bytes], words: int) -> tuple[bytes, list[int], list[int]]:
-    """The words in one line, and where in it each shingle starts and stops; fewer words make one shingle."""
+def _hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """The hashes of the word shingles, CHUNK at a time; fewer words make one shingle."""
+    line, digest = b" ".join(w), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(w) - words + 1)]
-    return b" ".join(w), starts.tolist(), ends[min(words, len(w)) - 1 :].tolist()
+    stops = ends[min(words, len(w)) - 1 :]
+    for i in range(0, len(starts), CHUNK):
+        at = zip(starts[i : i + CHUNK].tolist(), stops[i : i + CHUNK].tolist())
+        yield np.array([digest(line[a:b], SEED) for a, b in at], dtype=np.uint64)
 
 
-def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The sorted hashes of the text's distinct word shingles; none without words."""
-    w, digest = _words(text), xxhash.xxh64_intdigest
-    if not w:
-        return np.zeros(0, np.uint64)
-    line, starts, stops = _slices(w, words)
-    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts)))
+def shingle_hashes(w: list[bytes], words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The sorted hashes of the distinct word shingles; none without words."""
+    return np.unique(np.concatenate(list(_hashes(w, words)))) if w else np.zeros(0, np.uint64)
 
 
 def _fingerprint_of(hashes: Iterator[np.ndarray], n: int) -> int:
@@ -81,18 +81,14 @@ def _fingerprint_of(hashes: Iterator[np.ndarray], n: int) -> int:
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit SimHash of the text's word shingles; memory is bounded by CHUNK shingles."""
-    w, digest = _words(text), xxhash.xxh64_intdigest
-    if not w:
-        return 0
-    line, starts, stops = _slices(w, words)
-    parts = range(0, len(starts), CHUNK)
-    return _fingerprint_of((np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], stops[i : i + CHUNK])], dtype=np.uint64) for i in parts), len(starts))
+    """The 64-bit SimHash of the text's word shingles; CHUNK of them are in memory at a time."""
+    w = _words(text)
+    return _fingerprint_of(_hashes(w, words), max(1, len(w) - words + 1)) if w else 0
 
 
-def distinct_fingerprint(text: str | None, words: int = NEAR_WORDS) -> int:
+def distinct_fingerprint(w: list[bytes], words: int = NEAR_WORDS) -> int:
     """As fingerprint(), of distinct shingles."""
-    hashes = shingle_hashes(text, words)
+    hashes = shingle_hashes(w, words)
     return _fingerprint_of((hashes[i : i + CHUNK] for i in range(0, len(hashes), CHUNK)), len(hashes))
 
 
@@ -270,8 +266,8 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def read(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
-            line = b" ".join(_words(t))
-            out.append((xxhash.xxh3_128_hexdigest(line), signed(distinct_fingerprint(t)), len(shingle_hashes(t))))
+            w = _words(t)
+            out.append((xxhash.xxh3_128_hexdigest(b" ".join(w)), signed(distinct_fingerprint(w)), len(shingle_hashes(w))))
         return pd.DataFrame(out, columns=["same", "fp", "size"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), read(text_col).alias("x")).select("doc_id", "x.*")
@@ -282,7 +278,7 @@ def similar(edges: DataFrame, docs: DataFrame, share: float, id_col: str, text_c
 
     @F.pandas_udf("array<long>")
     def hashes(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t).view(np.int64) for t in text])
+        return pd.Series([shingle_hashes(_words(t)).view(np.int64) for t in text])
 
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     degree = cut(ends.groupBy("node").agg(F.count("*").alias("degree")))
