@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Copies of a group row that a salted join deals out, so one hot key spreads over this many tasks.
 SALTS = 16
+#: Bytes of an Arrow batch of texts. A limit of rows alone lets long texts fill a worker and the JVM's own buffers.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(docs: DataFrame) -> DataFrame:
+    """`docs`, after the session's Arrow batches have been limited to BATCH_BYTES."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def bucket(n: int, *cols: str | Column) -> Column:
     """A bucket from 0 to n-1 by hash of the columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out
+from ._shared import held_out, lean
 
 TRAIN_ROWS = 6_000
 ACCEPT = 0.7
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         return pd.Series(list(_statistics(text)))
 
     # The sample has about 2 * TRAIN_ROWS rows at most, whatever the input.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id").select("y", stats("text").alias("x")).collect()
+    rows = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id").select("y", stats("text").alias("x")).collect()
     rows.sort(key=lambda r: (r["y"], r["x"]))
     if not rows:
         return QuadraticDiscriminant(np.empty((0, 0)), np.empty(0))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import attach, attach_bounded, cut
+from ._shared import attach, attach_bounded, cut, lean
 
 SEED = 42
 TILE = 1024
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in text], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(text_col).alias("fp"))
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), fp(text_col).alias("fp"))
 
 
 def block_masks(free: int, radius: int, clean: int) -> list[int]:
@@ -270,7 +270,7 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             out.append((xxhash.xxh3_128_hexdigest(b" ".join(w)), signed(distinct_fingerprint(w)), len(shingle_hashes(w))))
         return pd.DataFrame(out, columns=["same", "fp", "size"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), read(text_col).alias("x")).select("doc_id", "x.*")
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), read(text_col).alias("x")).select("doc_id", "x.*")
 
 
 def similar(edges: DataFrame, docs: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
@@ -282,7 +282,7 @@ def similar(edges: DataFrame, docs: DataFrame, share: float, id_col: str, text_c
 
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     degree = cut(ends.groupBy("node").agg(F.count("*").alias("degree")))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("body"))
+    texts = lean(docs).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("body"))
     texts = attach_bounded(texts, degree, ["node"], ["body"], "inner", SMALL).groupBy("node", "degree", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"))
     sets = cut(texts.select("node", "degree", hashes("body").alias("s")))
     few = sets.select(F.col("node").alias("a"), F.col("degree").alias("da"), F.col("s").alias("sa"))
