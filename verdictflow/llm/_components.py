@@ -9,15 +9,20 @@ from ._shared import attach, cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Connect each node's larger (or, in a small star, all smaller) neighbours to its smallest one."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("low"))
-    joined = attach(both, low, ["a"], ["b"], "inner")
+    """Connect each node's larger (or, in a small star, all smaller) neighbours to its smallest one.
+
+    Edges have a > b. Each is read in one branch of the plan, so that turns stay cheap to plan.
+    """
+    ends = edges
+    if large:
+        ends = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    low = ends.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("low"))
+    joined = attach(ends, low, ["a"], ["b"], "inner")
     if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        joined = joined.where("b > a")
+    # In a small star the smallest neighbour's own row, which would be a loop, carries the node itself.
+    end = F.col("b") if large else F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b"))
+    return joined.select(end.alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_turns: int = 60) -> DataFrame:
@@ -33,5 +38,5 @@ def components(edges: DataFrame, most_turns: int = 60) -> DataFrame:
         if seen == mark or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = seen
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(cut(_star(edges, True)), False))
     raise RuntimeError(f"components did not settle in {most_turns} turns")

@@ -235,7 +235,7 @@ def links(nodes: DataFrame, radius: int, hot: int = HOT, deal: int | None = None
             ready = attach(keyed, split, ["mask", "value"], ["fp"]).where("n is null").drop("n")
         else:
             ready = keyed
-        part = ready.select("mask", "value", *columns).repartition("mask", "value").sortWithinPartitions("mask", "value").mapInPandas(_edges(radius, share, forests), "a long, b long")
+        part = ready.select("mask", "value", *columns).repartition("mask", "value").sortWithinPartitions("mask", "value", "fp", "rep").mapInPandas(_edges(radius, share, forests), "a long, b long")
         part = part.distinct() if forests else part
         part = cut(part)
         out = part if out is None else out.unionByName(part)
@@ -326,8 +326,9 @@ def near_groups(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_i
     sure = cut(copies.unionByName(star.join(alike.hint("merge"), "a", "left_semi").select("a", "b")))
     first = found.groupBy("a").agg(F.min("b").alias("b"))  # one link of each text joins most of a group
     sure = sure.unionByName(cut(similar(first, docs, share, id_col, text_col)))
-    later = cut(_apart(found, components(sure)))
-    return components(sure.unionByName(cut(similar(later, docs, share, id_col, text_col))))
+    joined = components(sure)
+    later = cut(similar(cut(_apart(found, joined)), docs, share, id_col, text_col))
+    return components(joined.toDF("a", "b").unionByName(later))
 
 
 def near_dedup(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
