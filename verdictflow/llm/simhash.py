@@ -43,7 +43,7 @@ HOT = 20_000
 CHUNK = 1 << 16
 LEAST_FREE_BITS = 14
 NEAR_WORDS, SHINGLE_WORDS, NEAR_SHARE = 2, 5, 0.8
-NEAR_BITS, DEAL_BITS, FORESTS = 12, 8, 4
+NEAR_BITS, DEAL_BITS, FORESTS = 12, 8, 6
 #: Links to one text from which on its row is dealt out over salted tasks.
 HUB = 64
 #: Rows of (id, count) that are broadcast at most.
