@@ -150,6 +150,54 @@ def test_near_dedup_with_edits(spark):
     assert got == want and len(set(want.values())) > 12
 
 
+def _variant(r, base, edits, word):
+    own = list(base)
+    for _ in range(edits):
+        own[r.randrange(len(own))] = word()
+    return own
+
+
+def test_near_dedup_in_a_template_family(spark):
+    """Thousands of texts that are near in fingerprint and not in words, each with one real near copy."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghij", k=4))
+    base, data = [word() for _ in range(150)], []
+    for i in range(1500):
+        own = _variant(r, base, 5, word)
+        data += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(_variant(r, own, 1, word)))]
+    sets = [np.unique([hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)]) for w in (t.split() for _, t in data)]
+    at = {h: k for k, h in enumerate(sorted({h for s in sets for h in s.tolist()}))}
+    forest, n = simhash._Forest(len(data)), np.array([len(s) for s in sets])
+    having = defaultdict(list)
+    for k, s in enumerate(sets):
+        for h in s.tolist():
+            having[at[h]].append(k)
+    having = {h: np.array(x) for h, x in having.items()}
+    for k, s in enumerate(sets):  # all pairs
+        shared = np.bincount(np.concatenate([having[at[h]] for h in s.tolist()]), minlength=len(data))
+        for m in np.flatnonzero(shared >= 0.8 * (n + n[k] - shared) - 1e-9).tolist():
+            forest.join(k, m)
+    want = {k: forest.root(k) for k in range(len(data))}
+    got = {k: k for k in want} | {x.node: x.component for x in simhash.near_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 1000
+
+
+def test_near_pairs_of_one_token_are_whole():
+    """Every pair of the similarity passes at the first shingle it shares, in all tiles."""
+    r = np.random.default_rng(5)
+    base = np.arange(1, 90)
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(70, 89), replace=False), r.integers(1000, 9000, r.integers(0, 12)), [0]])) for _ in range(60)]
+    sizes = np.array([len(s) for s in sets])
+    bits = np.stack([np.packbits((np.bincount(s % 512, minlength=512) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
+    node, label = np.arange(60), np.arange(60) // 2
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) and label[a] != label[b]}
+    x, y = simhash.tiled_pairs(node, sizes, sizes, label, bits, 0.8, True, tile=7)
+    got = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+    assert want and want <= got and all(label[a] != label[b] for a, b in got)
+    few = {tuple(sorted(p)) for p in zip(*(z.tolist() for z in simhash.tiled_pairs(node, sizes, sizes, label, bits, 0.8, False, tile=7)))}
+    assert few <= got and {k for p in few for k in p} == {k for p in got for k in p}
+
+
 def test_forests_join_what_links_join():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, 6, dtype=np.uint64)

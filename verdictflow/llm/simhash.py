@@ -10,13 +10,12 @@ out again by blocks of its remaining bits, until its groups are small or so few
 they must be. A group emits a spanning forest of its links, never all pairs, and connected
 components follow.
 
-near_dedup() goes on from wider candidates to exact similarity. Texts of the same words are one node.
-Its fingerprints are of the distinct two-word shingles, whose bits move less with an edit than those
-of longer ones. Candidates are NEAR_BITS or fewer bits apart, with numbers of five-word shingles that
-allow the wanted similarity; they are dealt out so that none within DEAL_BITS is missed (beyond, a few
-in a hundred are). Of a group, FORESTS edge-disjoint spanning forests of candidate links are taken, so
-groups of up to FORESTS + 1 give all, and large ones a number in proportion. Every link taken is then
-checked by its exact five-word Jaccard similarity, but for those whose ends checked links already join.
+near_dedup() joins by exact five-word Jaccard similarity and no fingerprint. Texts of the same words are
+one node. Two sets of the wanted similarity share one of the rarest shingles of each (a prefix filter),
+so texts are dealt out by those, and pairs of a shingle are left out only where their sizes, their places
+in the order or the parities of shingle classes rule the similarity out. One link of each text is checked
+first, then every candidate pair that is still in two components. No link is lost; the last pairs can
+grow with the square of a group of texts that look alike to the filters and are not.
 
 Defined results: null or wordless text has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle; rows that repeat an id are one node; a null id stands alone unless
@@ -25,13 +24,14 @@ its fingerprint links it; extra columns are ignored; an empty table gives an emp
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -42,8 +42,13 @@ TILE = 1024
 HOT = 20_000
 CHUNK = 1 << 16
 LEAST_FREE_BITS = 14
-NEAR_WORDS, SHINGLE_WORDS, NEAR_SHARE = 2, 5, 0.8
-NEAR_BITS, DEAL_BITS, FORESTS = 12, 8, 6
+SHINGLE_WORDS, NEAR_SHARE = 5, 0.8
+#: Texts, about, and shingles that the rare-first order is taken from; it changes the cost and not the links.
+SAMPLE, COMMON = 10_000, 1 << 16
+#: Classes of shingles whose parities bound how far two sets differ, and texts of a tile.
+PARITY, PAIR_TILE = 512, 512
+#: Texts of a token's group that is compared whole in every round, and cells of a matrix of a larger one.
+FEW, CELLS = 8, 1 << 20
 #: Links to one text from which on its row is dealt out over salted tasks.
 HUB = 64
 #: Rows of (id, count) that are broadcast at most.
@@ -86,12 +91,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return _fingerprint_of(_hashes(w, words), max(1, len(w) - words + 1)) if w else 0
 
 
-def distinct_fingerprint(w: list[bytes], words: int = NEAR_WORDS) -> int:
-    """As fingerprint(), of distinct shingles."""
-    hashes = shingle_hashes(w, words)
-    return _fingerprint_of((hashes[i : i + CHUNK] for i in range(0, len(hashes), CHUNK)), len(hashes))
-
-
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -178,9 +177,9 @@ def tiled_candidates(fps: np.ndarray, sizes: np.ndarray, radius: int, share: flo
     return found
 
 
-def _edges(radius: int, share: float = 0, forests: int = 0):
+def _edges(radius: int):
     """Rows sorted by (mask, value) to edges between the representatives of each group."""
-    columns = ("mask", "value", "fp", "rep", *["size"] * bool(forests))
+    columns = ("mask", "value", "fp", "rep")
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
         held = None
@@ -196,7 +195,7 @@ def _edges(radius: int, share: float = 0, forests: int = 0):
             yield held
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for mask, value, fp, rep, *sizes in groups(batches):
+        for mask, value, fp, rep in groups(batches):
             found: list[tuple[int, int]] = []
             cuts = np.flatnonzero((np.diff(mask) != 0) | (np.diff(value) != 0)) + 1
             starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(mask)]])
@@ -206,22 +205,17 @@ def _edges(radius: int, share: float = 0, forests: int = 0):
             near = two[np.bitwise_count(u[two] ^ u[two + 1]) <= radius]
             found += zip(near.tolist(), (near + 1).tolist())
             for s, e in zip(starts[size > 2].tolist(), stops[size > 2].tolist()):
-                own = tiled_candidates(u[s:e], sizes[0][s:e], radius, share, forests) if forests else tiled_links(u[s:e], radius)
-                found += [(s + i, s + j) for i, j in own]
+                found += [(s + i, s + j) for i, j in tiled_links(u[s:e], radius)]
             a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
             yield pd.DataFrame({"a": rep[a], "b": rep[b]})
 
     return run
 
 
-def links(nodes: DataFrame, radius: int, hot: int = HOT, deal: int | None = None, share: float = 0, forests: int = 0) -> DataFrame:
-    """Distinct fingerprints (fp, rep) to the edges of a graph whose components are those of all links.
-
-    With `forests`, nodes have a size too, and the edges are candidates as tiled_candidates() takes them;
-    with `deal` below the radius, links of more bits than that are found if they agree on two blocks.
-    """
-    deal, columns = radius if deal is None else deal, ["fp", "rep", *["size"] * bool(forests)]
-    masks = [signed(m) for m in block_masks((1 << 64) - 1, deal, 2)]
+def links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+    """Distinct fingerprints (fp, rep) to the edges of a graph whose components are those of all links."""
+    columns = ["fp", "rep"]
+    masks = [signed(m) for m in block_masks((1 << 64) - 1, radius, 2)]
     dealt = nodes.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
     out = None
     while True:
@@ -229,14 +223,13 @@ def links(nodes: DataFrame, radius: int, hot: int = HOT, deal: int | None = None
         counts = keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > hot)
         large = cut(counts)
         free = sorted({r["mask"] for r in large.select("mask").distinct().collect()})  # bounded by the number of masks
-        refine = {m: block_masks(~m & ((1 << 64) - 1), deal, 1) for m in free if bin(~m & ((1 << 64) - 1)).count("1") > LEAST_FREE_BITS}
+        refine = {m: block_masks(~m & ((1 << 64) - 1), radius, 1) for m in free if bin(~m & ((1 << 64) - 1)).count("1") > LEAST_FREE_BITS}
         if refine:
             split = large.where(F.col("mask").isin(list(refine)))
             ready = attach(keyed, split, ["mask", "value"], ["fp"]).where("n is null").drop("n")
         else:
             ready = keyed
-        part = ready.select("mask", "value", *columns).repartition("mask", "value").sortWithinPartitions("mask", "value", "fp", "rep").mapInPandas(_edges(radius, share, forests), "a long, b long")
-        part = part.distinct() if forests else part
+        part = ready.select("mask", "value", *columns).repartition("mask", "value").sortWithinPartitions("mask", "value", "fp", "rep").mapInPandas(_edges(radius), "a long, b long")
         part = cut(part)
         out = part if out is None else out.unionByName(part)
         if not refine:
@@ -259,32 +252,230 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, fp, size): same is a hash of the words, size the number of distinct five-word shingles."""
+def _needs(share: float, n: np.ndarray, m: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles that share at most `shared` can have the similarity `share`."""
+    return shared * (1 + share) >= share * (n + m) - 1e-6
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that Spark deletes the shuffle files that nothing reads again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _node(w: list[bytes]) -> int:
+    return signed(xxhash.xxh3_64_intdigest(b" ".join(w)))
+
+
+def node_of(text_col: str) -> Column:
+    """The hash of the text's words that near_rows() calls node."""
+
+    @F.pandas_udf("long")
+    def node(text: pd.Series) -> pd.Series:
+        return pd.Series([_node(_words(t)) for t in text], dtype=np.int64)
+
+    return node(text_col)
+
+
+def _sets(text_col: str) -> Column:
+    @F.pandas_udf("array<long>")
+    def hashes(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(_words(t)).view(np.int64) for t in text])
+
+    return hashes(text_col)
+
+
+def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample of the texts, sorted, and how many of its texts have each.
+
+    They only order the shingles of prefixes: any order gives the same links, a rare-first one fewer candidates.
+    """
+    every = max(1, docs.count() // SAMPLE)
+    texts = lean(docs).select(F.col(text_col).alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(every)) == 0).distinct()
+    counts = cut(texts.select(F.explode(_sets("body")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 2"))
+    # A sort with a limit would bring COMMON rows of every task to the driver.
+    levels = counts.groupBy("n").count().orderBy(F.col("n").desc()).collect()  # bounded by the size of the sample
+    total = np.cumsum([r["count"] for r in levels])
+    least = next((r["n"] for r, t in zip(levels, total[1:]) if t > COMMON), 3)
+    got = counts.where(F.col("n") >= least).limit(COMMON).toPandas().sort_values("token")
+    return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def near_rows(docs: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node, size, bits, prefix): node is a hash of the words, size the number of distinct five-word shingles.
+
+    bits are, of each of PARITY classes of shingles, whether it is odd; prefix has the rarest shingles, rarest
+    first, one of which two texts of that similarity must share.
+    """
+    common, counts = common_shingles(docs, text_col)
 
-    @F.pandas_udf("same string, fp long, size int")
+    @F.pandas_udf("node long, size int, bits binary, prefix array<long>")
     def read(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
             w = _words(t)
-            out.append((xxhash.xxh3_128_hexdigest(b" ".join(w)), signed(distinct_fingerprint(w)), len(shingle_hashes(w))))
-        return pd.DataFrame(out, columns=["same", "fp", "size"])
+            s = shingle_hashes(w)
+            own, n, known = s.view(np.int64), len(s), np.zeros(len(s), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                known = np.where(common[at] == own, counts[at], 0)
+            k = min(n, n - int(np.ceil(share * n - 1e-6)) + 1)
+            odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+            out.append((_node(w), n, np.packbits(odd.astype(np.uint8)).tobytes(), own[np.lexsort((own, known))[:k]]))
+        return pd.DataFrame(out, columns=["node", "size", "bits", "prefix"])
 
     return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), read(text_col).alias("x")).select("doc_id", "x.*")
 
 
-def similar(edges: DataFrame, docs: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
-    """Those of the edges (a, b) whose texts' five-word shingle sets have a Jaccard similarity of `share`."""
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (node, size, prefix), each node once a task, to (token, node, size, tail): tail is how many shingles are left from the token on."""
+    seen: set[int] = set()
+    for b in batches:
+        out = [(np.zeros(0, np.int64),) * 4]
+        for node, n, prefix in zip(b["node"].tolist(), b["size"].tolist(), b["prefix"]):
+            if node not in seen:
+                seen.add(node)
+                k = len(prefix)
+                out.append((np.asarray(prefix, np.int64), np.full(k, node), np.full(k, n), n - np.arange(k)))
+        yield pd.DataFrame(dict(zip(("token", "node", "size", "tail"), (np.concatenate(x) for x in zip(*out)))))
+
+
+def _token_groups(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows sorted by token and node, each once, in pieces of whole groups: columns, starts and stops of the groups."""
+    held: list[pd.DataFrame] = []
+
+    def ready(frames: list[pd.DataFrame]):
+        f = pd.concat(frames, ignore_index=True)
+        token, node = f["token"].to_numpy(), f["node"].to_numpy()
+        once = np.ones(len(f), bool)
+        once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        f, token = f[once], token[once]
+        at = np.flatnonzero(np.diff(token)) + 1
+        return [f[c].to_numpy() for c in columns], np.concatenate([[0], at]), np.concatenate([at, [len(token)]])
+
+    for b in batches:
+        if not len(b):
+            continue
+        token = b["token"].to_numpy()
+        at = int(np.argmax(token == token[-1]))  # sorted: the rows of the last group, which may go on
+        if at or (held and held[-1]["token"].iat[-1] != token[-1]):
+            yield ready([*held, b.iloc[:at]])
+            held = []
+        held.append(b.iloc[at:])
+    if held:
+        yield ready(held)
+
+
+def _few_pairs(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of the groups of at most FEW rows."""
+    out = []
+    for g in range(2, FEW + 1):
+        own = starts[stops - starts == g][:, None]
+        x, y = np.triu_indices(g, 1)
+        out.append(((own + x).ravel(), (own + y).ravel()))
+    x, y = (np.concatenate(z) for z in zip(*out))
+    return x, y
+
+
+def _live(share: float, labelled: bool):
+    """The rows whose size and place allow the similarity to another text of the token, of another component if `labelled`."""
+    columns = ("token", "node", "size", "tail", *["label"] * labelled)
 
-    @F.pandas_udf("array<long>")
-    def hashes(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(_words(t)).view(np.int64) for t in text])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cols, starts, stops in _token_groups(batches, columns):
+            size, tail, label = cols[2].astype(np.int64), cols[3].astype(np.int64), cols[-1 if labelled else 1]
+            keep = np.zeros(len(size), bool)
+            x, y = _few_pairs(starts, stops)
+            ok = (label[x] != label[y]) & _needs(share, size[x], size[y], np.minimum(tail[x], tail[y]))
+            keep[x[ok]] = keep[y[ok]] = True
+            large = stops - starts > FEW
+            for s, e in zip(starts[large].tolist(), stops[large].tolist()):
+                if (label[s:e] == label[s]).all():
+                    continue
+                step = max(1, CELLS // (e - s))
+                for i in range(s, e, step):
+                    a = slice(i, min(i + step, e))
+                    can = _needs(share, size[a, None], size[None, s:e], np.minimum(tail[a, None], tail[None, s:e]))
+                    keep[a] = (can & (label[a, None] != label[None, s:e])).any(axis=1)
+            yield pd.DataFrame({c: x[keep] for c, x in zip(columns, cols)})
+
+    return run
+
+
+def tiled_pairs(node: np.ndarray, size: np.ndarray, tail: np.ndarray, label: np.ndarray, bits: np.ndarray, share: float, whole: bool, tile: int = PAIR_TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one token's texts that lie in different components and can have the similarity.
+
+    No pair of that similarity is left out at the first token it shares: from there on both must have
+    shingles enough, and classes of odd count differ by no more than the shingles. With `whole` all such
+    pairs are given, else for each text its first and its nearest one.
+    """
+    order = np.lexsort((node, size))
+    size, tail, label, bits = size[order].astype(np.int64), tail[order].astype(np.int64), label[order], bits[order]
+    n = len(order)
+    first, near, least = np.full(n, n), np.full(n, -1), np.full(n, np.inf)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(0, n, tile):
+        high = size[min(i + tile, n) - 1]
+        for j in range(i, n, tile):
+            if size[j] * share > high + 1e-6:
+                break
+            a, b = slice(i, i + tile), slice(j, j + tile)
+            ok = label[a, None] != label[None, b]
+            ok &= _needs(share, size[a, None], size[None, b], np.minimum(tail[a, None], tail[None, b]))
+            x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
+            x, y = x + i, y + j
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            can = _needs(share, size[x], size[y], (size[x] + size[y] - apart) / 2)
+            x, y, apart = x[can], y[can], apart[can]
+            if whole:
+                out.append((x, y))
+                continue
+            for u, v in ((x, y), (y, x)):
+                np.minimum.at(first, u, v)
+                by = np.lexsort((v, apart, u))
+                u, v, d = u[by], v[by], apart[by]
+                top = np.concatenate([[True], u[1:] != u[:-1]])[: len(u)]
+                u, v, d = u[top], v[top], d[top]
+                closer = d < least[u]
+                near[u[closer]], least[u[closer]] = v[closer], d[closer]
+    if not whole:
+        has = np.flatnonzero(near >= 0)
+        out += [(has, near[has]), (has, first[has])]
+    x, y = (np.concatenate(z) if out else np.zeros(0, np.int64) for z in (zip(*out) if out else ([], [])))
+    return order[x], order[y]
+
+
+def _pairs(share: float, whole: bool):
+    """Rows sorted by token and node to pairs (a, b), a > b, by tiled_pairs()."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (node, size, tail, label, bits), starts, stops in _token_groups(batches, ("node", "size", "tail", "label", "bits")):
+            own = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(node), -1)
+            long, last = size.astype(np.int64), tail.astype(np.int64)
+            x, y = _few_pairs(starts, stops)
+            ok = (label[x] != label[y]) & _needs(share, long[x], long[y], np.minimum(last[x], last[y]))
+            x, y = x[ok], y[ok]
+            apart = np.bitwise_count(own[x] ^ own[y]).sum(axis=1, dtype=np.int64)
+            ok = _needs(share, long[x], long[y], (long[x] + long[y] - apart) / 2)
+            found = [(x[ok], y[ok])]
+            large = stops - starts > FEW
+            for s, e in zip(starts[large].tolist(), stops[large].tolist()):
+                if (label[s:e] != label[s]).any():
+                    x, y = tiled_pairs(node[s:e], size[s:e], tail[s:e], label[s:e], own[s:e], share, whole)
+                    found.append((x + s, y + s))
+            x, y = (node[np.concatenate(z)] for z in zip(*found))
+            yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
+
+    return run
+
+
+def similar(edges: DataFrame, docs: DataFrame, share: float, text_col: str) -> DataFrame:
+    """Those of the edges (a, b) of near_rows() nodes whose shingle sets have a Jaccard similarity of `share`."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     degree = cut(ends.groupBy("node").agg(F.count("*").alias("degree")))
-    texts = lean(docs).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("body"))
-    texts = attach_bounded(texts, degree, ["node"], ["body"], "inner", SMALL).groupBy("node", "degree", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"))
-    sets = cut(texts.select("node", "degree", hashes("body").alias("s")))
+    texts = lean(docs).select(node_of(text_col).alias("node"), F.col(text_col).alias("body"))
+    texts = attach_bounded(texts, degree, ["node"], ["body"], "inner", SMALL).groupBy("node", "degree").agg(F.first("body").alias("body"))
+    sets = cut(texts.select("node", "degree", _sets("body").alias("s")))
     few = sets.select(F.col("node").alias("a"), F.col("degree").alias("da"), F.col("s").alias("sa"))
     many = sets.select(F.col("node").alias("b"), F.col("degree").alias("db"), F.col("s").alias("sb"))
     # The end of fewer links is joined first, so what is dealt out by it is never hot.
@@ -296,42 +487,49 @@ def similar(edges: DataFrame, docs: DataFrame, share: float, id_col: str, text_c
     hot = attach(sided.where(F.col("db") > HUB).drop("db"), many.where(F.col("db") > HUB).drop("db"), ["b"], ["a"], "inner")
     cold = sided.where(F.col("db") <= HUB).drop("db").join(many.where(F.col("db") <= HUB).drop("db").hint("merge"), "b")
     both = hot.unionByName(cold).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("shared") >= share * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b")
-
-
-def _apart(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """The edges whose ends lie in different components of `found` (node, component)."""
-    label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge")
-    named = edges.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def near_groups(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    return both.where(F.col("shared") >= share * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def text_groups(rows: DataFrame, docs: DataFrame, share: float, text_col: str) -> DataFrame:
+    """(node, component) of the near_rows() nodes that a chain of links of exact similarity `share` joins to another."""
+    kinds = "token long, node long, size int, tail int"
+    by_token = lambda df, f, schema: df.repartition("token").sortWithinPartitions("token", "node").mapInPandas(f, schema)
+    live = cut(by_token(rows.select("node", "size", "prefix").mapInPandas(_tokens, kinds), _live(share, False), kinds))
+    release(live.sparkSession)
+    bits = cut(rows.groupBy("node").agg(F.first("bits").alias("bits"))).hint("merge")
+    # One link of each text joins most of a group; then every pair that is still in two components is compared.
+    known = live.withColumn("label", F.col("node")).join(bits, "node")
+    tried = cut(by_token(known, _pairs(share, False), "a long, b long").groupBy("a").agg(F.min("b").alias("b")))
+    release(live.sparkSession)
+    joined = components(cut(similar(tried, docs, share, text_col)))
+    release(live.sparkSession)
+    known = live.join(joined.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    known = cut(by_token(known, _live(share, True), f"{kinds}, label long"))
+    rest = cut(by_token(known.join(bits, "node"), _pairs(share, True), "a long, b long").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    release(live.sparkSession)
+    return components(joined.toDF("a", "b").unionByName(cut(similar(rest, docs, share, text_col))))
+
+
+def _placed(docs: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, n, component) of the rows' ids and texts, n rows each; a text that no link joins is its own component."""
+    rows = cut(near_rows(docs, share, id_col, text_col))
+    found = text_groups(rows, docs, share, text_col)
+    own = rows.groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    return cut(own.join(found.hint("merge"), "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component")))
+
+
+def near_groups(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component): ids that a chain of links of exact similarity `share` joins to a smaller id, the smallest.
 
     Texts without words are alike; a null id is in no group.
     """
-    rows = cut(near_rows(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    nodes = cut(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.count("*").alias("n")))
-    copies = attach(rows, nodes.where("n > 1").select("same", "rep"), ["same"], ["doc_id"], "inner").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # Of the texts of one fingerprint and size the smallest id stands for all: a star of candidates, however many there are.
-    heads = cut(nodes.groupBy("fp", "size").agg(F.min("rep").alias("head"), F.count("*").alias("n")))
-    star = attach(nodes.drop("n"), heads.where("n > 1").drop("n"), ["fp", "size"], ["rep"], "inner").where("rep <> head")
-    star = cut(star.select(F.col("rep").alias("a"), F.col("head").alias("b"), "fp", "size"))
-    alike = cut(similar(star.select("a", "b"), docs, share, id_col, text_col))
-    alike = alike.select(F.greatest("a", "b").alias("a"))
-    rest = star.join(alike.hint("merge"), "a", "left_anti").select("fp", F.col("a").alias("rep"), "size")
-    found = links(heads.select("fp", F.col("head").alias("rep"), "size").unionByName(rest), NEAR_BITS, hot, DEAL_BITS, share, FORESTS)
-    found = cut(found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sure = cut(copies.unionByName(star.join(alike.hint("merge"), "a", "left_semi").select("a", "b")))
-    first = found.groupBy("a").agg(F.min("b").alias("b"))  # one link of each text joins most of a group
-    sure = sure.unionByName(cut(similar(first, docs, share, id_col, text_col)))
-    joined = components(sure)
-    later = cut(similar(cut(_apart(found, joined)), docs, share, id_col, text_col))
-    return components(joined.toDF("a", "b").unionByName(later))
-
-
-def near_dedup(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    placed = _placed(docs.where(F.col(id_col).isNotNull()), share, id_col, text_col)
+    heads = placed.groupBy("component").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = attach(placed.select("doc_id", "component"), cut(heads), ["component"], ["doc_id"], "inner")
+    return components(stars.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
+
+
+def near_dedup(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those near a document of smaller id; rows without an id stay."""
-    gone = near_groups(docs, share, id_col, text_col, hot).where("component <> node").select(F.col("node").alias(id_col)).distinct()
+    gone = near_groups(docs, share, id_col, text_col).where("component <> node").select(F.col("node").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
