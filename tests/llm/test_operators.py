@@ -198,6 +198,21 @@ def test_near_pairs_of_one_token_are_whole():
     assert few <= got and {k for p in few for k in p} == {k for p in got for k in p}
 
 
+def test_near_dedup_with_appended_and_replaced_passages(spark):
+    """Copies that differ by one passage, of similarities from 0.75 to 0.9; a fingerprint moves too far for some."""
+    r = random.Random(23)
+    word, data = lambda: "".join(r.choices("abcdefghij", k=5)), []
+    for i in range(600):
+        base = [word() for _ in range(r.choice([60, 120, 300]))]
+        new = [word() for _ in range(int(len(base) * r.uniform(0.03, 0.3)))]
+        at = r.randrange(len(base))
+        copy = base + new if i % 2 else base[:at] + new[: len(new) // 2] + base[at + len(new) // 2 :]
+        data += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    want = {2 * i + 1: 2 * i for i in range(600) if _jaccard(data[2 * i][1], data[2 * i + 1][1]) >= 0.8}
+    got = {x.node: x.component for x in simhash.near_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and 100 < len(want) < 590
+
+
 def test_forests_join_what_links_join():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, 6, dtype=np.uint64)
