@@ -213,6 +213,15 @@ def test_near_dedup_with_appended_and_replaced_passages(spark):
     assert got == want and 100 < len(want) < 590
 
 
+def test_near_dedup_judges_rows(spark):
+    """Repeated ids, null ids, and an id with two texts."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, a + " more"), (None, c), (None, c), (None, b), (3, d), (None, None), (None, " ")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((r.doc_id, (r.text or "").strip()) for r in kept)
+    assert got == Counter([(1, a), (2, b), (None, c), (3, d), (None, "")])
+
+
 def test_forests_join_what_links_join():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, 6, dtype=np.uint64)

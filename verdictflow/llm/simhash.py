@@ -530,6 +530,19 @@ def near_groups(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_i
 
 
 def near_dedup(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those near a document of smaller id; rows without an id stay."""
-    gone = near_groups(docs, share, id_col, text_col).where("component <> node").select(F.col("node").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of docs of each group of near texts, that of the smallest id, a null id being last.
+
+    Rows are judged by their own text: one id may have several texts, and of rows of one id and the same words any stays.
+    """
+    placed = _placed(docs, share, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    heads = placed.groupBy("component").agg(F.min(order).alias("head"), F.sum("n").alias("rows")).where("rows > 1").select("component", "head")
+    marked = attach(placed, cut(heads), ["component"], ["node"], "inner").withColumn("_kept", order == F.col("head"))
+    marked = cut(marked.where("n > 1 or not _kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "_kept")).hint("merge")
+    rows = lean(docs).withColumn("_words", node_of(text_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_node"))
+    out = rows.join(marked, same, "left_anti").select(*docs.columns)
+    if not marked.where("_kept").limit(1).count():
+        return out
+    twice = rows.join(marked.where("_kept"), same, "left_semi").dropDuplicates([id_col, "_words"])
+    return out.unionByName(twice.select(*docs.columns))
