@@ -81,10 +81,10 @@ def test_rates(spark):
 def test_published_intervals(spark):
     """Two published runs: one missed case at position 5, and two at 5 and 15."""
     got = {r.metric: (r.low, r.high) for r in native.bootstrap_exact(spark, "").collect()}
-    assert got["hybrid_recall"] == (0.9286, 1.0) and got["hybrid_mcc"] == (0.8117, 1.0)
+    assert got["hybrid_bug_recall"] == (0.9286, 1.0) and got["hybrid_bug_mcc"] == (0.8117, 1.0)
     two = native.anchor_counts(spark).withColumns({c: F.when(F.col("case_idx") == 14, v).otherwise(F.col(c)) for c, v in (("hybrid_tp", 0), ("hybrid_fn", 1), ("hybrid_func_tp", 0), ("hybrid_func_fn", 1))})
     got = {r.metric: (round(r.low, 4), round(r.high, 4)) for r in bootstrap.intervals(two, bootstrap.seeded_resample(spark, 70), 2000).collect()}
-    assert got["hybrid_recall"] == (0.8889, 1.0) and got["hybrid_mcc"] == (0.7347, 1.0)
+    assert got["hybrid_bug_recall"] == (0.8889, 1.0) and got["hybrid_bug_mcc"] == (0.7347, 1.0)
 
 
 def test_final_classes(spark):
@@ -102,7 +102,59 @@ def test_file_class_and_notes(spark):
     files = spark.createDataFrame([("a",), ("b",)], "file string")
     rows = spark.createDataFrame([("a", "heuristic_smell_only"), ("a", "esbmc_inconclusive")], "file string, final_class string")
     assert {r.file: r.file_class for r in classify.file_class(files, rows).collect()} == {"a": "esbmc_inconclusive", "b": "clean"}
+    ranked = ["llm_false_positive", "not_confirmed_within_bound", "esbmc_inconclusive", "out_of_scope_finding", "heuristic_smell_only", "skipped_not_verifiable", "llm_only_suspected"]
+    one = spark.createDataFrame([("a", c) for c in ranked[1:]], "file string, final_class string")
+    assert {r.file: r.file_class for r in classify.file_class(files, one).collect()}["a"] == "not_confirmed_within_bound"
+    assert {r.file_class for r in classify.file_class(files, spark.createDataFrame([("b", "llm_only_suspected")], "file string, final_class string")).collect()} == {"clean"}
     schema = "row_key string, verdict string, note string"
     notes = spark.createDataFrame([("k", "confirmed", "x"), ("l", "confirmed", "y")], schema)
     out = reports.upsert_notes(notes, spark.createDataFrame([("k", "", ""), ("m", "", "new")], schema)).collect()
     assert {r.row_key for r in out} == {"l", "m"}
+
+
+def test_category_counts_of_smells_hybrid_and_clean_cases(spark):
+    expected = [(1, "f", DZ, True), (2, "f", "clean", False), (3, "f", "long_method", False)]
+    findings = [
+        (1, "f", DZ, "suspected_bug", True, "violation_found", DZ), (1, "f", OOB, "suspected_bug", True, "violation_found", DZ), (2, "f", "long_method", "smell_heuristic", False, None, None),
+        (2, "f", DZ, "llm_false_positive", False, None, None), (3, "f", "long_method", "smell_heuristic", False, None, None), (3, "f", "many_parameters", "smell_heuristic", False, None, None),
+    ]
+    got = {(r.flow, r.category): (r.tp, r.fp, r.fn) for r in evaluation.category_counts(spark.createDataFrame(expected, EXPECTED), spark.createDataFrame(findings, FINDING)).collect()}
+    assert got == {("llm", DZ): (1, 1, 0), ("llm", OOB): (0, 1, 0), ("llm", "long_method"): (1, 1, 0), ("llm", "many_parameters"): (0, 1, 0), ("hybrid", DZ): (1, 0, 0), ("hybrid", OOB): (0, 1, 0)}
+
+
+def test_counters_take_two_shuffles_and_no_join(spark):
+    one = lambda row, schema: spark.createDataFrame([row], schema)
+    out = evaluation.case_counts(one((1,), "case_id long"), one((1, "f", DZ, True), EXPECTED), one((1, "f", DZ, "suspected_bug", True, None, None), FINDING), one((1, "f", "violation_found", DZ), DIRECT))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_numbering_of_ranges(spark):
+    keys = [7 * i % 1009 for i in range(1009)]
+    got = {r.k: r.case_idx for r in bootstrap.numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 16).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    assert bootstrap.numbered(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_report_parts(spark):
+    text = lambda **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v))
+    told = {}
+    for final in (*classify.PRIORITY, "llm_only_suspected", "clean"):
+        told[final] = text(f=final, c=DZ, e="a / b", d="detail").select(classify.interpretation(F.col("f"), F.col("c"), F.col("e"), F.lit("low"), F.col("d"))).first()[0]
+    assert len(set(told.values())) == len(told) and all(told.values()) and told["clean"] == "detail"
+    v = spark.createDataFrame([("suspected_bug", "true", None), ("suspected_bug", "false", "true"), ("llm_false_positive", "true", None), ("odd", None, None)], "t string, g string, u string").select(classify.validation(F.col("t"), F.col("g"), F.col("u")).alias("v")).collect()
+    assert [(r.v.valid, r.v.has_guard, r.v.ast_unrecognized) for r in v] == [(True, True, False), (True, False, True), (False, False, None), (False, False, None)]
+    direct = spark.createDataFrame([("a", 1, None), ("a", 3, "late"), ("a", 2, "first")], "file string, ord int, direct string")
+    assert [(r.file, r.direct) for r in classify.first_direct(direct).collect()] == [("a", "first")]
+    assert classify.ground_truth_block(None)["provided"] is False
+    assert classify.ground_truth_block(spark.createDataFrame([("a",), ("a",), ("b",)], "file string"))["total_expected_findings"] == 3
+    assert classify.experiment_block("full", None, "x", 5, 30, "t")["model"] == "unknown"
+    formats = {'[{"a": 1}]': "flat", '{"files": [], "summary": {}, "experiment": {}}': "full", '{"metrics": {}, "backend": "x"}': "benchmark", '{"metrics": {}}': "unknown"}
+    assert all(text(t=t).select(reports.report_format(F.col("t"))).first()[0] == want for t, want in formats.items())
+    rows = spark.createDataFrame([("k", "m", "llm_confirmed_by_esbmc"), ("l", "m", "llm_false_positive"), ("o", "n", "x")], "row_key string, model string, final_class string")
+    notes = spark.createDataFrame([("k", "false_positive", None), ("l", None, "")], "row_key string, verdict string, note string")
+    s = reports.stats(rows, reports.search(rows, notes, verdict=reports.EMPTY_FILTER), notes).first()
+    assert (s.models, s["rows"], s.visible, s.annotated, s.confirmed, s.false_positives) == (2, 3, 2, 1, 1, 1)
+    assert [r.row_key for r in reports.annotated(rows, notes).collect()] == ["k"]
+    assert [r.row_key for r in reports.search(rows, notes, text=" LLM_false ").collect()] == ["l"]
+    assert [r.model for r in reports.models(rows).collect()] == ["m", "n"]

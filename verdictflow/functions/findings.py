@@ -7,18 +7,45 @@ from pyspark.sql import functions as F
 
 from .verifier import FORMAL, SMELLS, has
 
-FINDING = "id string, stage string, finding_type string, category string, title string, explanation string, evidence string, verifiable boolean, confidence string, metadata struct<expression:string,line:string,relative_line:string,expected_exception:string>"
+FINDING = "id string, stage string, finding_type string, category string, title string, explanation string, evidence string, verifiable boolean, confidence string, expected_exception string, metadata struct<expression:string,line:string,relative_line:string>"
 RESPONSE = f"findings array<struct<{', '.join(x.replace(' ', ':', 1) for x in FINDING.split(', '))}>>"
 
 
+_SCALAR = r'^(?:"(?:[^"\\]++|\\.)*+"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)'
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _first_value_end(text: Column) -> Column:
+    """Length of the JSON object or array that opens the text; null if none does or it never closes.
+
+    Strings (with their escapes) are matched whole, so brackets inside them do not count. The text is cut into
+    strings and single brackets, and a running depth finds where the first value closes.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"|[\[\]{}]|[^"\[\]{}]++|"'), F.lit(0))
+    step = lambda x: F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+
+    def walk(state: Column, x: Column) -> Column:
+        depth, at = state["depth"] + step(x), state["at"] + F.length(x)
+        closed = state["end"].isNull() & (depth == 0) & (step(x) == -1)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(closed, at).otherwise(state["end"]).alias("end"))
+
+    return F.when(F.rlike(text, F.lit(r"^[\[{]")), F.aggregate(parts, start, walk)["end"])
+
+
 def clean_json(text: Column) -> Column:
-    """Drop think blocks and code fences, and turn Python literals into JSON ones (inside strings too)."""
-    out = F.trim(F.regexp_replace(F.trim(text), r"(?s)<think>.*?</think>", ""))
+    """Drop think blocks, code fences and what follows the first JSON value; Python literals become JSON ones (inside strings too)."""
+    out = stripped(F.regexp_replace(stripped(text), r"(?s)<think>.*?</think>", ""))
     for word, to in (("True", "true"), ("False", "false"), ("None", "null")):
         out = F.regexp_replace(out, rf"\b{word}\b", to)
-    out = F.regexp_replace(out, r"^\s+|\s+$", "")
-    inner = F.regexp_replace(F.regexp_replace(out, r"^```[^\n]*\n?", ""), r"\n?```\s*$", "")
-    return F.trim(F.when(F.startswith(out, F.lit("```")), inner).otherwise(out))
+    inner = stripped(F.regexp_replace(F.regexp_replace(out, r"^```[^\n]*\n?", ""), r"(?:^|\n)[ \t]*```\s*$", ""))
+    out = F.when(F.startswith(out, F.lit("```")), inner).otherwise(out)
+    scalar = F.regexp_extract(out, _SCALAR, 0)
+    nested = F.substr(out, F.lit(1), _first_value_end(out))
+    return F.when(scalar != "", scalar).when(F.try_parse_json(nested).isNotNull(), nested).otherwise(out)
 
 
 def parse_response(text: Column) -> Column:
@@ -45,15 +72,26 @@ def unique_id(finding_id: Column, repeat: Column, position: Column) -> Column:
     return F.when(repeat > 1, F.concat(finding_id, F.lit(":"), position.cast("string"))).otherwise(finding_id)
 
 
+_BLOCKS = "array<struct<type:string,text:string>>"
+_ENVELOPE = f"struct<output_text:string,output:array<struct<content:{_BLOCKS}>>,content:{_BLOCKS},choices:array<struct<message:struct<content:string>>>>"
+
+
+def _block_text(blocks: Column, *kinds: str) -> Column:
+    """Text of the first block of one of the kinds; other blocks, such as reasoning, are passed over."""
+    told = F.filter(blocks, lambda x: x["type"].isin(*kinds) & (F.coalesce(x["text"], F.lit("")) != ""))
+    return F.get(told, F.lit(0))["text"]
+
+
 def envelope_text(raw: Column) -> Column:
-    """Text of a provider's envelope: responses, messages or chat layout."""
-    get = lambda path: F.nullif(F.get_json_object(raw, path), F.lit(""))
-    return F.coalesce(get("$.output_text"), get("$.output[0].content[0].text"), get("$.content[0].text"), get("$.choices[0].message.content"))
+    """The answer in a provider's envelope, of the responses, messages or chat layout; null without one."""
+    e = F.from_json(raw, _ENVELOPE)
+    nested = F.flatten(F.transform(e["output"], lambda o: F.coalesce(o["content"], F.array().cast(_BLOCKS))))
+    return F.coalesce(e["output_text"], _block_text(nested, "output_text", "text"), _block_text(e["content"], "text"), F.nullif(F.get(e["choices"], F.lit(0))["message"]["content"], F.lit("")))
 
 
-def chat_text(raw: Column) -> Column:
-    """As envelope_text for chat layouts, where an empty answer is an empty list."""
-    return F.coalesce(F.nullif(F.get_json_object(raw, "$.choices[0].message.content"), F.lit("")), F.lit("[]"))
+def chat_findings(raw: Column) -> Column:
+    """Findings of a chat layout, where an answer that is empty or cannot be read has none."""
+    return F.coalesce(parse_response(F.get(F.from_json(raw, _ENVELOPE)["choices"], F.lit(0))["message"]["content"]), F.array().cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in FINDING.split(', '))}>>"))
 
 
 def operation_kind(category: Column) -> Column:
@@ -62,14 +100,14 @@ def operation_kind(category: Column) -> Column:
 
 def guarded_division(expression: Column, guards: Column) -> Column:
     """What follows the first operator found, in the order //, /, %, occurs in a guard."""
-    after = lambda op: F.trim(F.substr(expression, F.instr(expression, op) + len(op)))
+    after = lambda op: stripped(F.substr(expression, F.instr(expression, op) + len(op)))
     divisor = F.when(has(expression, "//"), after("//")).when(has(expression, "/"), after("/")).when(has(expression, "%"), after("%"))
     return F.coalesce((divisor != "") & F.exists(guards, lambda g: F.contains(g, divisor)), F.lit(False))
 
 
 def guarded_index(expression: Column, guards: Column) -> Column:
     """What stands between the first [ and the last ] occurs in a guard."""
-    index = F.trim(F.regexp_extract(expression, r"^[^\[]*\[(.*)\]", 1))
+    index = stripped(F.regexp_extract(expression, r"(?s)^[^\[]*\[(.*)\]", 1))
     return F.coalesce((index != "") & F.exists(guards, lambda g: F.contains(g, index)), F.lit(False))
 
 
@@ -77,12 +115,6 @@ def guard_covers(category: Column, expression: Column, guards: Column) -> Column
     return F.when(category == "division_by_zero", guarded_division(expression, guards)).when(category == "out_of_bounds", guarded_index(expression, guards)).otherwise(False)
 
 
-def constant_divisor(category: Column, expression: Column) -> Column:
-    """The divisor is a non-zero number literal; a signed one is not a literal."""
-    number = F.regexp_extract(expression, r"(?://|/|%)\s*(\d+(?:\.\d+)?)\s*$", 1)
-    return F.coalesce((category == "division_by_zero") & (number != "") & (number.try_cast("double") != 0), F.lit(False))
-
-
 def normal_form(finding_type: Column, category: Column, verifiable: Column, assertion_found: Column, operation_found: Column, expression_found: Column, constant: Column) -> Column:
     """The decision table of finding normalization: struct(rule, finding_type, verifiable). The first rule wins."""
     rows = (
@@ -103,13 +135,38 @@ def normal_form(finding_type: Column, category: Column, verifiable: Column, asse
     return out.otherwise(row("N10", finding_type, False))
 
 
+# Model aliases, default models of backends, and display names.
+ALIASES = {"claude": "claude-3-7-sonnet-20250219", "gpt": "gpt-4o", "gemini": "gemini-3.1-flash-lite", "deepseek": "deepseek-r1:7b"}
+DEFAULT_MODELS = {"openai": "gpt-4o", "anthropic": "claude-sonnet-4-6", "ollama": "deepseek-r1:7b", "google": "gemini-3.1-flash-lite"}
+SHORT_NAMES = {"gpt-4o": "GPT-4o", "claude-3-7-sonnet-20250219": "Claude 3.7 Sonnet", "deepseek-r1:7b": "DeepSeek-R1 Distill-Qwen-7B", "deepseek": "DeepSeek-R1 Distill-Qwen-7B"}
+
+
+def _looked_up(key: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
 def backend_of(model: Column) -> Column:
+    """The provider that a model's name tells; openai if there is no name."""
     low = F.lower(model)
-    return F.when(has(low, "claude"), "anthropic").when(has(low, "gemini"), "google").when(has(low, "gpt") | F.startswith(low, F.lit("o1")) | F.startswith(low, F.lit("o3")), "openai").otherwise("ollama")
+    named = F.when(has(low, "claude"), "anthropic").when(has(low, "gemini"), "google").when(has(low, "gpt") | has(low, "o1") | has(low, "o3") | has(low, "o4"), "openai").otherwise("ollama")
+    return F.when(model.isNull(), "openai").otherwise(named)
+
+
+def resolve_model(model: Column, backend: Column | None = None) -> Column:
+    """The full name of an alias; without a name, the default of the backend if one is given."""
+    out = F.coalesce(_looked_up(F.lower(model), ALIASES), model)
+    return out if backend is None else F.coalesce(F.nullif(out, F.lit("")), _looked_up(backend, DEFAULT_MODELS))
 
 
 def safe_name(label: Column) -> Column:
-    return F.regexp_replace(label, r"[^A-Za-z0-9._-]+", "-")
+    """A label as part of a file name: other characters than letters, digits, - and _ become _, outer ones go."""
+    kept = F.regexp_replace(F.regexp_replace(label, r"[^\p{L}\p{N}_-]", "_"), r"^_+|_+$", "")
+    return F.when(kept == "", "model").otherwise(kept)
+
+
+def short_name(label: Column) -> Column:
+    last = F.element_at(F.split(label, "/"), -1)
+    return F.coalesce(_looked_up(last, SHORT_NAMES), last)
 
 
 def base_name(path: Column) -> Column:
@@ -128,7 +185,7 @@ def escape_script(text: Column) -> Column:
 
 
 def fixed(value: Column, digits: int = 4) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", F.round(value, digits)), F.lit("N/A"))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.round(value, digits))).otherwise("N/A")
 
 
 def row_key(*parts: Column) -> Column:

@@ -12,10 +12,33 @@ def assertion_lines(source: Column) -> Column:
     return F.filter(numbered, lambda x: F.startswith(x["text"], F.lit("assert ")) | F.contains(x["text"], F.lit("raise AssertionError")))
 
 
-def raw_prompt(name: Column, source: Column) -> Column:
-    return F.concat(F.lit("Examine the function "), name, F.lit(" for faults and answer in JSON.\n\n"), source)
+def _metadata(unit: str, full: bool) -> Column:
+    """What a prompt tells of a unit: its place, parameters and hints; counts of the syntax tree only if `full`."""
+    c = lambda name: F.col(f"{unit}.{name}" if unit else name)
+    counts = [c("line_count"), c("parameter_count"), *([c("branch_count"), c("loop_count"), c("operation_count")] if full else [])]
+    return F.to_json(F.struct(c("start_line"), c("end_line"), c("parameters"), c("type_hints"), F.struct(*counts).alias("metrics")))
 
 
-def hints_prompt(path: Column, name: Column, source: Column, operations: Column, guards: Column, branches: Column, loops: Column) -> Column:
-    facts = F.to_json(F.struct(path.alias("path"), F.size(operations).alias("operations"), branches.alias("branches"), loops.alias("loops"), guards.alias("guards"), F.transform(operations, lambda o: F.concat_ws(" ", o["kind"], o["expression"])).alias("found")))
-    return F.concat(raw_prompt(name, source), F.lit("\n\nFacts from the syntax tree: "), facts)
+def _listed(items: Column) -> Column:
+    return F.when(F.size(items) == 0, "- none").otherwise(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"))
+
+
+def _question(unit: str) -> Column:
+    c = lambda name: F.col(f"{unit}.{name}" if unit else name)
+    return F.concat(F.lit("Examine the function "), c("qualname"), F.lit(" for faults that a verifier could prove, and for smells. Answer in JSON only.\n"))
+
+
+def raw_prompt(unit: str = "") -> Column:
+    """The prompt of a unit (columns of extract_units(), or of the struct column `unit`): name, source, parameters, hints, two sizes."""
+    c = lambda name: F.col(f"{unit}.{name}" if unit else name)
+    return F.concat(_question(unit), F.lit("\nSource:\n```python\n"), c("source"), F.lit("\n```\n\nAbout it: "), _metadata(unit, False))
+
+
+def hints_prompt(unit: str = "") -> Column:
+    """As raw_prompt(), with the operations, assertions and guards that the syntax tree shows, and all counts."""
+    c = lambda name: F.col(f"{unit}.{name}" if unit else name)
+    at = lambda o: F.concat(F.lit("line "), o["relative_line"].cast("string"), F.lit(": "), o["expression"])
+    kind = lambda k: _listed(F.transform(F.filter(c("operations"), lambda o: o["kind"] == k), at))
+    asserted = _listed(F.transform(assertion_lines(c("source")), lambda x: F.concat(F.lit("line "), x["relative_line"].cast("string"), F.lit(": "), x["text"])))
+    parts = [_question(unit), F.lit("\nDivisions:\n"), kind("division"), F.lit("\nSubscripts:\n"), kind("subscript"), F.lit("\nAssertions:\n"), asserted, F.lit("\nGuards:\n"), _listed(c("guards"))]
+    return F.concat(*parts, F.lit("\n\nSource:\n```python\n"), c("source"), F.lit("\n```\n\nAbout it: "), _metadata(unit, True))

@@ -21,6 +21,25 @@ def lcg_resample(counts: DataFrame, n: int, turns: int) -> DataFrame:
     return grid.select("b", F.expr(f"((b * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % {n}").alias("case_idx"))
 
 
+def numbered(rows: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """rows with case_idx from 0 in the order of the distinct number `key`: ranges between quantiles are numbered each by itself.
+
+    Only the quantiles and one count for each range reach the driver; both follow from the rows alone, so a task that
+    is run again numbers alike.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(key, shares)).first()[0] or []))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    ranged = rows.withColumn("_part", part)
+    start, starts = 0, []
+    for r in sorted(ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        starts += [F.lit(r["_part"]), F.lit(start)]
+        start += r["n"]
+    first = F.element_at(F.create_map(*starts), F.col("_part")) if starts else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return ranged.withColumn("case_idx", (first + rank - 1).cast("long")).drop("_part")
+
+
 def seeded_resample(spark, n: int, turns: int = 2000, seed: int = 42) -> DataFrame:
     """(b, case_idx) as Python's random.Random(seed).choice draws them, case after case in load order."""
     r = random.Random(seed)
@@ -28,7 +47,7 @@ def seeded_resample(spark, n: int, turns: int = 2000, seed: int = 42) -> DataFra
 
 
 def intervals(counts: DataFrame, resample: DataFrame, turns: int, level: float = 0.95) -> DataFrame:
-    """metric, low, high; counts has case_idx and COUNTERS."""
+    """metric, low, high; counts has case_idx and COUNTERS. Draws are joined by shuffle or broadcast as their sizes say."""
     sums = resample.join(counts, "case_idx").groupBy("b").agg(*[F.sum(c).alias(c) for c in COUNTERS])
     metrics = metric_columns()
     long = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics.items()])).alias("x")).select("x.*")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.verifier import NO_VIOLATION, SKIPPED, VIOLATION
-from .matching import KEYS, match_counts, missed, per_case
+from ..functions.verifier import NO_VIOLATION, SKIPPED, VIOLATION, property_category
+from .matching import KEYS
 
 COUNTERS = ["bug_tp", "bug_fp", "bug_fn", "smell_tp", "smell_fp", "smell_fn", "func_tp", "func_fp", "func_fn", "func_tn", "hallucinations", "ghosts", "out_of_scope", "confirmed", "not_confirmed", "inconclusive", "skipped", "hybrid_tp", "hybrid_fp", "hybrid_fn", "hybrid_func_tp", "hybrid_func_fp", "hybrid_func_fn", "hybrid_func_tn", "direct_tp", "direct_fp", "direct_fn", "direct_func_tp", "direct_func_fp", "direct_func_fn", "direct_func_tn", "native_bugs", "missed_by_analyzer"]
 
@@ -30,36 +30,52 @@ def is_ghost():
     return ~F.col("verifiable") & (F.col("finding_type") == "suspected_bug")
 
 
-def case_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direct: DataFrame) -> DataFrame:
-    """case_id and COUNTERS, for every case."""
-    bugs, exp_bugs = findings.where("verifiable"), expected.where("verifiable")
-    exp_smells = expected.where("NOT verifiable AND category <> 'clean'")
-    verdict = confirmation(F.col("status"), F.col("property"), F.col("category"))
-    told = findings.groupBy("case_id").agg(
-        F.count_if("verifiable").alias("n_bugs"), F.count_if(is_smell()).alias("n_smells"), F.count_if(F.col("finding_type") == "llm_false_positive").alias("hallucinations"),
-        F.count_if(is_ghost()).alias("ghosts"), F.count_if(F.col("finding_type") == "out_of_scope_finding").alias("out_of_scope"),
-        *[F.count_if(F.col("verifiable") & (verdict == k)).alias(k) for k in ("confirmed", "not_confirmed", "inconclusive", "skipped")],
+#: Columns of key_counts(): how many rows of each kind a match key has.
+_KINDS = ("g_bug", "g_smell", "hallucinations", "ghosts", "out_of_scope", "confirmed", "not_confirmed", "inconclusive", "skipped", "e_bug", "e_smell", "e_clean", "e_any", "native", "is_case")
+
+
+def _kinds(rows: DataFrame, **kinds) -> DataFrame:
+    return rows.select(*KEYS, *[(kinds[k].cast("long") if k in kinds else F.lit(0).cast("long")).alias(k) for k in _KINDS])
+
+
+def key_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direct: DataFrame) -> DataFrame:
+    """KEYS and _KINDS: one aggregate over all inputs. A case is a row of its own, with null function and category."""
+    verdict = F.when(F.col("verifiable"), confirmation(F.col("status"), F.col("property"), F.col("category")))
+    told = _kinds(
+        findings, g_bug=F.col("verifiable"), g_smell=is_smell(), hallucinations=F.col("finding_type") == "llm_false_positive", ghosts=is_ghost(), out_of_scope=F.col("finding_type") == "out_of_scope_finding",
+        **{k: F.coalesce(verdict == k, F.lit(False)) for k in ("confirmed", "not_confirmed", "inconclusive", "skipped")},
     )
-    wanted = expected.groupBy("case_id").agg(F.count_if("verifiable").alias("n_exp_bugs"), F.bool_and(F.col("category") == "clean").alias("clean"))
-    judged = bugs.withColumn("verdict", verdict)
-    stray = judged.where("verdict = 'inconclusive'").join(exp_bugs.select(*KEYS).distinct(), KEYS, "left_anti").groupBy("case_id").agg(F.count("*").alias("stray"))
-    native = direct.where(F.col("status") == VIOLATION).withColumn("category", F.col("property"))
-    parts = [
-        told, wanted, stray,
-        per_case(match_counts(bugs, exp_bugs), "b"), per_case(match_counts(findings.where(is_smell()), exp_smells), "s"),
-        per_case(match_counts(judged.where("verdict = 'confirmed'"), exp_bugs), "h"), per_case(match_counts(native, exp_bugs), "d"),
-        native.groupBy("case_id").agg(F.count("*").alias("native_bugs")), missed(native, bugs).groupBy("case_id").agg(F.sum("missed").alias("missed_by_analyzer")),
-    ]
-    out = cases.select("case_id")
-    for p in parts:
-        out = out.join(p, "case_id", "left")
-    out = out.withColumn("clean", F.coalesce("clean", F.lit(False))).na.fill(0)
-    clean, extra = F.col("clean"), F.col("hallucinations") + F.col("ghosts")
-    has_bugs = F.col("n_exp_bugs") > 0
+    bug, clean = F.col("verifiable"), F.col("category") == "clean"
+    wanted = _kinds(expected, e_bug=bug, e_smell=~bug & ~clean, e_clean=clean, e_any=F.lit(True))
+    native = _kinds(direct.where(F.col("status") == VIOLATION).withColumn("category", F.col("property")), native=F.lit(True))
+    known = _kinds(cases.select("case_id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("function")), is_case=F.lit(True))
+    rows = told.unionByName(wanted).unionByName(native).unionByName(known)
+    return rows.groupBy(*KEYS).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _KINDS])
+
+
+def _matched(g: str, e: str, prefix: str) -> dict:
+    """Greedy one-to-one matching of g found and e expected rows of a key, as counts."""
+    found, wanted = F.col(g), F.col(e)
+    return {f"{prefix}_tp": F.least(found, wanted), f"{prefix}_fp": F.greatest(found - wanted, F.lit(0)), f"{prefix}_fn": F.greatest(wanted - found, F.lit(0))}
+
+
+def _flow_counts(keys: DataFrame) -> DataFrame:
+    """key_counts() with the matches of each flow; an inconclusive finding that nobody expected counts as `stray`."""
+    return keys.withColumns(_matched("g_bug", "e_bug", "b") | _matched("g_smell", "e_smell", "s") | _matched("confirmed", "e_bug", "h") | _matched("native", "e_bug", "d") | {"stray": F.when(F.col("e_bug") == 0, F.col("inconclusive")).otherwise(0), "missed": F.greatest(F.col("native") - F.col("g_bug"), F.lit(0))})
+
+
+def case_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direct: DataFrame) -> DataFrame:
+    """case_id and COUNTERS, for every case: one aggregate by match key, then one by case; no joins."""
+    each = _flow_counts(key_counts(cases, expected, findings, direct))
+    sums = [*_KINDS, *[f"{p}_{c}" for p in "bshd" for c in ("tp", "fp", "fn")], "stray", "missed"]
+    out = each.groupBy("case_id").agg(*[F.sum(c).alias(c) for c in sums]).where("is_case > 0")
+    clean, extra = (F.col("e_any") > 0) & (F.col("e_any") == F.col("e_clean")), F.col("hallucinations") + F.col("ghosts")
+    has_bugs = F.col("e_bug") > 0
     out = out.withColumns({
-        "bug_tp": F.when(clean, 0).otherwise(F.col("b_tp")), "bug_fn": F.when(clean, 0).otherwise(F.col("b_fn")), "bug_fp": F.when(clean, F.col("n_bugs") + extra).otherwise(F.col("b_fp") + extra),
-        "smell_tp": F.when(clean, 0).otherwise(F.col("s_tp")), "smell_fn": F.when(clean, 0).otherwise(F.col("s_fn")), "smell_fp": F.when(clean, F.col("n_smells")).otherwise(F.col("s_fp")),
+        "clean": clean, "bug_tp": F.when(clean, 0).otherwise(F.col("b_tp")), "bug_fn": F.when(clean, 0).otherwise(F.col("b_fn")), "bug_fp": F.when(clean, F.col("g_bug") + extra).otherwise(F.col("b_fp") + extra),
+        "smell_tp": F.when(clean, 0).otherwise(F.col("s_tp")), "smell_fn": F.when(clean, 0).otherwise(F.col("s_fn")), "smell_fp": F.when(clean, F.col("g_smell")).otherwise(F.col("s_fp")),
         "hybrid_tp": F.col("h_tp"), "hybrid_fp": F.col("h_fp") + F.col("stray"), "hybrid_fn": F.col("h_fn"), "direct_tp": F.col("d_tp"), "direct_fp": F.col("d_fp"), "direct_fn": F.col("d_fn"),
+        "native_bugs": F.col("native"), "missed_by_analyzer": F.col("missed"),
     })
     for flow, func in (("bug", "func"), ("hybrid", "hybrid_func"), ("direct", "direct_func")):
         tp, fp = F.col(f"{flow}_tp") > 0, F.col(f"{flow}_fp") > 0
@@ -75,11 +91,29 @@ def missing_file_counts(cases: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("case_id", *[own.get(c, F.lit(0)).cast("long").alias(c) for c in COUNTERS])
 
 
-def category_counts(expected: DataFrame, findings: DataFrame) -> DataFrame:
-    """category, tp, fp, fn of the analyzer's bugs; hallucinations and ghosts are false positives of theirs."""
-    counts = match_counts(findings.where("verifiable"), expected.where("verifiable")).groupBy("category").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    extra = findings.where((F.col("finding_type") == "llm_false_positive") | is_ghost()).groupBy("category").agg(F.lit(0).alias("tp"), F.count("*").alias("fp"), F.lit(0).alias("fn"))
-    return counts.unionByName(extra).groupBy("category").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+def category_counts(expected: DataFrame, findings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, flow, category, tp, fp, fn (by: columns of both inputs that follow from the case): the analyzer's bugs and smells (llm), and what the verifier confirmed (hybrid).
+
+    Hallucinations and ghosts are false positives of their category; in a clean case all findings are. Categories
+    without any verdict have no row.
+    """
+    none = expected.select("case_id", "function", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("property")).limit(0)
+    each = _flow_counts(key_counts(expected.select("case_id").limit(0), expected, findings, none))
+    by = by or []
+    cases = expected.select("case_id", "category", *by).unionByName(findings.select("case_id", F.lit(None).cast("string").alias("category"), *by))
+    cases = cases.groupBy("case_id").agg(F.coalesce(F.bool_and(F.col("category") == "clean"), F.lit(False)).alias("clean"), *[F.max(c).alias(c) for c in by])
+    each = each.join(cases, "case_id")
+    n = lambda c: F.when(F.col("clean"), 0).otherwise(F.col(f"b_{c}") + F.col(f"s_{c}"))
+    told = F.when(F.col("clean"), F.col("g_bug") + F.col("g_smell")).otherwise(F.col("b_fp") + F.col("s_fp")) + F.col("hallucinations") + F.col("ghosts")
+    row = lambda flow, tp, fp, fn: F.struct(F.lit(flow).alias("flow"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    flows = F.array(row("llm", n("tp"), told, n("fn")), row("hybrid", F.col("h_tp"), F.col("h_fp") + F.col("stray"), F.col("h_fn")))
+    long = each.select(*by, "category", F.explode(flows).alias("x")).groupBy(*by, "x.flow", "category").agg(*[F.sum(f"x.{c}").cast("long").alias(c) for c in ("tp", "fp", "fn")])
+    return long.where("tp + fp + fn > 0")
+
+
+def flow_a_findings(functions: DataFrame) -> DataFrame:
+    """case_id, function, status, property of the functions of files with a violation: rows (case_id, function, status, property_kind, property_text)."""
+    return functions.where(F.col("status") == VIOLATION).select("case_id", "function", "status", property_category(F.concat_ws(" ", F.coalesce("property_kind", F.lit("")), F.coalesce("property_text", F.lit("")))).alias("property"))
 
 
 def totals(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -94,7 +128,7 @@ def metric_columns() -> dict:
     out = {}
     for flow, (c, f) in FLOWS.items():
         tp, fp, fn = f"{c}_tp", f"{c}_fp", f"{c}_fn"
-        out |= {f"{flow}_precision": M.precision(tp, fp), f"{flow}_recall": M.recall(tp, fn), f"{flow}_f1": M.f1(tp, fp, fn), f"{flow}_mcc": M.mcc(f"{f}_tp", f"{f}_fp", f"{f}_fn", f"{f}_tn")}
+        out |= {f"{flow}_bug_precision": M.precision(tp, fp), f"{flow}_bug_recall": M.recall(tp, fn), f"{flow}_bug_f1": M.f1(tp, fp, fn), f"{flow}_bug_mcc": M.mcc(f"{f}_tp", f"{f}_fp", f"{f}_fn", f"{f}_tn")}
     tp, fp, fn = "smell_tp", "smell_fp", "smell_fn"
     return out | {"smell_precision": M.precision(tp, fp), "smell_recall": M.recall(tp, fn), "smell_f1": M.f1(tp, fp, fn)}
 

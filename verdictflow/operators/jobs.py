@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.verifier import VIOLATION, file_status
+from ..functions.verifier import FORMAL, VIOLATION, file_status
 
 # The verifier's command line.
 BASE_COMMAND, PARAMETER_FLAG = "esbmc", "--assign-param-nondet"
@@ -39,3 +39,14 @@ def file_rollup(files: DataFrame, runs: DataFrame, key: str = "file") -> DataFra
     per = runs.groupBy(key).agg(file_status(F.col("status")).alias("status"), F.count("*").alias("functions"), bad.alias("violating"))
     out = files.join(per, key, "left")
     return out.select(key, F.coalesce("status", F.lit("skipped")).alias("status"), F.coalesce("functions", F.lit(0)).alias("functions"), F.coalesce("violating", F.array().cast("array<string>")).alias("violating"))
+
+
+def sweep_tally(rows: DataFrame, expected: str = "category") -> DataFrame:
+    """category, ok, fail, skip, total: whether runs end as their category wants.
+
+    rows: category, function (null where the file has none) and sweep_status(). Bugs should fail verification,
+    anything else should pass it.
+    """
+    want = F.when(F.col(expected).isin(*FORMAL), "FAILED").otherwise("SUCCESSFUL")
+    none = F.col("function").isNull()
+    return rows.groupBy(expected).agg(F.count_if(~none & (F.col("sweep_status") == want)).alias("ok"), F.count_if(~none & (F.col("sweep_status") != want)).alias("fail"), F.count_if(none).alias("skip"), F.count("*").alias("total"))

@@ -32,7 +32,3 @@ def match_verdicts(found: DataFrame, expected: DataFrame, keys: list[str] = KEYS
 def missed(baseline: DataFrame, found: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Multiset difference: keys, missed > 0."""
     return match_counts(found, baseline, keys).where("fn > 0").select(*keys, F.col("fn").alias("missed"))
-
-
-def per_case(counts: DataFrame, prefix: str) -> DataFrame:
-    return counts.groupBy("case_id").agg(*[F.sum(c).alias(f"{prefix}_{c}") for c in ("tp", "fp", "fn")])

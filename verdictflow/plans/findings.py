@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import findings as A
-from ..operators import lint
+from ..operators import evaluation, flows, lint, normalize
+from ..sources import code
 from . import fixtures as X
+from .evaluation import CATEGORY_SQL as _CATEGORY_SQL
+from .evaluation import counts_sql as _COUNTS_OF
 
 
 def _responses(spark, d):
@@ -15,8 +18,8 @@ def _responses(spark, d):
 
 
 def _findings(spark, d):
-    rows = _responses(spark, d).select("conv_id", "turn", "role", F.posexplode(A.parse_response(F.col("response"))).alias("pos", "f"))
-    return rows.select("conv_id", "turn", "role", "pos", "f.*")
+    rows = _responses(spark, d).select("conv_id", "turn", "role", "response", F.lit("x").alias("unit_key"))
+    return normalize.explode_findings(rows)
 
 
 def sanitize_json(spark, d):
@@ -24,12 +27,12 @@ def sanitize_json(spark, d):
 
 
 def findings_explode(spark, d):
-    return _findings(spark, d).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "category", "verifiable", F.col("metadata.expression").alias("expression"))
+    return _findings(spark, d).select("conv_id", "turn", (F.col("pos") - 1).cast("long").alias("pos"), "category", "verifiable", F.col("metadata.expression").alias("expression"))
 
 
 def finding_defaults(spark, d):
     f = _findings(spark, d)
-    return f.select("conv_id", "turn", A.or_default(F.col("id"), "unknown").alias("id"), A.or_default(F.col("stage"), "llm_analysis").alias("stage"), A.or_default(F.col("finding_type"), "smell_heuristic").alias("finding_type"), A.or_default(F.col("confidence"), "low").alias("confidence"), A.safe_int(F.col("metadata.line")).cast("long").alias("line"), F.size(A.evidence_list(F.col("evidence"))).cast("long").alias("evidence"))
+    return normalize.with_defaults(f).select("conv_id", "turn", "id", "stage", "finding_type", "confidence", F.col("line").cast("long").alias("line"), F.size("evidence").cast("long").alias("evidence"))
 
 
 def unique_ids(spark, d):
@@ -43,14 +46,53 @@ def envelope_extract(spark, d):
     q = F.lit('"')
     rows = _responses(spark, d)
     content = F.concat(q, "role", F.lit(" "), F.col("turn").cast("string"), q)
-    raw = F.when(F.col("turn") % 4 == 0, F.concat(F.lit('{"output_text": '), content, F.lit("}"))).when(F.col("turn") % 4 == 1, F.concat(F.lit('{"content": [{"text": '), content, F.lit("}]}"))).when(F.col("turn") % 4 == 2, F.concat(F.lit('{"choices": [{"message": {"content": '), content, F.lit("}}]}"))).otherwise('{"choices": []}')
-    return rows.select("conv_id", "turn", A.envelope_text(raw).alias("text"), A.chat_text(raw).alias("chat"))
+    wrap = lambda head, tail: F.concat(F.lit(head), content, F.lit(tail))
+    layouts = {0: wrap('{"output_text": ', "}"), 1: wrap('{"content": [{"type": "thinking", "text": "no"}, {"type": "text", "text": ', "}]}"), 2: wrap('{"choices": [{"message": {"content": ', "}}]}"), 3: F.lit('{"choices": []}'), 4: wrap('{"output": [{"type": "reasoning", "content": []}, {"content": [{"type": "refusal", "text": "no"}, {"type": "output_text", "text": ', "}]}]}")}
+    raw = F.coalesce(*[F.when(F.col("turn") % 5 == k, v) for k, v in layouts.items()])
+    body = F.concat(F.lit('{"choices": [{"message": {"content": '), F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("body").alias("b"))).substr(F.lit(6), F.lit(1 << 20))).otherwise('""}'), F.lit("}]}"))
+    return rows.select("conv_id", "turn", A.envelope_text(raw).alias("text"), F.size(A.chat_findings(body)).cast("long").alias("chat"))
 
 
-def normalize(spark, d):
-    f = _findings(spark, d)
-    n = A.normal_form(A.or_default(F.col("finding_type"), "smell_heuristic"), F.col("category"), F.col("verifiable"), F.col("conv_id") % 3 == 0, F.col("conv_id") % 2 == 0, F.col("conv_id") % 5 < 3, A.constant_divisor(F.col("category"), F.col("metadata.expression")))
-    return f.select("conv_id", "turn", n.alias("n")).select("conv_id", "turn", "n.*")
+def _units(spark, d):
+    return flows.keyed_units(code.extract_units(X.bound(spark, d, X.UNITS)))
+
+
+def _flow_inputs(spark, d):
+    return _units(spark, d), X.bound(spark, d, X.UNIT_RESPONSES), X.bound(spark, d, X.UNIT_RUNS)
+
+
+def normalize_rows(spark, d):
+    units, responses, _ = _flow_inputs(spark, d)
+    return normalize.analyzed(units, responses).select("path", "pos", "id", "rule", "finding_type", "category", "verifiable", "line", "relative_line", "has_guard", "ast_unrecognized", "original_category")
+
+
+def flow_hybrid(spark, d):
+    out = flows.hybrid(*_flow_inputs(spark, d))
+    return out.select("file", "pos", "unit_name", "status", "final_class")
+
+
+def flow_analyzer_only(spark, d):
+    units, responses, _ = _flow_inputs(spark, d)
+    return flows.analyzer_only(units, responses).groupBy("unit_name", "final_class").agg(F.count("*").alias("n"))
+
+
+def flow_verifier_only(spark, d):
+    units, _, runs = _flow_inputs(spark, d)
+    _, files = flows.verifier_only(units.select(F.col("path").alias("file")).distinct(), units, runs)
+    return files.select("file", "status", F.col("functions").cast("long").alias("functions"), F.array_join("violating", ",").alias("violating"), "summary")
+
+
+def flow_benchmark(spark, d):
+    units, responses, runs = _flow_inputs(spark, d)
+    cases, expected = X.bound(spark, d, X.UNIT_CASES), X.bound(spark, d, X.UNIT_EXPECTED)
+    counts, _ = flows.benchmark(cases, expected, units, responses, runs)
+    return evaluation.totals(counts)
+
+
+def flow_benchmark_categories(spark, d):
+    units, responses, runs = _flow_inputs(spark, d)
+    cases, expected = X.bound(spark, d, X.UNIT_CASES), X.bound(spark, d, X.UNIT_EXPECTED)
+    return flows.benchmark(cases, expected, units, responses, runs)[1]
 
 
 def guard_cover(spark, d):
@@ -64,9 +106,9 @@ def guard_cover(spark, d):
 
 def backend_infer(spark, d):
     rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
-    k = F.col("doc_id") % 4
-    model = F.concat(F.when(k == 0, "GPT-4o mini/").when(k == 1, "claude x ").when(k == 2, "Gemini:").otherwise("qwen "), F.col("source"))
-    return rows.groupBy(A.backend_of(model).alias("backend"), A.safe_name(model).alias("name"), A.base_name(model).alias("short")).agg(F.count("*").alias("n"))
+    k = F.col("doc_id") % 7
+    model = F.when(k == 0, F.concat(F.lit("GPT-4o mini/"), "source")).when(k == 1, F.concat(F.lit("claude x "), "source")).when(k == 2, F.concat(F.lit("Gemini:"), "source")).when(k == 3, F.concat(F.lit("__qwen."), "source")).when(k == 4, "azure/o4-mini").when(k == 5, "DeepSeek")
+    return rows.groupBy(model.alias("model"), A.backend_of(model).alias("backend"), A.safe_name(model).alias("name"), A.short_name(model).alias("short"), A.resolve_model(model, A.backend_of(model)).alias("resolved")).agg(F.count("*").alias("n"))
 
 
 def escapes(spark, d):
@@ -77,7 +119,7 @@ def escapes(spark, d):
 def _shapes(spark, d):
     rows = X.bound(spark, d, X.EXPECTED)
     n = F.col("case_id")
-    issues = lint.shape_issues(F.col("category"), F.col("verifiable"), F.col("verifiable") & (n % 7 != 0), F.when(F.col("verifiable") & (n % 5 != 0), "x / y").otherwise(""), F.when(F.col("verifiable"), "Error").when(F.col("category") != "clean", F.when(n % 3 == 0, "smell").otherwise("odd")))
+    issues = lint.shape_issues(F.col("category"), F.col("verifiable"), F.col("verifiable") & (n % 7 != 0), F.when(F.col("verifiable") & (n % 5 != 0), "x / y").otherwise(""), F.when(F.col("verifiable"), "Error").when(F.col("category") != "clean", F.when(n % 3 == 0, "smell").otherwise("odd")).otherwise("x"))
     return rows.withColumn("issues", issues)
 
 
@@ -98,8 +140,46 @@ def lint_near_line(spark, d):
 _R = f"r AS ({X.RESPONSES})"
 # The clean form of every response is its body with JSON literals.
 _CLEAN = "replace(body, 'True', 'true')"
-_F = f"{_R}, j AS (SELECT *, {_CLEAN} || CASE WHEN conv_id % 4 = 3 THEN ' That is all.' ELSE '' END AS clean, CASE turn % 4 WHEN 0 THEN 'assertion_violation' WHEN 1 THEN 'division_by_zero' WHEN 2 THEN 'long_method' ELSE 'naming' END AS category, turn % 2 = 0 AS verifiable FROM r)"
-_MODEL = "CASE doc_id % 4 WHEN 0 THEN 'GPT-4o mini/' WHEN 1 THEN 'claude x ' WHEN 2 THEN 'Gemini:' ELSE 'qwen ' END || source"
+_F = f"{_R}, j AS (SELECT *, {_CLEAN} AS clean, CASE turn % 4 WHEN 0 THEN 'assertion_violation' WHEN 1 THEN 'division_by_zero' WHEN 2 THEN 'long_method' ELSE 'naming' END AS category, turn % 2 = 0 AS verifiable FROM r)"
+_MODEL = "CASE doc_id % 7 WHEN 0 THEN 'GPT-4o mini/' || source WHEN 1 THEN 'claude x ' || source WHEN 2 THEN 'Gemini:' || source WHEN 3 THEN '__qwen.' || source WHEN 4 THEN 'azure/o4-mini' WHEN 5 THEN 'DeepSeek' END"
+# What the three units hold, written out by hand: unit, operations in order, guards, expressions and assertions.
+_FACTS = """shapes AS (SELECT * FROM (VALUES (0, 'f'), (1, 'g'), (2, 'h')) t(shape, name)),
+ops AS (SELECT * FROM (VALUES (0, 1, 'division', 'a // b', 3), (0, 2, 'division', 'a % 7', 4), (1, 1, 'call', 'len(rows)', 3), (1, 2, 'subscript', 'rows[i]', 4), (1, 3, 'division', 'rows[0] / i', 5), (1, 4, 'subscript', 'rows[0]', 5), (2, 1, 'call', 'range(n)', 2)) t(shape, ord, kind, expression, line)),
+guards AS (SELECT * FROM (VALUES (0, 'b != 0'), (1, 'i >= 0'), (1, 'i < len(rows)')) t(shape, guard)),
+executable AS (SELECT * FROM (VALUES (0, 'b != 0'), (0, 'a // b'), (0, 'a % 7'), (1, 'i >= 0'), (1, 'i < len(rows)'), (1, 'len(rows)'), (1, 'rows[i]'), (1, 'rows[0]'), (1, 'rows[0] / i'), (2, 'range(n)'), (2, 'n - k')) t(shape, expression)),
+asserts AS (SELECT * FROM (VALUES (1, 'i >= 0')) t(shape, test)),
+forms AS (SELECT * FROM (VALUES ('a // b', 'a // b', 'a // b', false, 'b'), ('a % 7', 'a % 7', 'a % 7', true, '7'), ('rows[i]', 'rows[i]', 'rows[i]', false, 'i'), ('len(rows)', 'len(rows)', 'len(rows)', false, NULL), ('assert i>=0', NULL, 'i >= 0', false, NULL), ('rows[0]/i', 'rows[0] / i', 'rows[0] / i', false, 'i'), ('a%7', 'a % 7', 'a % 7', true, '7'), ('k > 0', 'k > 0', 'k > 0', false, NULL)) t(expression, normal, assertion, constant, guarded_by))"""
+_src = " ".join(f"WHEN {i} THEN {X._text(t)}" for i, t in enumerate(X.UNIT_SOURCES))
+_told = " UNION ALL ".join(f"SELECT conv_id, turn, CAST({j + 1} AS INTEGER) AS pos, {X._given(j)} AS given, {X._pick(j, 0)} AS category, {X._pick(j, 1)} AS expression, {X._pick(j, 2)} = 'true' AS claimed FROM conversations" for j in range(3))
+_NORMAL = f"""{_FACTS}, told AS ({_told}),
+named AS (SELECT told.*, name, conv_id % 3 AS shape, {X._KEY} || '.py' AS path, CASE WHEN given = '' THEN 'unknown' WHEN trim(given) = '' THEN name || ':llm:' || CAST(pos AS VARCHAR) ELSE given END AS base FROM told JOIN shapes ON conv_id % 3 = shape),
+seen AS (SELECT *, row_number() OVER (PARTITION BY path, base ORDER BY pos) AS k FROM named),
+checked AS (SELECT seen.*, normal, coalesce(constant AND category = 'division_by_zero', false) AS constant, guarded_by,
+    (SELECT min(ord) FROM ops o WHERE o.shape = seen.shape AND o.kind = CASE seen.category WHEN 'division_by_zero' THEN 'division' WHEN 'out_of_bounds' THEN 'subscript' END AND (seen.expression = '' OR o.expression = seen.expression)) AS op,
+    EXISTS (SELECT 1 FROM executable x WHERE x.shape = seen.shape AND x.expression = normal) AS there,
+    CASE WHEN seen.expression = '' THEN EXISTS (SELECT 1 FROM asserts a WHERE a.shape = seen.shape) ELSE contains(CASE seen.shape {_src} END, seen.expression) OR EXISTS (SELECT 1 FROM asserts a WHERE a.shape = seen.shape AND a.test = assertion) END AS asserted,
+    EXISTS (SELECT 1 FROM guards g WHERE g.shape = seen.shape AND contains(g.guard, guarded_by)) AS guarded
+  FROM seen LEFT JOIN forms ON forms.expression = seen.expression),
+ruled AS (SELECT *, CASE WHEN category NOT IN ('assertion_violation', 'division_by_zero', 'out_of_bounds', 'long_method', 'many_parameters', 'complex_conditional') THEN 'N1' WHEN NOT claimed THEN 'N10'
+    WHEN category = 'assertion_violation' THEN CASE WHEN asserted THEN 'N2' ELSE 'N3' END WHEN category NOT IN ('division_by_zero', 'out_of_bounds') THEN 'N4'
+    WHEN op IS NOT NULL THEN CASE WHEN constant THEN 'N5' ELSE 'N6' END WHEN there THEN CASE WHEN constant THEN 'N7' ELSE 'N8' END ELSE 'N9' END AS rule FROM checked),
+normal AS (SELECT path, pos, CASE WHEN k > 1 THEN base || ':' || CAST(pos AS VARCHAR) ELSE base END AS id, rule, category, name, conv_id, turn,
+    CASE WHEN rule = 'N1' THEN 'out_of_scope_finding' WHEN rule IN ('N3', 'N5', 'N7', 'N9') THEN 'llm_false_positive' WHEN rule = 'N4' THEN 'smell_heuristic' ELSE 'suspected_bug' END AS finding_type, rule IN ('N2', 'N6', 'N8') AS verifiable,
+    CASE WHEN rule IN ('N5', 'N6') THEN (SELECT line FROM ops o WHERE o.shape = ruled.shape AND o.ord = op) ELSE 1 END AS line, CASE WHEN rule IN ('N5', 'N6') THEN (SELECT line FROM ops o WHERE o.shape = ruled.shape AND o.ord = op) ELSE 0 END AS relative_line,
+    CASE WHEN rule = 'N6' THEN CASE WHEN guarded THEN 'true' ELSE 'false' END WHEN rule NOT IN ('N4', 'N10') THEN 'false' END AS has_guard, CASE WHEN rule = 'N8' THEN 'true' END AS ast_unrecognized, CASE WHEN rule = 'N1' THEN category END AS original_category FROM ruled)"""
+# The run of a unit's function, by the row's number: two kinds of violation, a pass, a crash, and none.
+_RUN = "CASE (conv_id + turn) % 5 WHEN 0 THEN 'violation_found' WHEN 1 THEN 'violation_found' WHEN 2 THEN 'no_violation_found' WHEN 3 THEN 'tool_error' ELSE 'skipped' END"
+_PROPERTY = "CASE (conv_id + turn) % 5 WHEN 0 THEN 'division_by_zero' WHEN 1 THEN 'out_of_bounds' ELSE 'unknown_esbmc_violation' END"
+_HYBRID = f"""{_NORMAL}, run AS (SELECT *, CASE WHEN verifiable THEN {_RUN} END AS status, {_PROPERTY} AS property FROM normal),
+hybrid AS (SELECT *, CASE WHEN finding_type = 'smell_heuristic' THEN 'heuristic_smell_only' WHEN finding_type <> 'suspected_bug' THEN finding_type WHEN status IS NULL OR status = 'skipped' THEN 'skipped_not_verifiable'
+    WHEN status = 'violation_found' AND property = category THEN 'llm_confirmed_by_esbmc' WHEN status = 'no_violation_found' THEN 'not_confirmed_within_bound' ELSE 'esbmc_inconclusive' END AS final_class FROM run)"""
+_FILES = f"SELECT {X._KEY} || '.py' AS file, {_RUN} AS status, CAST(1 AS BIGINT) AS functions, CASE WHEN {_RUN} = 'violation_found' THEN name ELSE '' END AS violating FROM conversations JOIN (VALUES (0, 'f'), (1, 'g'), (2, 'h')) t(shape, name) ON conv_id % 3 = shape"
+_CASED = f"""cases AS (SELECT case_id, '' AS model FROM ({X.UNIT_CASES}) c WHERE status = 'ok'), expected AS (SELECT e.* FROM ({X.UNIT_EXPECTED}) e WHERE case_id IN (SELECT case_id FROM cases)),
+findings AS (SELECT conv_id * 1000 + turn AS case_id, name AS function, category, finding_type, verifiable, status, property FROM run WHERE conv_id * 1000 + turn IN (SELECT case_id FROM cases)),
+direct AS (SELECT conv_id * 1000 + turn AS case_id, CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END AS function, {_RUN} AS status, {_PROPERTY} AS property FROM conversations WHERE conv_id * 1000 + turn IN (SELECT case_id FROM cases))"""
+_LOST = f"SELECT count(*) FILTER (WHERE verifiable) AS bugs, count(*) FILTER (WHERE NOT verifiable AND category <> 'clean') AS smells, count(DISTINCT CASE WHEN verifiable THEN case_id END) AS cases FROM ({X.UNIT_EXPECTED}) e WHERE case_id IN (SELECT case_id FROM ({X.UNIT_CASES}) c WHERE status = 'missing')"
+_ADDED = {"bug_fn": "bugs", "hybrid_fn": "bugs", "direct_fn": "bugs", "smell_fn": "smells", "func_fn": "cases", "hybrid_func_fn": "cases", "direct_func_fn": "cases"}
+_BENCH = f"WITH {_HYBRID}, {_COUNTS_OF(_CASED)}, lost AS ({_LOST}) SELECT " + ", ".join(f"CAST(sum({c}) + any_value({_ADDED.get(c, '0')}) AS BIGINT) AS {c}" for c in evaluation.COUNTERS) + " FROM counts, lost"
 _SHAPE = f"""e AS ({X.EXPECTED}), s AS (SELECT case_id, category, concat_ws(',', CASE WHEN verifiable AND case_id % 7 = 0 THEN 'should_go_to_esbmc' END, CASE WHEN verifiable AND case_id % 5 = 0 THEN 'expression' END,
   CASE WHEN NOT verifiable AND category <> 'clean' AND case_id % 3 <> 0 THEN 'expected_type' END) AS issues FROM e)"""
 
@@ -108,12 +188,17 @@ PLANS = {
     "q_findings_explode": (findings_explode, f"WITH {_F} SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, category, verifiable, role || ' / 4' AS expression FROM j"),
     "q_finding_defaults": (finding_defaults, f"WITH {_F} SELECT conv_id, turn, CASE WHEN raw_id = '' THEN 'unknown' ELSE raw_id END AS id, 'llm_analysis' AS stage, 'smell_heuristic' AS finding_type, 'low' AS confidence, CASE WHEN turn % 5 = 0 THEN 0 ELSE turn END AS line, CAST(0 AS BIGINT) AS evidence FROM j"),
     "q_unique_ids": (unique_ids, f"WITH {_F}, u AS (SELECT conv_id, turn, CASE WHEN raw_id = '' THEN 'unknown' ELSE raw_id END AS id FROM j), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM u) SELECT conv_id, turn, CASE WHEN k > 1 THEN id || ':' || CAST(pos AS VARCHAR) ELSE id END AS id FROM n"),
-    "q_envelope_extract": (envelope_extract, f"WITH {_R} SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN role || ' ' || CAST(turn AS VARCHAR) END AS text, CASE WHEN turn % 4 = 2 THEN role || ' ' || CAST(turn AS VARCHAR) ELSE '[]' END AS chat FROM r"),
-    "q_normalize": (normalize, f"WITH {_F}, n AS (SELECT conv_id, turn, CASE WHEN category = 'naming' THEN 'N1' WHEN verifiable AND category = 'assertion_violation' AND conv_id % 3 = 0 THEN 'N2' WHEN verifiable AND category = 'assertion_violation' THEN 'N3' WHEN verifiable AND category = 'long_method' THEN 'N4' WHEN verifiable AND conv_id % 2 = 0 THEN 'N5' WHEN verifiable AND conv_id % 5 < 3 THEN 'N7' WHEN verifiable THEN 'N9' ELSE 'N10' END AS rule FROM j) SELECT conv_id, turn, rule, CASE WHEN rule = 'N1' THEN 'out_of_scope_finding' WHEN rule = 'N2' THEN 'suspected_bug' WHEN rule IN ('N4', 'N10') THEN 'smell_heuristic' ELSE 'llm_false_positive' END AS finding_type, rule = 'N2' AS verifiable FROM n"),
+    "q_envelope_extract": (envelope_extract, f"WITH {_R} SELECT conv_id, turn, CASE WHEN turn % 5 <> 3 THEN role || ' ' || CAST(turn AS VARCHAR) END AS text, CAST(CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS chat FROM r"),
+    "q_normalize": (normalize_rows, f"WITH {_NORMAL} SELECT path, pos, id, rule, finding_type, category, verifiable, line, relative_line, has_guard, ast_unrecognized, original_category FROM normal"),
+    "q_flow_hybrid": (flow_hybrid, f"WITH {_HYBRID} SELECT path AS file, pos, name AS unit_name, status, final_class FROM hybrid"),
+    "q_flow_analyzer_only": (flow_analyzer_only, f"WITH {_NORMAL} SELECT name AS unit_name, CASE finding_type WHEN 'smell_heuristic' THEN 'heuristic_smell_only' WHEN 'suspected_bug' THEN 'llm_only_suspected' ELSE finding_type END AS final_class, count(*) AS n FROM normal GROUP BY 1, 2"),
+    "q_flow_verifier_only": (flow_verifier_only, f"WITH f AS ({_FILES}) SELECT *, CASE status WHEN 'violation_found' THEN 'violated in ' || violating WHEN 'no_violation_found' THEN '1 functions without violation within the bound' WHEN 'skipped' THEN 'not run: no verifier, or no function' ELSE 'the verifier failed on every function' END AS summary FROM f"),
+    "q_flow_benchmark": (flow_benchmark, _BENCH),
+    "q_flow_benchmark_categories": (flow_benchmark_categories, f"WITH {_HYBRID}, {_COUNTS_OF(_CASED)}, {_CATEGORY_SQL}"),
     "q_guard_cover": (guard_cover, "WITH x AS (SELECT l_linenumber % 4 AS i, l_returnflag AS f, l_linestatus AS s, l_orderkey % 2 = 0 AS even FROM lineitem), y AS (SELECT CASE WHEN i <= 1 THEN 'division_by_zero' WHEN i = 2 THEN 'out_of_bounds' ELSE 'assertion_violation' END AS category, CASE i WHEN 0 THEN 'total // ' || f WHEN 1 THEN 'x / ' || f WHEN 2 THEN 'a[' || s || ']' ELSE 'f(x)' END AS expression, CASE WHEN i <= 1 THEN f IN ('R', 'A') OR (even AND f = s) WHEN i = 2 THEN even ELSE false END AS covered FROM x) SELECT category, expression, covered, count(*) AS n FROM y GROUP BY ALL"),
-    "q_backend_infer": (backend_infer, f"WITH m AS (SELECT {_MODEL} AS m FROM documents) SELECT CASE WHEN contains(lower(m), 'claude') THEN 'anthropic' WHEN contains(lower(m), 'gemini') THEN 'google' WHEN contains(lower(m), 'gpt') THEN 'openai' ELSE 'ollama' END AS backend, regexp_replace(m, '[^A-Za-z0-9._-]+', '-', 'g') AS name, string_split(m, '/')[-1] AS short, count(*) AS n FROM m GROUP BY 1, 2, 3"),
+    "q_backend_infer": (backend_infer, f"WITH m AS (SELECT {_MODEL} AS model FROM documents), b AS (SELECT *, CASE WHEN model IS NULL THEN 'openai' WHEN contains(lower(model), 'claude') THEN 'anthropic' WHEN contains(lower(model), 'gemini') THEN 'google' WHEN regexp_matches(lower(model), 'gpt|o1|o3|o4') THEN 'openai' ELSE 'ollama' END AS backend FROM m) SELECT model, backend, trim(regexp_replace(model, '[^A-Za-z0-9_-]', '_', 'g'), '_') AS name, string_split(model, '/')[-1] AS short, CASE WHEN model IS NULL THEN 'gpt-4o' WHEN lower(model) = 'deepseek' THEN 'deepseek-r1:7b' ELSE model END AS resolved, count(*) AS n FROM b GROUP BY 1, 2, 3, 4, 5"),
     "q_escapes": (escapes, "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS html, md5(replace(html, '</', '<\\/')) AS script FROM pages"),
     "q_lint_shape": (lint_shape, f"WITH {_SHAPE} SELECT case_id, category, issues FROM s"),
     "q_lint_counts": (lint_counts, f"WITH {_SHAPE} SELECT category, count(*) AS items, count(*) FILTER (WHERE issues <> '') AS failures FROM s GROUP BY category"),
-    "q_lint_near_line": (lint_near_line, "WITH l AS (SELECT doc_id, CAST(doc_id % 4 + 1 AS BIGINT) AS line, string_split(text, chr(10)) AS a, lower(regexp_extract(text, '^(\\S+)', 1)) AS word FROM documents) SELECT doc_id, len(list_filter(list_slice(a, greatest(line - 1, 1), line + 1), lambda x: contains(lower(regexp_replace(x, '\\s+', '', 'g')), word))) > 0 AS near FROM l"),
+    "q_lint_near_line": (lint_near_line, "WITH l AS (SELECT doc_id, CAST(doc_id % 4 + 1 AS BIGINT) AS line, string_split(text, chr(10)) AS a, lower(regexp_extract(text, '^(\\S+)', 1)) AS word FROM documents) SELECT doc_id, len(list_filter(list_slice(a, greatest(line - 1, 1), line + 1), lambda x: contains(lower(replace(x, ' ', '')), word))) > 0 AS near FROM l"),
 }

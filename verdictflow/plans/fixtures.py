@@ -43,12 +43,13 @@ FROM {_LABELLED} x WHERE doc_id % 3 <> 2
 
 _N = "chr(10)"
 _KIND = "CASE event_id % 6 WHEN 0 THEN 'assertion' WHEN 1 THEN 'division by zero' WHEN 2 THEN 'array bounds violated' WHEN 3 THEN 'dereference failure: invalid pointer' WHEN 4 THEN 'IndexError raised' ELSE 'memory leak' END"
-_PLACE = f"'file user_' || CAST(user_id AS VARCHAR(20)) || '.py line ' || CAST(event_id % 90 AS VARCHAR(20)) || ' function f' || CAST(event_id % 7 AS VARCHAR(20))"
+_PLACE = "'file user_' || CAST(user_id AS VARCHAR(20)) || '.py line ' || CAST(event_id % 90 AS VARCHAR(20)) || ' column 4 function f' || CAST(event_id % 7 AS VARCHAR(20))"
+_LATER = "'file user_' || CAST(user_id AS VARCHAR(20)) || '.py line ' || CAST(event_id % 80 AS VARCHAR(20)) || ' column 4 function h' || CAST(event_id % 5 AS VARCHAR(20))"
 RUNS = f"""
 SELECT event_id, user_id, 'user_' || CAST(user_id AS VARCHAR(20)) || '_violation.py' AS file, 'f' || CAST(event_id % 7 AS VARCHAR(20)) AS function, event_id AS ord,
-  CASE WHEN event_type = 'error' THEN 'Generated ' || CAST(event_id % 4 AS VARCHAR(20)) || ' VCC(s), 1 remaining' || {_N} || 'State 1 ' || {_PLACE} || ' thread 0' || {_N} || 'x = ' || CAST(event_id AS VARCHAR(20)) || ' (0x1)' || {_N} || 'item = 3' || {_N} || 'y = 2 (0x2)' || {_N}
-      || 'x = ' || CAST(event_id AS VARCHAR(20)) || ' (0x9)' || {_N} || 'a = 1' || {_N} || 'b = 2' || {_N} || 'c = 3' || {_N} || 'd = 4' || {_N} || 'e = 5' || {_N} || {_N} || 'Violated property:' || {_N} || '  ' || {_PLACE} || {_N} || '  ' || {_KIND} || {_N} || '  x != 0' || {_N} || {_N} || 'VERIFICATION FAILED'
-    WHEN event_type = 'view' THEN 'a.py:3: SyntaxWarning: odd literal' || {_N} || 'Generated ' || CAST(event_id % 3 AS VARCHAR(20)) || ' VCCs' || {_N} || 'VERIFICATION SUCCESSFUL'
+  CASE WHEN event_type = 'error' THEN 'Generated ' || CAST(event_id % 4 AS VARCHAR(20)) || ' VCC(s), 1 remaining' || {_N} || 'State 1 ' || {_PLACE} || ' thread 0' || {_N} || 'x=' || CAST(event_id AS VARCHAR(20)) || ' (0x1)' || {_N} || 'item = 3' || {_N} || '  y  =  2 (0x2)' || {_N}
+      || 'x = ' || CAST(event_id AS VARCHAR(20)) || ' (0x9)' || {_N} || 'a=1' || {_N} || 'l = 2' || {_N} || 'b =2' || {_N} || 'c= 3' || {_N} || 'd = 4' || {_N} || 'e = 5' || {_N} || {_N} || 'Violated property:' || {_N} || CASE WHEN event_id % 3 = 0 THEN '' ELSE '  ' || {_LATER} || {_N} END || '  ' || {_KIND} || {_N} || '  x != 0' || {_N} || {_N} || 'VERIFICATION FAILED'
+    WHEN event_type = 'view' THEN 'a.py:3: SyntaxWarning: odd literal' || {_N} || 'b.py:9: SyntaxWarning:  ' || {_N} || 'Generated ' || CAST(event_id % 3 AS VARCHAR(20)) || ' VCCs' || {_N} || 'VERIFICATION SUCCESSFUL'
     WHEN event_type = 'click' THEN CASE event_id % 3 WHEN 0 THEN 'ERROR: Cannot open file x' WHEN 1 THEN 'ERROR: feature not supported' ELSE 'ERROR: crashed' END
     ELSE '' END AS stdout,
   CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS returncode
@@ -65,6 +66,42 @@ SELECT conv_id, turn, role, {_ID} AS raw_id, {_JSON} AS body,
 FROM conversations
 """
 
+# One unit of Python for each conversation row, in three shapes, and a response of three findings about it.
+UNIT_SOURCES = (
+    "def f(a: int, b: int) -> int:\n    if b != 0:\n        return a // b\n    return a % 7\n",
+    "def g(rows: list, i: int) -> int:\n    assert i >= 0\n    if i < len(rows):\n        return rows[i]\n    return rows[0] / i\n",
+    "def h(n: int) -> int:\n    for k in range(n):\n        n = n - k\n    return n\n",
+)
+CHOICES = (
+    ("division_by_zero", "a // b", "true"), ("division_by_zero", "a % 7", "true"), ("division_by_zero", "", "true"), ("out_of_bounds", "rows[i]", "true"), ("out_of_bounds", "len(rows)", "true"),
+    ("assertion_violation", "assert i>=0", "true"), ("assertion_violation", "i < len", "true"), ("assertion_violation", "", "true"), ("division_by_zero", "rows[0]/i", "true"), ("division_by_zero", "a%7", "true"),
+    ("long_method", "x", "true"), ("naming", "x", "true"), ("out_of_bounds", "rows[i]", "false"), ("assertion_violation", "k > 0", "true"),
+)
+_text = lambda t: "'" + f"' || {_N} || '".join(t.split("\n")) + "'"
+_pick = lambda j, i: f"CASE (conv_id + turn * 3 + {j}) % {len(CHOICES)} " + " ".join(f"WHEN {k} THEN '{c[i]}'" for k, c in enumerate(CHOICES)) + " END"
+#: The id that finding j of a response gives: two that repeat, a blank one, and an empty one.
+_given = lambda j: f"CASE (turn + {j}) % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'B' WHEN 2 THEN ' ' ELSE '' END"
+_told = lambda j: f"""'{{"id": "' || {_given(j)} || '", "finding_type": "suspected_bug", "category": "' || {_pick(j, 0)} || '", "verifiable": ' || {_pick(j, 2)} || ', "metadata": {{"expression": "' || {_pick(j, 1)} || '", "line": 1}}}}'"""
+_KEY = "CAST(conv_id AS VARCHAR(20)) || ':' || CAST(turn AS VARCHAR(20))"
+UNITS = f"SELECT conv_id, turn, {_KEY} || '.py' AS path, CASE conv_id % 3 " + " ".join(f"WHEN {i} THEN {_text(t)}" for i, t in enumerate(UNIT_SOURCES[:2])) + f" ELSE {_text(UNIT_SOURCES[2])} END AS text FROM conversations"
+UNIT_RESPONSES = f"SELECT {_KEY} || '.py::0::' || CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END AS unit_key, '<think>well</think>{{\"findings\": [' || {_told(0)} || ', ' || {_told(1)} || ', ' || {_told(2)} || ']}} So much for that.' AS response FROM conversations"
+#: Runs of the units' functions; every fifth is missing.
+UNIT_RUNS = f"""
+SELECT {_KEY} || '.py' AS file, CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END AS function,
+  CASE (conv_id + turn) % 5 WHEN 0 THEN 'Violated property:' || {_N} || '  division by zero' || {_N} || '  b != 0' || {_N} || {_N} || 'VERIFICATION FAILED' WHEN 1 THEN 'Violated property:' || {_N} || '  array bounds violated' || {_N} || {_N} || 'VERIFICATION FAILED'
+    WHEN 2 THEN 'VERIFICATION SUCCESSFUL' WHEN 3 THEN 'ERROR: crashed' END AS stdout, 1 AS returncode
+FROM conversations WHERE (conv_id + turn) % 5 <> 4
+"""
+#: Cases of the units: their number, file, and whether it could be read; and what is expected in them.
+_CASE = "conv_id * 1000 + turn"
+_FUNCTION = "CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END"
+UNIT_CASES = f"SELECT {_CASE} AS case_id, {_KEY} || '.py' AS file, CASE WHEN conv_id % 11 = 10 THEN 'missing' WHEN conv_id % 13 = 12 THEN 'failed' ELSE 'ok' END AS status FROM conversations"
+UNIT_EXPECTED = f"""
+SELECT {_CASE} AS case_id, {_FUNCTION} AS function, CASE conv_id % 3 WHEN 0 THEN 'division_by_zero' ELSE 'out_of_bounds' END AS category, TRUE AS verifiable FROM conversations WHERE conv_id % 3 <> 2 AND turn % 4 <> 3
+UNION ALL SELECT {_CASE}, {_FUNCTION}, 'long_method', FALSE FROM conversations WHERE turn % 4 = 1
+UNION ALL SELECT {_CASE}, {_FUNCTION}, 'clean', FALSE FROM conversations WHERE turn % 4 = 3
+"""
+
 
 def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a role, by views over the driver's tables."""
