@@ -191,11 +191,54 @@ def test_near_pairs_of_one_token_are_whole():
     bits = np.stack([np.packbits((np.bincount(s % 512, minlength=512) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
     node, label = np.arange(60), np.arange(60) // 2
     want = {(a, b) for a, b in itertools.combinations(range(60), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) and label[a] != label[b]}
-    x, y = simhash.tiled_pairs(node, sizes, sizes, label, bits, 0.8, True, tile=7)
-    got = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+    found = lambda side, tile: {tuple(sorted(p)) for x, y, _ in simhash.tiled_pairs(node, sizes, sizes, label, side, bits, 0.8, tile) for p in zip(x.tolist(), y.tolist())}
+    whole = np.zeros(60, np.int64)
+    got = found(whole, 7)
     assert want and want <= got and all(label[a] != label[b] for a, b in got)
-    few = {tuple(sorted(p)) for p in zip(*(z.tolist() for z in simhash.tiled_pairs(node, sizes, sizes, label, bits, 0.8, False, tile=7)))}
-    assert few <= got and {k for p in few for k in p} == {k for p in got for k in p}
+    assert found(whole, 1) == found(whole, 60) == got  # tiles that are skipped hold no pair
+    side = np.arange(60) % 2 + 1
+    assert found(side, 7) == {(a, b) for a, b in got if side[a] != side[b]}
+
+
+def test_nearest_partner_of_each_text():
+    x, y, far = np.array([5, 5, 2]), np.array([2, 9, 9]), np.array([0.3, 0.1, 0.2])
+    got = {int(u): (int(v), float(d)) for u, v, d in zip(*simhash._nearest(x, y, far))}
+    assert got == {5: (9, 0.1), 9: (5, 0.1), 2: (9, 0.2)}
+
+
+def test_blocks_of_a_hot_shingle_meet_once():
+    """Every two texts of a hot shingle stand in one group, on sides that are compared; the group is small."""
+    import pandas as pd
+
+    nodes = list(range(100, 140))
+    rows = pd.DataFrame({"node": nodes * 2, "size": 10, "prefix": [np.array([7, 1000 + k, 3], np.int64) for k in nodes] * 2})
+    out = pd.concat(simhash._tokens(np.array([3, 7]), np.array([1, 8]), 0.8, group_rows=10)([rows]))
+    assert 7 not in set(out["token"]) and (out[out["token"] == 3]["side"] == 0).all() and (out["tail"][out["token"] == 3] == 8).all()
+    met = Counter()
+    for _, g in out[~out["token"].isin([3, *range(1100, 1140)])].groupby("token"):
+        assert len(g) <= 20 and set(g["tail"]) == {10}
+        for (a, s), (b, t) in itertools.combinations(zip(g["node"], g["side"]), 2):
+            met[tuple(sorted((a, b)))] += s == 0 or s != t
+    assert met == Counter(itertools.combinations(nodes, 2))
+
+
+def test_near_dedup_does_not_depend_on_the_order_of_shingles(spark, monkeypatch):
+    """Caps on what orders shingles, and blocks of hot ones, change the work and not the groups."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=4))
+    base = [word() for _ in range(60)]
+    passage = [word() for _ in range(20)]
+    data = [(i, " ".join(_variant(r, base, r.choice([0, 1, 2, 3]), word) if i % 2 else [word() for _ in range(70)] + passage)) for i in range(120)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    groups = lambda: {x.node: x.component for x in simhash.near_groups(df).collect()}
+    want = {i: c for i, c in _near_groups(data).items() if i != c}
+    assert groups() == want and want
+    orders, tokens = simhash.common_shingles, simhash._tokens
+    monkeypatch.setattr(simhash, "_tokens", lambda common, counts, share: tokens(common, counts, share, 7))
+    monkeypatch.setattr(simhash, "common_shingles", lambda d, share, c: orders(d, share, c, 2, 1 << 20))
+    assert groups() == want
+    monkeypatch.setattr(simhash, "common_shingles", lambda d, share, c: orders(d, share, c, 2, 5))
+    assert groups() == want
 
 
 def test_near_dedup_with_appended_and_replaced_passages(spark):
@@ -222,24 +265,6 @@ def test_near_dedup_judges_rows(spark):
     assert got == Counter([(1, a), (2, b), (None, c), (3, d), (None, "")])
 
 
-def test_forests_join_what_links_join():
-    r = np.random.default_rng(2)
-    base = r.integers(0, 1 << 63, 6, dtype=np.uint64)
-    fps = np.concatenate([base ^ np.uint64(sum(1 << int(b) for b in set(r.integers(0, 63, 4)))) for _ in range(12)])
-    sizes = r.integers(80, 120, len(fps))
-    pairs = {(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if int(fps[a] ^ fps[b]).bit_count() <= 6 and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])}
-    for forests in (1, 3, 100):
-        got = [tuple(sorted(x)) for x in simhash.tiled_candidates(fps, sizes, 6, 0.8, forests, tile=7)]
-        assert len(set(got)) == len(got) <= forests * (len(fps) - 1) and set(got) <= pairs
-        one, two = simhash._Forest(len(fps)), simhash._Forest(len(fps))
-        for x in got:
-            one.join(*x)
-        for x in pairs:
-            two.join(*x)
-        assert len({one.root(k) for k in range(len(fps))}) == len({two.root(k) for k in range(len(fps))})
-    assert set(got) == pairs
-
-
 def test_tiles_lose_no_link():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)

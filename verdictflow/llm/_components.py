@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import attach, cut
+from ._shared import attach, cut, uncut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,5 +38,7 @@ def components(edges: DataFrame, most_turns: int = 60) -> DataFrame:
         if seen == mark or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = seen
-        edges = cut(_star(cut(_star(edges, True)), False))
+        large = cut(_star(edges, True))
+        before, edges = edges, cut(_star(large, False))
+        uncut(before, large)
     raise RuntimeError(f"components did not settle in {most_turns} turns")

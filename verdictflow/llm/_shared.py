@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,17 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Without that setting a local session gets a temporary folder; on a cluster it is an error.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdictflow-"))
-    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="verdictflow-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,6 +36,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def uncut(*frames: DataFrame) -> None:
+    """Delete the files of cut() frames that nothing reads any more: neither a later frame, nor one not yet cut."""
+    for df in frames:
+        leaves = df._jdf.queryExecution().logical().collectLeaves()
+        for i in range(leaves.size()):
+            if leaves.apply(i).getClass().getSimpleName() == "LogicalRDD":
+                file = leaves.apply(i).rdd().getCheckpointFile()
+                if file.isDefined():
+                    delete_path(df.sparkSession, file.get())
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_BYTES for what is computed inside; the caller's setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -36,28 +72,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lean(docs: DataFrame) -> DataFrame:
-    """`docs`, after the session's Arrow batches have been limited to BATCH_BYTES."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return docs
-
-
 def bucket(n: int, *cols: str | Column) -> Column:
     """A bucket from 0 to n-1 by hash of the columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: list[str], spread: list[str], how: str = "left") -> DataFrame:
-    """Join rows to one-row-per-key `groups`; each key's rows are dealt over SALTS tasks by `spread`.
+def attach(rows: DataFrame, groups: DataFrame, key: list[str], spread: list[str] | None = None, how: str = "left") -> DataFrame:
+    """Join rows to one-row-per-key `groups`; each key's rows are dealt over SALTS tasks.
 
-    The hint keeps Spark from broadcasting `groups` on the strength of an estimate.
+    They are dealt by the columns `spread`, or without it by their place in their partition: for rows read from files
+    or from cut(), which have the same place when a task is run again. The hint keeps Spark from broadcasting `groups`
+    on the strength of an estimate.
     """
     g = groups.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    r = rows.withColumn("_salt", bucket(SALTS, *spread))
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    r = rows.withColumn("_salt", bucket(SALTS, *spread) if spread else place)
     return r.join(g.hint("merge"), [*key, "_salt"], how).drop("_salt")
 
 
-def attach_bounded(rows: DataFrame, groups: DataFrame, key: list[str], spread: list[str], how: str = "left", limit: int = 50_000) -> DataFrame:
+def attach_bounded(rows: DataFrame, groups: DataFrame, key: list[str], spread: list[str] | None = None, how: str = "left", limit: int = 50_000) -> DataFrame:
     """As attach(); `groups` is broadcast only when a count shows that it has at most `limit` rows."""
     if groups.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(groups), key, how)

@@ -10,12 +10,12 @@ out again by blocks of its remaining bits, until its groups are small or so few
 they must be. A group emits a spanning forest of its links, never all pairs, and connected
 components follow.
 
-near_dedup() joins by exact five-word Jaccard similarity and no fingerprint. Texts of the same words are
-one node. Two sets of the wanted similarity share one of the rarest shingles of each (a prefix filter),
-so texts are dealt out by those, and pairs of a shingle are left out only where their sizes, their places
-in the order or the parities of shingle classes rule the similarity out. One link of each text is checked
-first, then every candidate pair that is still in two components. No link is lost; the last pairs can
-grow with the square of a group of texts that look alike to the filters and are not.
+near_dedup() joins texts of an exact five-word Jaccard similarity; equal word sequences are one node. Its candidates
+are, first, the SimHash links of the sets' fingerprints and each text's most alike partner, and, once those that
+hold have joined their texts, every pair still in two components that can be similar. Two sets of that similarity
+share one of the rarest shingles of each (a prefix filter), so texts are dealt out by those, rarest by a count over
+all texts; inside a group, tiles of parity sketches are compared by exclusive-or and bit counts, and pairs are left
+out only where sizes, places in the order or parities rule the similarity out. No link is lost.
 
 Defined results: null or wordless text has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle; rows that repeat an id are one node; a null id stands alone unless
@@ -25,7 +25,7 @@ its fingerprint links it; extra columns are ignored; an empty table gives an emp
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import attach, attach_bounded, cut, lean
+from ._shared import attach, attach_bounded, cut, small_batches, uncut
 
 SEED = 42
 TILE = 1024
@@ -43,16 +43,20 @@ HOT = 20_000
 CHUNK = 1 << 16
 LEAST_FREE_BITS = 14
 SHINGLE_WORDS, NEAR_SHARE = 5, 0.8
-#: Texts, about, and shingles that the rare-first order is taken from; it changes the cost and not the links.
-SAMPLE, COMMON = 10_000, 1 << 16
-#: Classes of shingles whose parities bound how far two sets differ, and texts of a tile.
-PARITY, PAIR_TILE = 512, 512
+#: Bits in which fingerprints of near_dedup()'s first candidates may differ; exact checks and the prefix filter follow.
+FIRST_BITS = 3
+#: Texts of a shingle from which on it is ordered by its count, and shingles so ordered: the commonest. Any order gives the same links.
+RARE, COMMON = 8, 1 << 20
+#: Classes of shingles whose parities bound how far two sets differ, in first and last comparisons, and texts of a tile.
+PARITY, FINE, PAIR_TILE = 512, 2048, 512
 #: Texts of a token's group that is compared whole in every round, and cells of a matrix of a larger one.
 FEW, CELLS = 8, 1 << 20
+#: Rows of a token's group, about; a larger one is dealt out by pairs of blocks.
+GROUP_ROWS = 20_000
 #: Links to one text from which on its row is dealt out over salted tasks.
 HUB = 64
 #: Rows of (id, count) that are broadcast at most.
-SMALL = 400_000
+SMALL = 200_000
 
 
 def _counts(hashes: np.ndarray) -> np.ndarray:
@@ -81,7 +85,7 @@ def shingle_hashes(w: list[bytes], words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.concatenate(list(_hashes(w, words)))) if w else np.zeros(0, np.uint64)
 
 
-def _fingerprint_of(hashes: Iterator[np.ndarray], n: int) -> int:
+def _fingerprint_of(hashes: Iterable[np.ndarray], n: int) -> int:
     return int.from_bytes(np.packbits(sum(map(_counts, hashes)) * 2 > n).tobytes(), "big") if n else 0
 
 
@@ -98,7 +102,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in text], dtype=np.uint64).view(np.int64))
 
-    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), fp(text_col).alias("fp"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(text_col).alias("fp"))
 
 
 def block_masks(free: int, radius: int, clean: int) -> list[int]:
@@ -149,34 +153,6 @@ def tiled_links(fps: np.ndarray, radius: int, tile: int = TILE) -> list[tuple[in
     return found
 
 
-def tiled_candidates(fps: np.ndarray, sizes: np.ndarray, radius: int, share: float, forests: int, tile: int = TILE) -> list[tuple[int, int]]:
-    """`forests` edge-disjoint spanning forests, as index pairs, of the links within the radius whose sizes allow the share."""
-    pop = np.bitwise_count(fps)
-    order = np.argsort(pop, kind="stable")
-    fps, pop, sizes = fps[order], pop[order].astype(np.int16), sizes[order]
-    label, found = np.tile(np.arange(len(fps)), (forests, 1)), []  # who is connected in the last forest is so in all
-    for i in range(0, len(fps), tile):
-        a, m = fps[i : i + tile], sizes[i : i + tile, None]
-        high = pop[min(i + tile, len(fps)) - 1]
-        for j in range(i, len(fps), tile):
-            if pop[j] - high > radius:
-                break
-            n = sizes[None, j : j + tile]
-            near = np.bitwise_count(a[:, None] ^ fps[None, j : j + tile]) <= radius
-            near &= np.minimum(m, n) >= np.maximum(m, n) * share - 1e-9
-            if i == j:
-                near = np.triu(near, 1)
-            for x in np.flatnonzero(near.any(axis=1)).tolist():
-                ys = np.flatnonzero(near[x]) + j
-                for y in ys[label[-1][ys] != label[-1][i + x]].tolist():
-                    own = next((f for f in label if f[y] != f[i + x]), None)
-                    if own is not None:
-                        low, top = sorted((own[y], own[i + x]))
-                        own[own == top] = low
-                        found.append((int(order[i + x]), int(order[y])))
-    return found
-
-
 def _edges(radius: int):
     """Rows sorted by (mask, value) to edges between the representatives of each group."""
     columns = ("mask", "value", "fp", "rep")
@@ -242,13 +218,14 @@ def links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = cut(fingerprints(docs, words, id_col, text_col))
+    with small_batches(docs.sparkSession):
+        rows = cut(fingerprints(docs, words, id_col, text_col))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     known = nodes.where("rep is not null")
     found = components(links(known.select("fp", "rep"), radius, hot))
     # Only groups that change a row's component are joined back.
     named = cut(nodes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n", "rep").where("n > 1 or component_id <> rep or rep is null").select("fp", "component_id"))
-    out = attach(rows, named, ["fp"], ["doc_id"])
+    out = attach(rows, named, ["fp"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -285,59 +262,109 @@ def _sets(text_col: str) -> Column:
     return hashes(text_col)
 
 
-def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles of a sample of the texts, sorted, and how many of its texts have each.
+def _prefix(own: np.ndarray, share: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of a set's shingles, rarest first, one of which a set of that similarity must share."""
+    n, known = len(own), np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        known = np.where(common[at] == own, counts[at], 0)
+    k = min(n, n - int(np.ceil(share * n - 1e-6)) + 1)
+    return own[np.lexsort((own, known))[:k]]
+
+
+def common_shingles(docs: DataFrame, share: float, text_col: str, rare: int = RARE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than `rare` texts have in a prefix by hash, sorted, and their counts: the commonest `most`.
 
-    They only order the shingles of prefixes: any order gives the same links, a rare-first one fewer candidates.
+    All texts are counted. The result only orders the shingles of the prefixes that are compared: any order gives the
+    same links, a rare-first one fewer candidates.
     """
-    every = max(1, docs.count() // SAMPLE)
-    texts = lean(docs).select(F.col(text_col).alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(every)) == 0).distinct()
-    counts = cut(texts.select(F.explode(_sets("body")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 2"))
-    # A sort with a limit would bring COMMON rows of every task to the driver.
-    levels = counts.groupBy("n").count().orderBy(F.col("n").desc()).collect()  # bounded by the size of the sample
+    none = np.zeros(0, np.int64)
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            out = [none]
+            for t in b["body"]:
+                w = _words(t)
+                if (node := _node(w)) not in seen:
+                    seen.add(node)
+                    out.append(_prefix(shingle_hashes(w).view(np.int64), share, none, none))
+            yield pd.DataFrame({"token": np.concatenate(out)})
+
+    counted = docs.select(F.col(text_col).alias("body")).mapInPandas(tokens, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    counts = cut(counted.where(F.col("n") > rare))
+    # A sort with a limit would bring `most` rows of every task to the driver.
+    levels = counts.groupBy(F.floor(F.log2("n") * 8).alias("level")).count().orderBy(F.col("level").desc()).collect()  # a few hundred
     total = np.cumsum([r["count"] for r in levels])
-    least = next((r["n"] for r, t in zip(levels, total[1:]) if t > COMMON), 3)
-    got = counts.where(F.col("n") >= least).limit(COMMON).toPandas().sort_values("token")
+    least = next((r["level"] + 1 for r, t in zip(levels, total) if t > most), -1)
+    got = counts.where(F.floor(F.log2("n") * 8) >= least).toPandas().sort_values("token")
+    uncut(counts)
     return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
-def near_rows(docs: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, size, bits, prefix): node is a hash of the words, size the number of distinct five-word shingles.
+def _parities(s: np.ndarray, classes: int) -> bytes:
+    """Of each class of shingles, whether the set has an odd number of it."""
+    odd = np.bincount((s % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
-    bits are, of each of PARITY classes of shingles, whether it is odd; prefix has the rarest shingles, rarest
-    first, one of which two texts of that similarity must share.
-    """
-    common, counts = common_shingles(docs, text_col)
 
-    @F.pandas_udf("node long, size int, bits binary, prefix array<long>")
+def near_rows(docs: DataFrame, share: float, common: np.ndarray, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t, node, size, fp, bits, fine, prefix): t is a hash of the text, node one of its words, size the number of
+    distinct five-word shingles, fp their SimHash, bits and fine their parities, prefix the shingles to be dealt out by."""
+
+    @F.pandas_udf("node long, size int, fp long, bits binary, fine binary, prefix array<long>")
     def read(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
             w = _words(t)
             s = shingle_hashes(w)
-            own, n, known = s.view(np.int64), len(s), np.zeros(len(s), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                known = np.where(common[at] == own, counts[at], 0)
-            k = min(n, n - int(np.ceil(share * n - 1e-6)) + 1)
-            odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-            out.append((_node(w), n, np.packbits(odd.astype(np.uint8)).tobytes(), own[np.lexsort((own, known))[:k]]))
-        return pd.DataFrame(out, columns=["node", "size", "bits", "prefix"])
+            fp = _fingerprint_of((s[i : i + CHUNK] for i in range(0, len(s), CHUNK)), len(s))
+            out.append((_node(w), len(s), signed(fp), _parities(s, PARITY), _parities(s, FINE), _prefix(s.view(np.int64), share, common, counts)))
+        return pd.DataFrame(out, columns=["node", "size", "fp", "bits", "fine", "prefix"])
 
-    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), read(text_col).alias("x")).select("doc_id", "x.*")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), read(text_col).alias("x"))
+    return rows.select("doc_id", "t", "x.*")
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (node, size, prefix), each node once a task, to (token, node, size, tail): tail is how many shingles are left from the token on."""
-    seen: set[int] = set()
-    for b in batches:
-        out = [(np.zeros(0, np.int64),) * 4]
-        for node, n, prefix in zip(b["node"].tolist(), b["size"].tolist(), b["prefix"]):
-            if node not in seen:
+def _block_key(token: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A new token for each pair of blocks of a hot one."""
+    with np.errstate(over="ignore"):
+        return token ^ ((low * 0x9E3779B97F4A7C1 + high + 1) * np.int64(0x2545F4914F6CDD1D))
+
+
+def _tokens(common: np.ndarray, counts: np.ndarray, share: float, group_rows: int = GROUP_ROWS):
+    """Rows (node, size, prefix), each node once a task, to (token, side, node, size, tail).
+
+    tail is how many shingles are left from the token on. A token that about `group_rows` texts or more have is
+    dealt out by pairs of blocks of texts, as tokens of their own: each text meets every block once, so no pair is
+    lost and no group grows beyond two blocks. side tells the two blocks of a pair apart; it is 0 in whole groups.
+    """
+    blocks = np.ceil(counts / (1 - share) / group_rows).astype(np.int64)  # the counts are of prefixes, a part of all texts
+    hot = {t: int(b) for t, b in zip(common[blocks > 1].tolist(), blocks[blocks > 1].tolist())}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            out = [(np.zeros(0, np.int64),) * 5]
+            for node, n, prefix in zip(b["node"].tolist(), b["size"].tolist(), b["prefix"]):
+                if node in seen:
+                    continue
                 seen.add(node)
-                k = len(prefix)
-                out.append((np.asarray(prefix, np.int64), np.full(k, node), np.full(k, n), n - np.arange(k)))
-        yield pd.DataFrame(dict(zip(("token", "node", "size", "tail"), (np.concatenate(x) for x in zip(*out)))))
+                token = np.asarray(prefix, np.int64)
+                tail, side = n - np.arange(len(token)), np.zeros(len(token), np.int64)
+                for at in [i for i, t in enumerate(token.tolist()) if t in hot] if hot else []:
+                    k = hot[int(token[at])]
+                    own, other = np.full(k, node % k), np.arange(k)
+                    keys = _block_key(np.full(k, token[at]), np.minimum(own, other), np.maximum(own, other))
+                    token, tail = np.append(token, keys), np.append(tail, np.full(k, tail[at]))
+                    side = np.append(side, np.sign(own - other) % 3)  # -1 and 1 become 2 and 1
+                if hot:
+                    whole = np.array([t not in hot for t in token.tolist()], bool)
+                    token, tail, side = token[whole], tail[whole], side[whole]
+                out.append((token, side, np.full(len(token), node), np.full(len(token), n), tail))
+            yield pd.DataFrame(dict(zip(("token", "side", "node", "size", "tail"), (np.concatenate(x) for x in zip(*out)))))
+
+    return run
 
 
 def _token_groups(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -377,16 +404,21 @@ def _few_pairs(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.nd
     return x, y
 
 
+def _apart(label_x, label_y, side_x, side_y) -> np.ndarray:
+    """Whether texts lie in different components and, in a pair of blocks, in different blocks."""
+    return (label_x != label_y) & ((side_x == 0) | (side_x != side_y))
+
+
 def _live(share: float, labelled: bool):
     """The rows whose size and place allow the similarity to another text of the token, of another component if `labelled`."""
-    columns = ("token", "node", "size", "tail", *["label"] * labelled)
+    columns = ("token", "side", "node", "size", "tail", *["label"] * labelled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cols, starts, stops in _token_groups(batches, columns):
-            size, tail, label = cols[2].astype(np.int64), cols[3].astype(np.int64), cols[-1 if labelled else 1]
+            side, size, tail, label = cols[1], cols[3].astype(np.int64), cols[4].astype(np.int64), cols[-1 if labelled else 2]
             keep = np.zeros(len(size), bool)
             x, y = _few_pairs(starts, stops)
-            ok = (label[x] != label[y]) & _needs(share, size[x], size[y], np.minimum(tail[x], tail[y]))
+            ok = _apart(label[x], label[y], side[x], side[y]) & _needs(share, size[x], size[y], np.minimum(tail[x], tail[y]))
             keep[x[ok]] = keep[y[ok]] = True
             large = stops - starts > FEW
             for s, e in zip(starts[large].tolist(), stops[large].tolist()):
@@ -396,75 +428,78 @@ def _live(share: float, labelled: bool):
                 for i in range(s, e, step):
                     a = slice(i, min(i + step, e))
                     can = _needs(share, size[a, None], size[None, s:e], np.minimum(tail[a, None], tail[None, s:e]))
-                    keep[a] = (can & (label[a, None] != label[None, s:e])).any(axis=1)
+                    keep[a] = (can & _apart(label[a, None], label[None, s:e], side[a, None], side[None, s:e])).any(axis=1)
             yield pd.DataFrame({c: x[keep] for c, x in zip(columns, cols)})
 
     return run
 
 
-def tiled_pairs(node: np.ndarray, size: np.ndarray, tail: np.ndarray, label: np.ndarray, bits: np.ndarray, share: float, whole: bool, tile: int = PAIR_TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one token's texts that lie in different components and can have the similarity.
+def tiled_pairs(node: np.ndarray, size: np.ndarray, tail: np.ndarray, label: np.ndarray, side: np.ndarray, bits: np.ndarray, share: float, tile: int = PAIR_TILE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of one token's texts that lie in different components and can have the similarity, and the bits in
+    which their parities differ, tile by tile.
 
-    No pair of that similarity is left out at the first token it shares: from there on both must have
-    shingles enough, and classes of odd count differ by no more than the shingles. With `whole` all such
-    pairs are given, else for each text its first and its nearest one.
+    No pair of that similarity is left out at the first token it shares: from there on both must have shingles
+    enough, and classes of odd count differ by no more than the shingles. Tiles are skipped where their sizes, or the
+    population counts of their parities, differ too much for any of their pairs.
     """
+    pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     order = np.lexsort((node, size))
-    size, tail, label, bits = size[order].astype(np.int64), tail[order].astype(np.int64), label[order], bits[order]
+    size, tail, label, side, bits, pop = size[order].astype(np.int64), tail[order].astype(np.int64), label[order], side[order], bits[order], pop[order]
     n = len(order)
-    first, near, least = np.full(n, n), np.full(n, -1), np.full(n, np.inf)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(0, n, tile):
-        high = size[min(i + tile, n) - 1]
+        a = slice(i, min(i + tile, n))
         for j in range(i, n, tile):
-            if size[j] * share > high + 1e-6:
+            b = slice(j, min(j + tile, n))
+            if size[j] * share > size[a][-1] + 1e-6:
                 break
-            a, b = slice(i, i + tile), slice(j, j + tile)
-            ok = label[a, None] != label[None, b]
+            gap = max(pop[a].min() - pop[b].max(), pop[b].min() - pop[a].max(), 0)
+            if not _needs(share, size[a][-1], size[b][-1], (size[a][-1] + size[b][-1] - gap) / 2):
+                continue
+            ok = _apart(label[a, None], label[None, b], side[a, None], side[None, b])
             ok &= _needs(share, size[a, None], size[None, b], np.minimum(tail[a, None], tail[None, b]))
             x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
             x, y = x + i, y + j
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             can = _needs(share, size[x], size[y], (size[x] + size[y] - apart) / 2)
-            x, y, apart = x[can], y[can], apart[can]
-            if whole:
-                out.append((x, y))
-                continue
-            for u, v in ((x, y), (y, x)):
-                np.minimum.at(first, u, v)
-                by = np.lexsort((v, apart, u))
-                u, v, d = u[by], v[by], apart[by]
-                top = np.concatenate([[True], u[1:] != u[:-1]])[: len(u)]
-                u, v, d = u[top], v[top], d[top]
-                closer = d < least[u]
-                near[u[closer]], least[u[closer]] = v[closer], d[closer]
-    if not whole:
-        has = np.flatnonzero(near >= 0)
-        out += [(has, near[has]), (has, first[has])]
-    x, y = (np.concatenate(z) if out else np.zeros(0, np.int64) for z in (zip(*out) if out else ([], [])))
-    return order[x], order[y]
+            yield order[x[can]], order[y[can]], apart[can]
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (x, y) at distance far, in both directions, the nearest for each text."""
+    u, v, d = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
+    by = np.lexsort((v, d, u))
+    u, v, d = u[by], v[by], d[by]
+    top = np.ones(len(u), bool)
+    top[1:] = u[1:] != u[:-1]
+    return u[top], v[top], d[top]
 
 
 def _pairs(share: float, whole: bool):
-    """Rows sorted by token and node to pairs (a, b), a > b, by tiled_pairs()."""
+    """Rows sorted by token and node to pairs by tiled_pairs(): (a, b), a > b, or without `whole`, for each text its
+    nearest partner (a, b, far) by the share of shingles that differ, as the parities tell it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (node, size, tail, label, bits), starts, stops in _token_groups(batches, ("node", "size", "tail", "label", "bits")):
+        for (side, node, size, tail, label, bits), starts, stops in _token_groups(batches, ("side", "node", "size", "tail", "label", "bits")):
             own = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(node), -1)
             long, last = size.astype(np.int64), tail.astype(np.int64)
             x, y = _few_pairs(starts, stops)
-            ok = (label[x] != label[y]) & _needs(share, long[x], long[y], np.minimum(last[x], last[y]))
+            ok = _apart(label[x], label[y], side[x], side[y]) & _needs(share, long[x], long[y], np.minimum(last[x], last[y]))
             x, y = x[ok], y[ok]
             apart = np.bitwise_count(own[x] ^ own[y]).sum(axis=1, dtype=np.int64)
             ok = _needs(share, long[x], long[y], (long[x] + long[y] - apart) / 2)
-            found = [(x[ok], y[ok])]
+            found = [(x[ok], y[ok], apart[ok] / (long[x[ok]] + long[y[ok]]))]
             large = stops - starts > FEW
             for s, e in zip(starts[large].tolist(), stops[large].tolist()):
-                if (label[s:e] != label[s]).any():
-                    x, y = tiled_pairs(node[s:e], size[s:e], tail[s:e], label[s:e], own[s:e], share, whole)
-                    found.append((x + s, y + s))
-            x, y = (node[np.concatenate(z)] for z in zip(*found))
-            yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
+                if (label[s:e] == label[s]).all():
+                    continue
+                group = [(x + s, y + s, d / (long[x + s] + long[y + s])) for x, y, d in tiled_pairs(node[s:e], size[s:e], tail[s:e], label[s:e], side[s:e], own[s:e], share)]
+                found += group if whole or not group else [_nearest(*(np.concatenate(z) for z in zip(*group)))]
+            x, y, far = (np.concatenate(z) for z in zip(*found))
+            if whole:
+                yield pd.DataFrame({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])}).drop_duplicates()
+            else:
+                x, y, far = _nearest(node[x], node[y], far)
+                yield pd.DataFrame({"a": x, "b": y, "far": far})
 
     return run
 
@@ -473,8 +508,8 @@ def similar(edges: DataFrame, docs: DataFrame, share: float, text_col: str) -> D
     """Those of the edges (a, b) of near_rows() nodes whose shingle sets have a Jaccard similarity of `share`."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     degree = cut(ends.groupBy("node").agg(F.count("*").alias("degree")))
-    texts = lean(docs).select(node_of(text_col).alias("node"), F.col(text_col).alias("body"))
-    texts = attach_bounded(texts, degree, ["node"], ["body"], "inner", SMALL).groupBy("node", "degree").agg(F.first("body").alias("body"))
+    texts = docs.select(node_of(text_col).alias("node"), F.col(text_col).alias("body"))
+    texts = attach_bounded(texts, degree, ["node"], None, "inner", SMALL).groupBy("node", "degree").agg(F.first("body").alias("body"))
     sets = cut(texts.select("node", "degree", _sets("body").alias("s")))
     few = sets.select(F.col("node").alias("a"), F.col("degree").alias("da"), F.col("s").alias("sa"))
     many = sets.select(F.col("node").alias("b"), F.col("degree").alias("db"), F.col("s").alias("sb"))
@@ -483,39 +518,67 @@ def similar(edges: DataFrame, docs: DataFrame, share: float, text_col: str) -> D
     sided = edges.join(d.toDF("a", "da").hint("merge"), "a").join(d.toDF("b", "db").hint("merge"), "b")
     turned = F.struct("da", "a") > F.struct("db", "b")
     sided = cut(sided.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("da", "db").alias("db")))
-    sided = sided.join(few.drop("da").hint("merge"), "a")
-    hot = attach(sided.where(F.col("db") > HUB).drop("db"), many.where(F.col("db") > HUB).drop("db"), ["b"], ["a"], "inner")
-    cold = sided.where(F.col("db") <= HUB).drop("db").join(many.where(F.col("db") <= HUB).drop("db").hint("merge"), "b")
+    left = sided.join(few.drop("da").hint("merge"), "a")
+    hot = attach(left.where(F.col("db") > HUB).drop("db"), many.where(F.col("db") > HUB).drop("db"), ["b"], ["a"], "inner")
+    cold = left.where(F.col("db") <= HUB).drop("db").join(many.where(F.col("db") <= HUB).drop("db").hint("merge"), "b")
     both = hot.unionByName(cold).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("shared") >= share * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    true = both.where(F.col("shared") >= share * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9)
+    out = cut(true.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    uncut(degree, sets, sided)
+    return out
+
+
+def _first_links(rows: DataFrame) -> DataFrame:
+    """(a, b), a > b: nodes of equal SimHash to the smallest of them, and links of those within FIRST_BITS."""
+    named = cut(rows.groupBy("fp", "node").agg(F.lit(1)).select("fp", "node"))
+    heads = cut(named.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")))
+    equal = attach(named, heads.where("n > 1").drop("n"), ["fp"], None, "inner").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    close = links(heads.select("fp", "rep"), FIRST_BITS)
+    out = cut(equal.unionByName(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    uncut(named, heads, close)
+    return out
 
 
-def text_groups(rows: DataFrame, docs: DataFrame, share: float, text_col: str) -> DataFrame:
+def text_groups(rows: DataFrame, docs: DataFrame, share: float, text_col: str, common: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(node, component) of the near_rows() nodes that a chain of links of exact similarity `share` joins to another."""
-    kinds = "token long, node long, size int, tail int"
+    kinds = "token long, side int, node long, size int, tail int"
     by_token = lambda df, f, schema: df.repartition("token").sortWithinPartitions("token", "node").mapInPandas(f, schema)
-    live = cut(by_token(rows.select("node", "size", "prefix").mapInPandas(_tokens, kinds), _live(share, False), kinds))
+    live = cut(by_token(rows.select("node", "size", "prefix").mapInPandas(_tokens(common, counts, share), kinds), _live(share, False), kinds))
     release(live.sparkSession)
-    bits = cut(rows.groupBy("node").agg(F.first("bits").alias("bits"))).hint("merge")
-    # One link of each text joins most of a group; then every pair that is still in two components is compared.
-    known = live.withColumn("label", F.col("node")).join(bits, "node")
-    tried = cut(by_token(known, _pairs(share, False), "a long, b long").groupBy("a").agg(F.min("b").alias("b")))
+    bits = cut(rows.groupBy("node").agg(F.first("bits").alias("bits"), F.first("fine").alias("fine")))
+    # SimHash links and one link of each text join most of a group; then every pair that is still in two components is compared.
+    known = live.withColumn("label", F.col("node")).join(bits.drop("fine").hint("merge"), "node")
+    near = by_token(known, _pairs(share, False), "a long, b long, far double").groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    first = _first_links(rows)
+    tried = cut(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(first).where("a > b").distinct())
     release(live.sparkSession)
-    joined = components(cut(similar(tried, docs, share, text_col)))
+    true = similar(tried, docs, share, text_col)
+    joined = components(true)
+    uncut(first, true)
     release(live.sparkSession)
     known = live.join(joined.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    known = cut(by_token(known, _live(share, True), f"{kinds}, label long"))
-    rest = cut(by_token(known.join(bits, "node"), _pairs(share, True), "a long, b long").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    rest = cut(by_token(known, _live(share, True), f"{kinds}, label long"))
+    uncut(live)
+    open_pairs = by_token(rest.join(bits.select("node", F.col("fine").alias("bits")).hint("merge"), "node"), _pairs(share, True), "a long, b long")
+    left = cut(open_pairs.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    uncut(rest, bits, tried)
     release(live.sparkSession)
-    return components(joined.toDF("a", "b").unionByName(cut(similar(rest, docs, share, text_col))))
+    more = similar(left, docs, share, text_col)
+    out = components(joined.toDF("a", "b").unionByName(more))
+    uncut(left, more, joined)
+    return out
 
 
 def _placed(docs: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, n, component) of the rows' ids and texts, n rows each; a text that no link joins is its own component."""
-    rows = cut(near_rows(docs, share, id_col, text_col))
-    found = text_groups(rows, docs, share, text_col)
-    own = rows.groupBy("doc_id", "node").agg(F.count("*").alias("n"))
-    return cut(own.join(found.hint("merge"), "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component")))
+    """(doc_id, t, n, component) of the rows' ids and texts, n rows each; a text that no link joins is its own component."""
+    with small_batches(docs.sparkSession):
+        common, counts = common_shingles(docs, share, text_col)
+        rows = cut(near_rows(docs, share, common, counts, id_col, text_col))
+        found = text_groups(rows, docs, share, text_col, common, counts)
+        own = rows.groupBy("doc_id", "t", "node").agg(F.count("*").alias("n"))
+        out = cut(own.join(found.hint("merge"), "node", "left").select("doc_id", "t", "n", F.coalesce("component", "node").alias("component")))
+    uncut(rows, found)
+    return out
 
 
 def near_groups(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -525,24 +588,26 @@ def near_groups(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_i
     """
     placed = _placed(docs.where(F.col(id_col).isNotNull()), share, id_col, text_col)
     heads = placed.groupBy("component").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = attach(placed.select("doc_id", "component"), cut(heads), ["component"], ["doc_id"], "inner")
+    stars = attach(placed.select("doc_id", "component"), cut(heads), ["component"], None, "inner")
     return components(stars.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
 
 
 def near_dedup(docs: DataFrame, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs of each group of near texts, that of the smallest id, a null id being last.
 
-    Rows are judged by their own text: one id may have several texts, and of rows of one id and the same words any stays.
+    Rows are judged by their own text: one id may have several texts, and of rows of one id and text any stays.
     """
     placed = _placed(docs, share, id_col, text_col)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
     heads = placed.groupBy("component").agg(F.min(order).alias("head"), F.sum("n").alias("rows")).where("rows > 1").select("component", "head")
-    marked = attach(placed, cut(heads), ["component"], ["node"], "inner").withColumn("_kept", order == F.col("head"))
-    marked = cut(marked.where("n > 1 or not _kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "_kept")).hint("merge")
-    rows = lean(docs).withColumn("_words", node_of(text_col))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_node"))
-    out = rows.join(marked, same, "left_anti").select(*docs.columns)
+    marked = attach(placed, cut(heads), ["component"], None, "inner").withColumn("_kept", order.eqNullSafe(F.col("head")))
+    marked = cut(marked.where("n > 1 or not _kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "_kept"))
+    uncut(placed)
+    sized = (lambda m: F.broadcast(m)) if marked.limit(SMALL + 1).count() <= SMALL else (lambda m: m.hint("merge"))
+    rows = docs.withColumn("_text", F.xxhash64(text_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t"))
+    out = rows.join(sized(marked), same, "left_anti").select(*docs.columns)
     if not marked.where("_kept").limit(1).count():
         return out
-    twice = rows.join(marked.where("_kept"), same, "left_semi").dropDuplicates([id_col, "_words"])
+    twice = rows.join(sized(marked.where("_kept")), same, "left_semi").dropDuplicates([id_col, "_text"])
     return out.unionByName(twice.select(*docs.columns))
