@@ -7,12 +7,13 @@ frozen after training, so the code length of a byte depends on its last ORDER by
 compiled into one table of grams for all languages: scoring a byte is one table look-up, and only
 unseen grams descend to shorter contexts. The language with the shortest code wins.
 
-Training takes a bounded sample: about TRAIN_BYTES bytes of each language, from whole texts of at
-most TRAIN_LONGEST bytes, chosen by a hash of the id. Texts are lower-cased, whole texts are scored.
+Training takes a bounded sample: about TRAIN_BYTES bytes of each language, from texts chosen by a hash of id
+and text, one text at least; of a text longer than that, training reads TRAIN_BYTES characters. Texts are
+lower-cased; whole texts of any length are scored.
 
 Defined results: null text or text without a letter is `und` with score 0; so is all text if nothing
-could be learned; ties go to the language that sorts first; rows with null lang are not learned from;
-extra columns are ignored; repeated rows are each scored.
+could be learned; ties go to the language that sorts first; rows with null lang are not learned from, and
+rows that repeat id and text are learned from once; extra columns are ignored; repeated rows are each scored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from ._shared import held_out
 
 ORDER = 4
 TRAIN_BYTES = 400_000
-TRAIN_LONGEST = 65_536
 CHUNK = 1 << 19
 UND = "und"
 _WORDLIKE = re.compile(r"[^\W\d_]")
@@ -180,13 +180,17 @@ class PpmModel:
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
     """Learn from rows where `learn` holds; only the bounded sample reaches the driver."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_LONGEST)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("n"), F.xxhash64(id_col, F.lit("ppm")).alias("h"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    text = F.col(text_col)
+    size = F.least(F.octet_length(text), F.lit(TRAIN_BYTES))
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang_col).alias("lang"), text.alias("text"), size.alias("n"), F.xxhash64(id_col, text_col, F.lit("ppm")).alias("h"))
+    totals = {r["lang"]: r for r in rows.groupBy("lang").agg(F.sum("n").alias("n"), F.min("h").alias("first")).collect()}
     if not totals:
         return PpmModel({})
-    share = {k: min(1.0, 1.3 * TRAIN_BYTES / max(1, n)) for k, n in totals.items()}
-    least = F.create_map(*[x for k, v in sorted(share.items()) for x in (F.lit(k), F.lit(v))])
-    drawn = rows.where(F.pmod("h", F.lit(1 << 40)) < F.try_element_at(least, F.col("lang")) * float(1 << 40))
+    each = lambda value: F.try_element_at(F.create_map(*[x for k, v in sorted(totals.items()) for x in (F.lit(k), F.lit(value(v)))]), F.col("lang"))
+    chance = each(lambda v: min(1.0, 1.3 * TRAIN_BYTES / v["n"]))
+    drawn = rows.where((F.pmod("h", F.lit(1 << 40)) < chance * float(1 << 40)) | (F.col("h") == each(lambda v: v["first"])))
+    # Equal rows are one before they leave their task, so copies cannot swell the sample.
+    drawn = drawn.select("lang", "h", "n", F.substring("text", 1, TRAIN_BYTES).alias("text")).dropDuplicates(["lang", "h"])
     texts: dict[str, list[str]] = {}
     used: dict[str, int] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
