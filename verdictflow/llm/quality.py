@@ -6,11 +6,13 @@ shrunk towards the pooled covariance and then towards a multiple of the identity
 factor is cached. The score is the logistic of the difference of the classes' Gaussian
 log-densities (from Mahalanobis distances and log-determinants) plus the log prior odds.
 
-Training takes a bounded sample of labelled rows, about TRAIN_ROWS of each class, by a hash of the id.
+Training takes a bounded sample of labelled rows, about TRAIN_ROWS of each class, by a hash of the id. Prior odds
+and pooling weights are those of all labels, whatever the sample's size.
 
 Defined results: null text counts as empty and is scored; labels that are null or repeated with both
 values for an id are not learned from; with a class missing, every score is the share of class 1 (0.5
-without labels); repeated rows are each scored; extra columns are ignored.
+without labels); repeated rows are each scored, and of rows that repeat a labelled id the one of the smallest
+statistics is learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,27 +60,32 @@ def statistics(text: str | None) -> list[float]:
 
 
 class QuadraticDiscriminant:
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.constant = float(y.mean()) if len(y) else 0.5
-        self.fitted = len(y) > 0 and 0 < y.sum() < len(y)
+    def __init__(self, x: np.ndarray, y: np.ndarray, counts: dict[int, int] | None = None):
+        """counts: how many labels each class has in all, where x and y are a sample of them."""
+        counts = counts or {k: int((y == k).sum()) for k in (0, 1)}
+        total = sum(counts.values())
+        weight = np.array([counts.get(k, 0) / max(1, total) for k in (0, 1)])
+        self.constant = float(weight[1]) if total else 0.5
+        self.fitted = len(y) > 0 and 0 < y.sum() < len(y) and weight.min() > 0
         if not self.fitted:
             return
-        self.shift, scale = x.mean(axis=0), x.std(axis=0)
-        self.scale = np.where(scale > 1e-9, scale, 1.0)
-        z = (x - self.shift) / self.scale
-        groups = [z[y == k] for k in (0, 1)]
+        own = [x[y == k] for k in (0, 1)]
+        self.shift = sum(w * g.mean(axis=0) for w, g in zip(weight, own))
+        spread = sum(w * ((g - self.shift) ** 2).mean(axis=0) for w, g in zip(weight, own)) ** 0.5
+        self.scale = np.where(spread > 1e-9, spread, 1.0)
+        groups = [(g - self.shift) / self.scale for g in own]
         mean = [g.mean(axis=0) for g in groups]
-        own = [(g - m).T @ (g - m) / len(g) for g, m in zip(groups, mean)]
-        pooled = sum(len(g) * c for g, c in zip(groups, own)) / len(z)
-        eye = np.eye(z.shape[1])
+        covariance = [(g - m).T @ (g - m) / len(g) for g, m in zip(groups, mean)]
+        pooled = sum(w * c for w, c in zip(weight, covariance))
+        eye = np.eye(x.shape[1])
         self.mean, self.factor, self.logdet = mean, [], []
-        for c in own:
+        for c in covariance:
             c = (1 - POOLED) * c + POOLED * pooled
             c = (1 - RIDGE) * c + RIDGE * max(1e-3, np.trace(c) / len(eye)) * eye
             low = np.linalg.cholesky(c)
             self.factor.append(np.linalg.inv(low))
             self.logdet.append(2 * np.log(np.diag(low)).sum())
-        self.prior = float(np.log(len(groups[1]) / len(groups[0])))
+        self.prior = float(np.log(weight[1] / weight[0]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row of statistics."""
@@ -108,13 +115,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     def stats(text: pd.Series) -> pd.Series:
         return pd.Series(list(_statistics(text)))
 
-    # The sample has about 2 * TRAIN_ROWS rows at most, whatever the input.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id").select("y", stats("text").alias("x")).collect()
+    # The sample has about 2 * TRAIN_ROWS rows at most, whatever the input; rows that repeat an id are one before they leave their task.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = texts.select("doc_id", "y", stats("text").alias("x")).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).select("y", "x").collect()
     rows.sort(key=lambda r: (r["y"], r["x"]))
     if not rows:
-        return QuadraticDiscriminant(np.empty((0, 0)), np.empty(0))
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-    return QuadraticDiscriminant(x, y)
+        return QuadraticDiscriminant(np.empty((0, 0)), np.empty(0), counts)
+    return QuadraticDiscriminant(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), counts)
 
 
 def quality_score(model: QuadraticDiscriminant, text_col: str) -> Column:
