@@ -33,10 +33,10 @@ def _key(line: Column) -> Column:
 
 
 def line_sites(docs: DataFrame, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """One row for each non-blank line and occurrence: key (h, g), site, and its text's key (t, b)."""
+    """One row for each non-blank line and occurrence: key (h, g), site, its text's key (t, b) and its place in the text, pos."""
     text = F.col(text_col)
-    rows = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("t"), F.octet_length(text).alias("b"), F.coalesce(F.concat(F.lit("+"), F.col(site_col).cast("string")), F.lit("-")).alias("site"), F.explode(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key)).alias("k"))
-    return rows.select("t", "b", "site", "k.h", "k.g")
+    rows = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("t"), F.octet_length(text).alias("b"), F.coalesce(F.concat(F.lit("+"), F.col(site_col).cast("string")), F.lit("-")).alias("site"), F.explode(F.filter(F.transform(_lines(text), lambda x, i: F.when(F.trim(x) != "", F.struct(_key(x).alias("k"), i.alias("pos")))), lambda x: x.isNotNull())).alias("x"))
+    return rows.select("t", "b", "site", "x.k.h", "x.k.g", "x.pos")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -46,7 +46,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = cut(lines.groupBy("h", "g").agg(estimate.alias("sites")).where(F.col("sites") >= min_sites - margin))
     sure = spread.where(F.col("sites") > min_sites + margin).select("h", "g")
     near = spread.where(F.col("sites") <= min_sites + margin).select("h", "g")
-    exact = attach(lines.select("h", "g", "site"), near, ["h", "g"], ["site"], "left_semi").groupBy("h", "g").agg(F.count_distinct("site").alias("n"))
+    exact = attach(lines.select("h", "g", "site"), near, ["h", "g"], None, "left_semi").groupBy("h", "g").agg(F.count_distinct("site").alias("n"))
     return cut(sure.unionByName(exact.where(F.col("n") >= min_sites).select("h", "g")))
 
 
@@ -54,10 +54,12 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_i
     """One row for each row of docs: doc_id, text without boilerplate lines, n_lines, n_removed."""
     lines = line_sites(docs, text_col, site_col)
     found = boilerplate(lines, min_sites)
-    hits = attach(lines.select("h", "g", "t", "b"), found, ["h", "g"], ["t"], "left_semi").groupBy("t", "b").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
+    # Of copies of a text, the places are the same: a set of them is as long as the text has lines.
+    hits = attach(lines.select("h", "g", "t", "b", "pos"), found, ["h", "g"], None, "left_semi").groupBy("t", "b").agg(F.collect_set("pos").alias("gone"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"), F.octet_length(text_col).alias("b"))
-    out = attach(rows, hits, ["t", "b"], ["doc_id"])
-    kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("gone"), _key(x)))
-    out = out.withColumn("kept", F.when(F.col("gone").isNull(), _lines(F.col("text"))).otherwise(kept)).withColumn("n_lines", F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)))
+    out = attach(rows, hits, ["t", "b"]).withColumn("lines", _lines(F.col("text")))
+    # array_except keeps the order of what stays, and takes time in proportion to both.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    out = out.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
     changed = F.col("gone").isNotNull()
     return out.select("doc_id", F.when(changed, F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.when(changed, F.col("n_lines") - F.size("kept")).otherwise(0).cast("long").alias("n_removed"))
