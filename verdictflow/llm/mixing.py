@@ -7,7 +7,8 @@ once more with probability f - floor(f). The cube method turns these probabiliti
 in blocks of a source it moves three fractional probabilities at a time
 along the null space of two constraints (documents and words), so both totals stay as they are,
 until one is 0 or 1. A block leaves two fractional documents and the HELD that came last; those of all
-blocks of a source fly again, and the last HELD + 2 land by the choice nearest to the word target.
+blocks of a source fly again, in blocks, until one block holds them, and the last HELD + 2 land by the choice
+nearest to the word target.
 
 Defined results: null text has size 0; documents of size 0 are taken 0 words; a null source is a
 source; null ids and repeated rows are documents of their own; extra columns are ignored; an empty
@@ -20,6 +21,7 @@ import random
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -162,24 +164,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = cut(source_targets(sizes).withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))).drop("source"))
     factor = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(F.lit(0.0))
     base = F.when(F.col("factor") >= MOST, F.lit(MOST)).otherwise(F.floor("factor")).cast("int")
-    units = attach_bounded(keyed, targets, ["key"], ["doc_id", "uid"]).withColumn("factor", factor).withColumn("base", base)
+    units = attach_bounded(keyed, targets, ["key"]).withColumn("factor", factor).withColumn("base", base)
     units = units.withColumn("p", F.col("factor") - F.col("base")).withColumn("block", F.pmod(F.xxhash64("doc_id", "uid"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     order = ["source", "block", "uid", "doc_id", "size"]
     step = units.select("doc_id", "uid", "source", "size", "base", "p", "block").repartition("source", "block").sortWithinPartitions(*order)
     flown = cut(step.mapInPandas(_fly(False), STEP))
     whole = (F.col("p") == 0) | (F.col("p") == 1)
+    parts, turn = [flown.where(whole)], 0
+    # A block leaves at most HELD + 2 of its documents open, so the turns grow with the logarithm of a source's size.
+    while (most := flown.where(~whole).groupBy("source").count().agg(F.max("count")).first()[0] or 0) > BLOCK:
+        turn += 1
+        again = F.pmod(F.xxhash64("doc_id", "uid", F.lit(turn)), F.lit(-(-most // BLOCK))).cast("int")
+        flown = cut(flown.where(~whole).withColumn("block", again).repartition("source", "block").sortWithinPartitions(*order).mapInPandas(_fly(False), STEP))
+        parts.append(flown.where(whole))
     rest = flown.where(~whole).withColumn("block", F.lit(0)).repartition("source").sortWithinPartitions(*order)
-    landed = rest.mapInPandas(_fly(True), STEP)
-    decided = flown.where(whole).unionByName(landed).withColumn("copies", F.col("base") + F.col("p").cast("int"))
+    parts.append(cut(rest.mapInPandas(_fly(True), STEP)))
+    decided = reduce(DataFrame.unionByName, parts).withColumn("copies", F.col("base") + F.col("p").cast("int"))
     decided = decided.withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
-    out = attach_bounded(decided, targets, ["key"], ["doc_id", "uid"])
+    out = attach_bounded(decided, targets, ["key"])
     return out.select("doc_id", "uid", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that the mix takes, each as often as it is taken, with the columns of docs.
 
-    Rows that repeat id and text share their number of copies; each stands for its own share of it.
+    Rows that repeat id and text share their number of copies; each stands for its own share of it, and one task deals
+    it out to them.
     """
     text_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     chosen = mix(docs, id_col, text_col, source_col).groupBy(text_id("doc_id").alias("_id"), F.col("uid").alias("_uid")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
