@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, exact_dedup, html_extract, lang_id, line_dedup, mixing, quality, sharding, simhash, warc
-from ._shared import scratch_path, table
+from ._shared import delete_path, scratch_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    path = scratch_path(spark, "warc")
+    out = warc.round_trip(table(spark, sf_dir, "pages"), path)
+    delete_path(spark, path)  # all of it has been read
+    return out
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

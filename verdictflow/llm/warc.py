@@ -24,12 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import SALTS, bucket
+from ._shared import SALTS, bucket, cut
 
 CRLF = "\r\n"
 #: RFC 4648 base32 digits, beside those of base 32 numbers.
 BASE32, DIGITS32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-RECORDS_PER_FILE = 20_000
+#: Records of a file at most, and bytes of payload, about: the reader takes files whole.
+RECORDS_PER_FILE, FILE_BYTES = 100_000, 128 << 20
 BATCH_BYTES = 8 << 20
 BATCH_RECORDS = 2_000
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, block string, payload binary"
@@ -53,7 +54,7 @@ def _record(kind: str | Column, own: Column, target: Column, date: str, extra: C
     return _text(head, uri, extra, "Content-Type: ", content_type, "\r\nContent-Length: ", size, "\r\n\r\n", block, CRLF)
 
 
-def plan_captures(pages: DataFrame, min_revisit_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def plan_captures(pages: DataFrame, min_revisit_bytes: int, id_col: str, url_col: str, html_col: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Each page with payload, digest, copy (its number among equal rows), keeper (the response's page) and role."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     url = F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A")
@@ -61,7 +62,10 @@ def plan_captures(pages: DataFrame, min_revisit_bytes: int, id_col: str, url_col
     equal = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("key").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
     equal = equal.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     same = Window.partitionBy("key", "_salt", "page_id").orderBy("url")
-    out = rows.withColumn("_salt", bucket(SALTS, "page_id")).join(equal, ["key", "_salt"], "left").withColumn("copy", F.row_number().over(same))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0]
+    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // file_bytes))
+    dealt = rows.withColumn("_salt", bucket(SALTS, "page_id")).repartition(files, "key", "_salt")  # the join below keeps this dealing
+    out = dealt.join(equal.repartition(files, "key", "_salt").hint("merge"), ["key", "_salt"], "left").withColumn("copy", F.row_number().over(same))
     response = F.col("n").isNull() | (F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("copy") == 1))
     return out.select("page_id", "url", "payload", base32_sha1(F.col("payload")).alias("digest"), "copy", "keeper", F.when(response, "response").otherwise("revisit").alias("role"))
 
@@ -209,6 +213,9 @@ def capture_table(captures: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write the archives, read them back and assemble: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the archives, read them back and assemble: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    The archives are parsed once: their records, without payloads, are kept for the three sides of the assembly.
+    """
     write_warc(pages, path, min_revisit_bytes)
-    return capture_table(assemble(read_warc(pages.sparkSession, path, with_payload=False)))
+    return capture_table(assemble(cut(read_warc(pages.sparkSession, path, with_payload=False))))
