@@ -88,7 +88,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINME
     """One row for each document and item that it holds: doc_id, item_id, shared, item_shingles, containment."""
     found = cut(contained_items(docs, benchmark, share, text_col, item_id_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.octet_length(text_col).alias("b"))
-    out = attach(rows, found, ["t", "b"], ["doc_id"], "inner")
+    out = attach(rows, found, ["t", "b"], None, "inner")
     return out.select("doc_id", "item_id", F.col("shared").cast("long").alias("shared"), F.col("n").cast("long").alias("item_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
 
 
