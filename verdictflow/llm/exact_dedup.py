@@ -17,7 +17,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import attach, cut
@@ -25,11 +25,11 @@ from ._shared import attach, cut
 SLOTS = 4
 MAX_KICKS = 200
 LOCAL_LIMIT = 100_000
-PARTIAL = "digest binary, keep_id long, n long"
+PARTIAL = "digest binary, keep_id long, keep_row long, n long"
 
 
 class CuckooIndex:
-    """Live digests: a cuckoo filter of 16-bit tags in front of bucketed keys with [smallest id, count]."""
+    """Live digests: a cuckoo filter of 16-bit tags in front of bucketed keys with [smallest id, its row, count]."""
 
     def __init__(self, bits: int = 8):
         self._reset(bits)
@@ -89,15 +89,15 @@ class CuckooIndex:
         self.size += 1
         return True
 
-    def add(self, digest: bytes, doc_id: int | None, n: int = 1) -> bool:
+    def add(self, digest: bytes, doc_id: int | None, n: int = 1, row: int = 0) -> bool:
         """Count a copy; True if the digest was not live before."""
         live = self.get(digest)
         if live is not None:
-            live[1] += n
-            if doc_id is not None and (live[0] is None or doc_id < live[0]):
-                live[0] = doc_id
+            live[2] += n
+            if (doc_id is None, doc_id or 0, row) < (live[0] is None, live[0] or 0, live[1]):
+                live[:2] = doc_id, row
             return False
-        value = [doc_id, n]
+        value = [doc_id, row, n]
         if self.size * 10 >= 9 * SLOTS << self.bits:
             self._grow()
         if not self._insert(digest, value):
@@ -126,8 +126,8 @@ class CuckooIndex:
 
 
 def _frame(found: Iterable[tuple[bytes, list]]) -> pd.DataFrame:
-    rows = [(d, i, n) for d, (i, n) in found]
-    return pd.DataFrame({"digest": [r[0] for r in rows], "keep_id": pd.array([r[1] for r in rows], dtype="Int64"), "n": [r[2] for r in rows]})
+    rows = [(d, *v) for d, v in found]
+    return pd.DataFrame({"digest": [r[0] for r in rows], "keep_id": pd.array([r[1] for r in rows], dtype="Int64"), "keep_row": [r[2] for r in rows], "n": [r[3] for r in rows]})
 
 
 def _ids(col: pd.Series) -> list[int | None]:
@@ -138,8 +138,8 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Before the shuffle: one row for each digest and task, or for each LOCAL_LIMIT live digests."""
     index = CuckooIndex()
     for b in batches:
-        for d, i in zip(b["digest"], _ids(b["doc_id"])):
-            index.add(bytes(d), i)
+        for d, i, row in zip(b["digest"], _ids(b["doc_id"]), b["row"]):
+            index.add(bytes(d), i, 1, int(row))
         if index.size > LOCAL_LIMIT:
             yield _frame(index.items())
             index = CuckooIndex()
@@ -151,9 +151,9 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     index = CuckooIndex()
     for b in batches:
         last = None
-        for d, i, n in zip(b["digest"], _ids(b["keep_id"]), b["n"]):
+        for d, i, row, n in zip(b["digest"], _ids(b["keep_id"]), b["keep_row"], b["n"]):
             last = bytes(d)
-            index.add(last, i, int(n))
+            index.add(last, i, int(n), int(row))
         done = [d for d, _ in index.items() if d != last]
         yield _frame([(d, index.delete(d)) for d in done])
     yield _frame(index.items())
@@ -165,8 +165,8 @@ def normalised(text: Column) -> Column:
 
 
 def exact_groups(digests: DataFrame) -> DataFrame:
-    """(doc_id, digest binary) to one row for each digest: digest, keep_id, group_size."""
-    partial = digests.select("doc_id", "digest").mapInPandas(_combine, PARTIAL)
+    """(doc_id, row, digest binary) to one row for each digest: digest, keep_id, keep_row, group_size."""
+    partial = digests.select("doc_id", "row", "digest").mapInPandas(_combine, PARTIAL)
     dealt = partial.repartition("digest").sortWithinPartitions("digest")
     return dealt.mapInPandas(_resolve, PARTIAL).withColumnRenamed("n", "group_size")
 
@@ -174,13 +174,14 @@ def exact_groups(digests: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # the place in files that do not change
     groups = cut(exact_groups(rows)).where("group_size > 1")
-    same = Window.partitionBy("digest", "doc_id").orderBy(F.lit(0))
-    out = attach(rows, groups, ["digest"], ["doc_id"]).withColumn("_copy", F.row_number().over(same))
+    out = attach(rows, groups, ["digest"])
+    alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("group_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1))).alias("kept"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
