@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Copies of a group row that a salted join deals out, so one hot key spreads over this many tasks.
 SALTS = 16
 #: Bytes of an Arrow batch of texts. A limit of rows alone lets long texts fill a worker and the JVM's own buffers.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,6 +76,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frugal(run: Callable) -> Callable:
+    """An iterator function of a Python worker that gives freed memory back to the system when its task ends.
+
+    Workers are reused and wait beside the JVM in the executor's memory, which the next stage may need.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def bucket(n: int, *cols: str | Column) -> Column:
     """A bucket from 0 to n-1 by hash of the columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out
+from ._shared import frugal, held_out
 
 TRAIN_ROWS = 6_000
 ACCEPT = 0.7
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
 def quality_score(model: QuadraticDiscriminant, text_col: str) -> Column:
     @F.pandas_udf("double")
+    @frugal
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series(model.score(_statistics(b)))

@@ -35,12 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import attach, attach_bounded, cut, small_batches, uncut
+from ._shared import attach, attach_bounded, cut, frugal, small_batches, uncut
 
 SEED = 42
 TILE = 1024
 HOT = 20_000
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 LEAST_FREE_BITS = 14
 SHINGLE_WORDS, NEAR_SHARE = 5, 0.8
 #: Bits in which fingerprints of near_dedup()'s first candidates may differ; exact checks and the prefix filter follow.
@@ -99,8 +99,10 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
-    def fp(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in text], dtype=np.uint64).view(np.int64))
+    @frugal
+    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(np.array([fingerprint(t, words) for t in b], dtype=np.uint64).view(np.int64))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(text_col).alias("fp"))
 
@@ -170,6 +172,7 @@ def _edges(radius: int):
         if held is not None:
             yield held
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for mask, value, fp, rep in groups(batches):
             found: list[tuple[int, int]] = []
@@ -248,16 +251,20 @@ def node_of(text_col: str) -> Column:
     """The hash of the text's words that near_rows() calls node."""
 
     @F.pandas_udf("long")
-    def node(text: pd.Series) -> pd.Series:
-        return pd.Series([_node(_words(t)) for t in text], dtype=np.int64)
+    @frugal
+    def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([_node(_words(t)) for t in b], dtype=np.int64)
 
     return node(text_col)
 
 
 def _sets(text_col: str) -> Column:
     @F.pandas_udf("array<long>")
-    def hashes(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(_words(t)).view(np.int64) for t in text])
+    @frugal
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([shingle_hashes(_words(t)).view(np.int64) for t in b])
 
     return hashes(text_col)
 
@@ -280,6 +287,7 @@ def common_shingles(docs: DataFrame, share: float, text_col: str, rare: int = RA
     """
     none = np.zeros(0, np.int64)
 
+    @frugal
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for b in batches:
@@ -313,14 +321,16 @@ def near_rows(docs: DataFrame, share: float, common: np.ndarray, counts: np.ndar
     distinct five-word shingles, fp their SimHash, bits and fine their parities, prefix the shingles to be dealt out by."""
 
     @F.pandas_udf("node long, size int, fp long, bits binary, fine binary, prefix array<long>")
-    def read(text: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in text:
-            w = _words(t)
-            s = shingle_hashes(w)
-            fp = _fingerprint_of((s[i : i + CHUNK] for i in range(0, len(s), CHUNK)), len(s))
-            out.append((_node(w), len(s), signed(fp), _parities(s, PARITY), _parities(s, FINE), _prefix(s.view(np.int64), share, common, counts)))
-        return pd.DataFrame(out, columns=["node", "size", "fp", "bits", "fine", "prefix"])
+    @frugal
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b:
+                w = _words(t)
+                s = shingle_hashes(w)
+                fp = _fingerprint_of((s[i : i + CHUNK] for i in range(0, len(s), CHUNK)), len(s))
+                out.append((_node(w), len(s), signed(fp), _parities(s, PARITY), _parities(s, FINE), _prefix(s.view(np.int64), share, common, counts)))
+            yield pd.DataFrame(out, columns=["node", "size", "fp", "bits", "fine", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), read(text_col).alias("x"))
     return rows.select("doc_id", "t", "x.*")
@@ -342,6 +352,7 @@ def _tokens(common: np.ndarray, counts: np.ndarray, share: float, group_rows: in
     blocks = np.ceil(counts / (1 - share) / group_rows).astype(np.int64)  # the counts are of prefixes, a part of all texts
     hot = {t: int(b) for t, b in zip(common[blocks > 1].tolist(), blocks[blocks > 1].tolist())}
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for b in batches:
@@ -413,6 +424,7 @@ def _live(share: float, labelled: bool):
     """The rows whose size and place allow the similarity to another text of the token, of another component if `labelled`."""
     columns = ("token", "side", "node", "size", "tail", *["label"] * labelled)
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cols, starts, stops in _token_groups(batches, columns):
             side, size, tail, label = cols[1], cols[3].astype(np.int64), cols[4].astype(np.int64), cols[-1 if labelled else 2]
@@ -478,6 +490,7 @@ def _pairs(share: float, whole: bool):
     """Rows sorted by token and node to pairs by tiled_pairs(): (a, b), a > b, or without `whole`, for each text its
     nearest partner (a, b, far) by the share of shingles that differ, as the parities tell it."""
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (side, node, size, tail, label, bits), starts, stops in _token_groups(batches, ("side", "node", "size", "tail", "label", "bits")):
             own = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(node), -1)
