@@ -1,7 +1,8 @@
 """From raw documents to a sharded training mix; every stage is one operator of verdictflow.llm.
 
 Each stage takes (spark, docs, sf_dir). Its result is written as Parquet to the shared folder and read
-again as the next stage's docs, so a lost executor costs no more than one stage.
+again as the next stage's docs, so a lost executor costs no more than one stage. The result of the stage before
+is deleted once the next is written; the last one stays for the caller.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdictflow.llm import decontamination, mixing, quality, sharding, simhash
-from verdictflow.llm._shared import scratch_path, table
+from verdictflow.llm._shared import delete_path, scratch_path, table
 
 #: Jaccard similarity over five-word shingles.
 NEAR_SHARE = 0.8
@@ -48,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
