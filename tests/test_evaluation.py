@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdictflow.functions import metrics as M
-from verdictflow.operators import bootstrap, classify, evaluation, matching, reports
+from verdictflow.operators import bootstrap, classify, evaluation, matching, presentation, reports
 from verdictflow.plans import native
 
 EXPECTED = "case_id long, function string, category string, verifiable boolean"
@@ -158,3 +158,16 @@ def test_report_parts(spark):
     assert [r.row_key for r in reports.annotated(rows, notes).collect()] == ["k"]
     assert [r.row_key for r in reports.search(rows, notes, text=" LLM_false ").collect()] == ["l"]
     assert [r.model for r in reports.models(rows).collect()] == ["m", "n"]
+
+
+def test_tables_for_people(spark):
+    rows = spark.createDataFrame([("a_b", 0.5, None), ("c&d", 1.0, 3)], "model string, f1 double, tp int")
+    assert presentation.ascii_table(rows).splitlines() == ["model  f1      tp", "-----  ------  ---", "a_b    0.5000  N/A", "c&d    1.0000  3"]
+    tex = presentation.latex_table(rows, "50% done")
+    assert r"a\_b & 0.5000 & N/A \\" in tex and r"c\&d" in tex and r"\caption{50\% done}" in tex
+    reports = spark.createDataFrame([("x.json", '{"model": "<m>", "metrics": {"smells": {"f1": 0.5, "tp": 1}}, "note": "</script>"}')], "file string, report string")
+    page = presentation.dashboard(reports)
+    assert "<td>&lt;m&gt;</td><td>smells</td>" in page and page.count("</script>") == 1
+    runs = spark.createDataFrame([("m", 0, 1.5, "r.json"), ("n", 1, 0.5, "s.json")], "model string, returncode int, elapsed_seconds double, report string")
+    told = presentation.manifest(runs, "now")
+    assert told["failed"] and [x["status"] for x in told["runs"]] == ["ok", "failed"]

@@ -6,6 +6,8 @@ on the other.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _CATEGORY = "CASE {} WHEN 0 THEN 'assertion_violation' WHEN 1 THEN 'division_by_zero' ELSE 'out_of_bounds' END"
@@ -36,9 +38,9 @@ FROM ({_FOUND}) f
 """
 DIRECT = f"""
 SELECT doc_id AS case_id, lang AS function, source AS model,
-  CASE WHEN toxic = 1 OR doc_id % 17 = 0 THEN 'violation_found' ELSE 'no_violation_found' END AS status,
+  CASE WHEN doc_id % 3 = 2 THEN 'skipped' WHEN toxic = 1 OR doc_id % 17 = 0 THEN 'violation_found' ELSE 'no_violation_found' END AS status,
   CASE WHEN toxic = 1 AND doc_id % 5 <> 1 THEN {_CATEGORY.format('doc_id % 3')} WHEN toxic = 1 THEN 'unknown_esbmc_violation' ELSE 'assertion_violation' END AS property
-FROM {_LABELLED} x WHERE doc_id % 3 <> 2
+FROM {_LABELLED} x
 """
 
 _N = "chr(10)"
@@ -85,12 +87,12 @@ _told = lambda j: f"""'{{"id": "' || {_given(j)} || '", "finding_type": "suspect
 _KEY = "CAST(conv_id AS VARCHAR(20)) || ':' || CAST(turn AS VARCHAR(20))"
 UNITS = f"SELECT conv_id, turn, {_KEY} || '.py' AS path, CASE conv_id % 3 " + " ".join(f"WHEN {i} THEN {_text(t)}" for i, t in enumerate(UNIT_SOURCES[:2])) + f" ELSE {_text(UNIT_SOURCES[2])} END AS text FROM conversations"
 UNIT_RESPONSES = f"SELECT {_KEY} || '.py::0::' || CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END AS unit_key, '<think>well</think>{{\"findings\": [' || {_told(0)} || ', ' || {_told(1)} || ', ' || {_told(2)} || ']}} So much for that.' AS response FROM conversations"
-#: Runs of the units' functions; every fifth is missing.
+#: Runs of the units' functions; every fifth has no output.
 UNIT_RUNS = f"""
 SELECT {_KEY} || '.py' AS file, CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END AS function,
   CASE (conv_id + turn) % 5 WHEN 0 THEN 'Violated property:' || {_N} || '  division by zero' || {_N} || '  b != 0' || {_N} || {_N} || 'VERIFICATION FAILED' WHEN 1 THEN 'Violated property:' || {_N} || '  array bounds violated' || {_N} || {_N} || 'VERIFICATION FAILED'
     WHEN 2 THEN 'VERIFICATION SUCCESSFUL' WHEN 3 THEN 'ERROR: crashed' END AS stdout, 1 AS returncode
-FROM conversations WHERE (conv_id + turn) % 5 <> 4
+FROM conversations
 """
 #: Cases of the units: their number, file, and whether it could be read; and what is expected in them.
 _CASE = "conv_id * 1000 + turn"
@@ -103,10 +105,9 @@ UNION ALL SELECT {_CASE}, {_FUNCTION}, 'clean', FALSE FROM conversations WHERE t
 """
 
 
+_TABLES = re.compile(r"\b(documents|labels|events|conversations|lineitem)\b")
+
+
 def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of a role, by views over the driver's tables."""
-    names = ("documents", "labels", "events", "conversations", "lineitem")
-    for n in names:
-        if n in sql:
-            spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
-    return spark.sql(sql)
+    """The rows of a role: `sql` with the names of the driver's tables read as their files, so that no view is made."""
+    return spark.sql(_TABLES.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
