@@ -268,6 +268,17 @@ def test_near_dedup_judges_rows(spark):
     assert got == Counter([(1, a), (2, b), (None, c), (3, d), (None, "")])
 
 
+def test_tiles_are_skipped_by_population_count():
+    """In a group of the size that is still compared whole, most tile pairs differ too much; those left hold all links."""
+    pop = np.sort(np.bitwise_count(np.random.default_rng(3).integers(0, 1 << 63, simhash.HOT, dtype=np.uint64))).astype(np.int16)
+    tiles = -(-len(pop) // simhash.TILE)
+    seen = set(simhash.tile_pairs(pop, 2))
+    assert len(seen) < 0.6 * tiles * (tiles + 1) / 2
+    for i, j in itertools.combinations(range(0, len(pop), simhash.TILE), 2):
+        gap = pop[j] - pop[min(i + simhash.TILE, len(pop)) - 1]
+        assert ((i, j) in seen) == (gap <= 2)
+
+
 def test_tiles_lose_no_link():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)

@@ -136,22 +136,27 @@ class _Forest:
         return a != b
 
 
+def tile_pairs(pop: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple[int, int]]:
+    """Starts of the tile pairs of sorted population counts that can hold a link: others differ by more than the radius."""
+    for i in range(0, len(pop), tile):
+        high = pop[min(i + tile, len(pop)) - 1]
+        for j in range(i, len(pop), tile):
+            if pop[j] - high > radius:
+                break
+            yield i, j
+
+
 def tiled_links(fps: np.ndarray, radius: int, tile: int = TILE) -> list[tuple[int, int]]:
     """A spanning forest, as index pairs, of the links among fingerprints (uint64) within the radius."""
     pop = np.bitwise_count(fps)
     order = np.argsort(pop, kind="stable")
-    fps, pop = fps[order], pop[order].astype(np.int16)
+    fps = fps[order]
     forest, found = _Forest(len(fps)), []
-    for i in range(0, len(fps), tile):
-        a = fps[i : i + tile]
-        high = pop[min(i + tile, len(fps)) - 1]
-        for j in range(i, len(fps), tile):
-            if pop[j] - high > radius:
-                break
-            near = np.bitwise_count(a[:, None] ^ fps[None, j : j + tile]) <= radius
-            for x, y in zip(*np.nonzero(near)):
-                if i + x < j + y and forest.join(i + int(x), j + int(y)):
-                    found.append((int(order[i + x]), int(order[j + y])))
+    for i, j in tile_pairs(pop[order].astype(np.int16), radius, tile):
+        near = np.bitwise_count(fps[i : i + tile, None] ^ fps[None, j : j + tile]) <= radius
+        for x, y in zip(*np.nonzero(near)):
+            if i + x < j + y and forest.join(i + int(x), j + int(y)):
+                found.append((int(order[i + x]), int(order[j + y])))
     return found
 
 
