@@ -695,6 +695,26 @@ def test_mixing_flies_in_turns(spark, monkeypatch):
     assert all(abs(taken[k] - target[k]) <= 60 for k in target)
 
 
+def test_hot_rows_without_an_id(spark):
+    """Thousands of equal rows of one null id, and of one repeated id, beside a few others."""
+    line = "one two three four five six seven"
+    rows = [(None, line, "s1")] * 3000 + [(9, line, "s2")] * 2000 + [(1, "other words stand here alone today", "s1"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = exact_dedup.exact_dedup(docs).groupBy("doc_id", "keep_id", "group_size").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.n) for r in got) == Counter([(None, 9, 5000, 0, 3000), (9, 9, 5000, 1, 2000), (1, 1, 1, 1, 1), (None, None, 1, 1, 1)])
+    got = simhash.simhash_groups(docs).groupBy("doc_id", "component_id").count().collect()
+    assert Counter((r.doc_id, r.component_id, r["count"]) for r in got) == Counter([(None, 9, 3000), (9, 9, 2000), (1, 1, 1), (None, None, 1)])
+    items = spark.createDataFrame([(4, line)], "item_id long, text string")
+    assert Counter(r.doc_id for r in decontamination.contaminated(docs, items).collect()) == Counter({None: 3000, 9: 2000})
+    assert Counter(r.text for r in decontamination.decontaminate(docs, items).collect()) == Counter(["other words stand here alone today", None])
+    assert Counter(r.n_removed for r in line_dedup.line_dedup(docs, min_sites=2).collect()) == Counter({1: 5000, 0: 2})
+    assert Counter((r.doc_id, r.text) for r in simhash.near_dedup(docs).collect()) == Counter([(9, line), (1, "other words stand here alone today"), (None, None)])
+    placed = sharding.shard_table(docs, 4).collect()
+    assert len(placed) == 5002 and all(sorted(r.slot for r in placed if r.shard == k) == list(range(sum(r.shard == k for r in placed))) for k in range(4))
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 5002 and all(0 <= r.copies <= 2 for r in mixed)
+
+
 def test_session_settings_come_back(spark):
     from verdictflow.llm._shared import cut, small_batches, uncut
 
