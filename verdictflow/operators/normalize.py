@@ -49,12 +49,12 @@ def assertion_in_source(expression: Column, assertion: Column, source: Column, t
     return F.when(said == "", F.size(tests) > 0).otherwise(F.contains(source, said) | F.coalesce(F.array_contains(tests, assertion), F.lit(False)))
 
 
-def normalize_findings(units: DataFrame, findings: DataFrame, key: str = "unit_key") -> DataFrame:
+def normalize_findings(units: DataFrame, findings: DataFrame, key: str = "unit_key", keep: dict[str, str] | None = None) -> DataFrame:
     """findings (with defaults, key and pos) with id, finding_type, verifiable, the rule applied and metadata settled.
 
-    Findings of units that are not in `units` are dropped. Repeated rows are findings of their own; ties of pos go by id.
+    keep: columns of units to add, by their new names. Findings of units that are not in `units` are dropped. Repeated rows are findings of their own; ties of pos go by id.
     """
-    place = units.select(key, "qualname", "source", "operations", "guards", "exec_exprs", "assert_tests")
+    place = units.select(key, "qualname", "source", "operations", "guards", "exec_exprs", "assert_tests", *[F.col(c).alias(name) for name, c in (keep or {}).items()])
     rows = findings.join(place, key).withColumn("_x", expression_facts(F.col("expression")))
     expression, category = F.col("expression"), F.col("category")
     found = find_operation(F.col("operations"), A.operation_kind(category), expression)
@@ -85,5 +85,5 @@ def normalize_findings(units: DataFrame, findings: DataFrame, key: str = "unit_k
 def analyzed(units: DataFrame, responses: DataFrame, key: str = "unit_key") -> DataFrame:
     """Normalized findings of recorded responses (key, response), with path and function of their unit."""
     known = with_defaults(explode_findings(responses.select(key, "response"), key=key))
-    out = normalize_findings(units, known, key)
-    return out.join(units.select(key, "path", F.col("name").alias("function"), F.col("qualname").alias("unit_name")), key)
+    # One join and no other use of `units`: a second one would parse the sources again.
+    return normalize_findings(units, known, key, {"path": "path", "function": "name", "unit_name": "qualname"})
