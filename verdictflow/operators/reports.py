@@ -80,7 +80,9 @@ def report_format(text: Column) -> Column:
 
 _FLAT = "array<struct<unit_name:string,source_file:string,final_classification:string,interpretation:string,finding:struct<stage:string,category:string,confidence:string,explanation:string,metadata:struct<expression:string,line:string>>>>"
 _FULL = "struct<files:array<struct<file:string,llm_results:array<struct<function:string,category:string,expression:string,line:string,final_classification:string,confidence:string,reasoning:string,interpretation:string>>>>>"
+# What a report is called by its three sections, and display classes of final classes.
 _SUMMARY = (("LLM bugs F1=", ("$.metrics.bugs_llm_only", "$.metrics.bugs")), ("Hybrid F1=", ("$.metrics.bugs_hybrid_pipeline",)), ("Smells F1=", ("$.metrics.smells",)))
+BADGES = {"cls-ok": ("llm_confirmed_by_esbmc", "runtime_reproduced_by_harness"), "cls-bad": ("llm_false_positive", "llm_missed_esbmc_bug"), "cls-mid": ("not_confirmed_within_bound", "esbmc_inconclusive")}
 
 
 def benchmark_summary(text: Column) -> Column:
@@ -123,8 +125,10 @@ def models(rows: DataFrame) -> DataFrame:
 
 def badge(final: Column) -> Column:
     """Display class of a final class."""
-    good, bad, middle = ("llm_confirmed_by_esbmc", "runtime_reproduced_by_harness"), ("llm_false_positive", "llm_missed_esbmc_bug"), ("not_confirmed_within_bound", "esbmc_inconclusive")
-    return F.when(final.isin(*good), "cls-ok").when(final.isin(*bad), "cls-bad").when(final.isin(*middle), "cls-mid").otherwise("cls-neutral")
+    out = None
+    for name, classes in BADGES.items():
+        out = F.when(final.isin(*classes), name) if out is None else out.when(final.isin(*classes), name)
+    return out.otherwise("cls-neutral")
 
 
 def annotation_rows(rows: DataFrame) -> DataFrame:

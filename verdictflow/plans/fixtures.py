@@ -17,9 +17,9 @@ _RULES = "(" + " UNION ALL ".join(f"SELECT {i} AS rule" for i in range(1, 9)) +
 
 CASES = f"SELECT doc_id AS case_id, source AS model FROM {_LABELLED} x"
 EXPECTED = f"""
-SELECT doc_id AS case_id, lang AS function, source AS model, {_CATEGORY.format('doc_id % 3')} AS category, TRUE AS verifiable FROM {_LABELLED} x WHERE toxic = 1
-UNION ALL SELECT doc_id, lang, source, {_SMELL.format('doc_id % 3')}, FALSE FROM {_LABELLED} x WHERE quality = 0
-UNION ALL SELECT doc_id, lang, source, 'clean', FALSE FROM {_LABELLED} x WHERE quality = 1 AND toxic = 0
+SELECT doc_id AS case_id, lang AS function, source AS model, CASE kind WHEN 1 THEN {_CATEGORY.format('doc_id % 3')} WHEN 2 THEN {_SMELL.format('doc_id % 3')} ELSE 'clean' END AS category, kind = 1 AS verifiable
+FROM {_LABELLED} x CROSS JOIN (SELECT 1 AS kind UNION ALL SELECT 2 AS kind UNION ALL SELECT 3 AS kind) k
+WHERE (kind = 1 AND toxic = 1) OR (kind = 2 AND quality = 0) OR (kind = 3 AND quality = 1 AND toxic = 0)
 """
 _FOUND = f"""
 SELECT doc_id AS case_id, lang AS function, source AS model, rule,
