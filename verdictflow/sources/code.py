@@ -136,7 +136,9 @@ def extract_units(sources: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            out = [(p, *u) for p, t in zip(b["path"].to_pylist(), b["text"].to_pylist()) for u in units_of(t or "")]
+            texts = b["text"].to_pylist()
+            known = {t: list(units_of(t or "")) for t in set(texts)}  # copies are parsed once a batch
+            out = [(p, *u) for p, t in zip(b["path"].to_pylist(), texts) for u in known[t]]
             cols = list(zip(*out)) if out else [[] for _ in range(len(names) + 1)]
             rows = [dict(zip(("path", *names), r)) for r in zip(*cols)]
             for r in rows:
