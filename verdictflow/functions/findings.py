@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,16 +38,29 @@ def _first_value_end(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"^[\[{]")), F.aggregate(parts, start, walk)["end"])
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_value(text: Column) -> Column:
+    """The JSON value that the text begins with; the whole text if it begins with none."""
+    scalar = F.regexp_extract(text, _SCALAR, 0)
+    nested = F.substr(text, F.lit(1), _first_value_end(text))
+    return F.when(F.rlike(text, F.lit(r"^[\[{]")), _bound(nested, lambda x: F.when(F.try_parse_json(x).isNotNull(), x).otherwise(text))).when(scalar != "", scalar).otherwise(text)
+
+
+def _unfenced(text: Column) -> Column:
+    inner = stripped(F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"(?:^|\n)[ \t]*```\s*$", ""))
+    return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
+
+
 def clean_json(text: Column) -> Column:
     """Drop think blocks, code fences and what follows the first JSON value; Python literals become JSON ones (inside strings too)."""
     out = stripped(F.regexp_replace(stripped(text), r"(?s)<think>.*?</think>", ""))
     for word, to in (("True", "true"), ("False", "false"), ("None", "null")):
         out = F.regexp_replace(out, rf"\b{word}\b", to)
-    inner = stripped(F.regexp_replace(F.regexp_replace(out, r"^```[^\n]*\n?", ""), r"(?:^|\n)[ \t]*```\s*$", ""))
-    out = F.when(F.startswith(out, F.lit("```")), inner).otherwise(out)
-    scalar = F.regexp_extract(out, _SCALAR, 0)
-    nested = F.substr(out, F.lit(1), _first_value_end(out))
-    return F.when(scalar != "", scalar).when(F.try_parse_json(nested).isNotNull(), nested).otherwise(out)
+    return _bound(_bound(out, _unfenced), _first_value)
 
 
 def parse_response(text: Column) -> Column:

@@ -18,10 +18,8 @@ METADATA = ("expression", "line", "relative_line", "expected_exception", "origin
 
 def explode_findings(responses: DataFrame, text: str = "response", key: str = "unit_key") -> DataFrame:
     """One row for each finding, with key and pos (from 1); a response without a findings list gives one row with `error`."""
-    parsed = A.parse_response(F.col(text))
-    rows = responses.withColumn("_found", parsed)
-    good = F.when(F.col("_found").isNull(), F.array(F.lit(None))).otherwise(F.col("_found"))
-    out = rows.select("*", F.posexplode(good).alias("_pos", "_f")).drop("_found")
+    found = F.coalesce(A.parse_response(F.col(text)), F.array(F.lit(None)))
+    out = responses.select("*", F.posexplode(found).alias("_pos", "_f"))
     own = [c for c in responses.columns if c != text]
     error = F.when(F.col("_f").isNull(), "no findings list in the response")
     return out.select(*own, F.when(F.col("_f").isNotNull(), F.col("_pos") + 1).alias("pos"), error.alias("error"), "_f.*")
