@@ -51,19 +51,27 @@ def library():
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([*" \t\n\r\x0b\x1c\x85\xa0ab'sé東1²,.!<|>　", "don't", "  x", "<|endoftext|>"]), max_size=40).map("".join))
 def test_pieces_encode_as_the_whole(text):
-    assert np.frombuffer(ENCODER(text), "<u4").tolist() == ENCODER.library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENCODER([text])[0], "<u2").tolist() == ENCODER.library.encode(text, add_special_tokens=False).ids
 
 
 ENCODER = token_files.Encoder(TOKENIZER)
 
 
+def test_pieces_are_forgotten_and_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    own, r = token_files.Encoder(TOKENIZER), random.Random(2)
+    for _ in range(60):
+        texts = [" ".join(r.choice("abcdefghij") * r.randint(1, 120 if r.random() < 0.1 else 4) for _ in range(9)) for _ in range(3)]
+        assert [np.frombuffer(x, own.type).tolist() for x in own(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.known) <= 20 + 27
+
+
 def test_other_vocabularies_are_encoded_whole():
     other = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert not other.by_piece and np.frombuffer(other("A plain Text"), "<u4").tolist() == other.library.encode("A plain Text", add_special_tokens=False).ids
+    assert not other.by_piece and np.frombuffer(other(["A plain Text"])[0], "<u2").tolist() == other.library.encode("A plain Text", add_special_tokens=False).ids
 
 
-def test_token_files(spark, docs, empty, library, monkeypatch):
-    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+def test_token_files(spark, docs, empty, library):
     encoded = [(i is not None, i or 0, i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t, *_ in _rows()]
     path = scratch_path(spark, "tokens")
     token_files.write_token_files(docs, path, TOKENIZER, sequence=64)
@@ -80,8 +88,8 @@ def test_token_files(spark, docs, empty, library, monkeypatch):
         assert f.start == len(flat)
         opened = token_files.TokenFile(f"{path}/files/{f.file}")
         own = [opened[i] for i in range(len(opened))]
-        assert all(len(ids) == len(mask) == 64 for ids, mask in own) and all(mask.all() for _, mask in own[:-1])
-        flat += [int(x) for ids, mask in own for x in ids[mask == 1]]
+        assert all(len(ids) == len(mask) == 64 for ids, mask in own) and all(all(mask.to_pylist()) for _, mask in own[:-1])
+        flat += [int(x) for ids, mask in own for x in ids[np.asarray(mask)]]
         ids = opened[0][0]
         del own, ids
         with pytest.raises(IndexError):
@@ -101,14 +109,14 @@ def test_token_files(spark, docs, empty, library, monkeypatch):
 
 def test_a_view_is_not_copied(tmp_path):
     with open(tmp_path / "x.arrow", "wb") as sink:
-        w = token_files.SequenceWriter(sink, 8)
+        w = token_files.SequenceWriter(sink, 8, np.dtype("<u4"))
         w.add(5, np.arange(20, dtype="<u4").tobytes())
         w.add(6, np.arange(100, 108, dtype="<u4").tobytes())
         w.close()
     f = token_files.TokenFile(str(tmp_path / "x.arrow"))
     ids, mask = f[1]
-    assert ids.tolist() == list(range(8, 16)) and not ids.flags.owndata and not ids.flags.writeable and mask.all()
-    assert f[3][1].tolist() == [1, 1, 1, 1, 0, 0, 0, 0]
+    assert ids.tolist() == list(range(8, 16)) and not ids.flags.owndata and not ids.flags.writeable and all(mask.to_pylist())
+    assert f[3][1].to_pylist() == [True] * 4 + [False] * 4
     assert [(d, s, n, np.concatenate(list(p)).tolist()) for d, s, n, p in f.documents()] == [(5, 0, 20, list(range(20))), (6, 20, 8, list(range(100, 108)))]
 
 
@@ -117,7 +125,7 @@ def test_documents_longer_than_a_batch(tmp_path, monkeypatch):
     sizes, r = [1, 50, 3, 8, 16, 1, 200], random.Random(1)
     ids = [np.array([r.randrange(2**32) for _ in range(n)], "<u4") for n in sizes]
     with open(tmp_path / "x.arrow", "wb") as sink:
-        w = token_files.SequenceWriter(sink, 8)
+        w = token_files.SequenceWriter(sink, 8, np.dtype("<u4"))
         for i, x in enumerate(ids):
             w.add(i, x.tobytes())
         w.close()

@@ -2,10 +2,11 @@
 
 A text's ids come from a tokenizer file of the tokenizers library, with an end id after each document. Documents are
 dealt out by ascending doc_id to parts of near equal numbers of rows; each part is one Arrow IPC file, whose record
-batches hold `ids` and `mask` as fixed-size lists of SEQUENCE values: one document follows the other without a gap,
-and only the last sequence of a file is padded (mask 0). `docs` lists the documents that begin in a sequence: doc_id,
-`at`, the place of the first id in the sequence, and `n_tokens`. Lists of fixed size have no offsets, so the i-th
-sequence of a memory-mapped file is a view of its bytes: TokenFile gives sequences, masks and documents that way.
+batches hold `ids` (of two bytes where the vocabulary allows it, else of four) and `mask` (bits) as fixed-size lists
+of SEQUENCE values: one document follows the other without a gap, and only the last sequence of a file is padded
+(mask 0). `docs` lists the documents that begin in a sequence: doc_id, `at`, the place of the first id in the
+sequence, and `n_tokens`. Lists of fixed size have no offsets, so the i-th sequence of a memory-mapped file is a view
+of its bytes: TokenFile gives sequences, masks and documents that way.
 
 Tasks write through pyarrow.fs (local and shared mounts, HDFS, S3, GCS; other stores are an error), each attempt to
 a file name of its own. What tasks report is written as the table `manifest`, one row for each file: part, file,
@@ -21,14 +22,18 @@ reads as that token.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,54 +41,101 @@ from pyspark.sql import functions as F
 from ._shared import cut, delete_path, frugal, small_batches
 
 SEQUENCE = 2048
-#: Sequences of a record batch: 4 MB of ids.
+#: Sequences of a record batch.
 BATCH_SEQUENCES = 512
 END_ID = 0
 #: Bytes of text of a part, about.
 PART_BYTES = 64 << 20
-#: Encoded pieces that a task remembers.
-REMEMBERED = 200_000
+#: Encoded pieces that a task remembers: at least this many, and at most twice as many and those of one batch of texts.
+REMEMBERED = 300_000
+#: Fixed values of byte-level vocabularies: how text falls into words, and the characters by which they write bytes.
+WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
+#: Letters and digits below this are such in any version of Unicode that the library may have.
+SETTLED = regex.compile(r"[\x00-\u024F]*")
 DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int32()), ("n_tokens", pa.int64())]))
 WRITTEN = "part int, file string, n_docs long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class Encoder:
-    """Texts to bytes of little-endian unsigned 32-bit ids.
+    """Batches of texts to bytes of little-endian ids, of two bytes where the vocabulary allows it, else of four.
 
-    A byte-level vocabulary of the usual pattern never joins a space that a visible character follows to what is
-    before it, so such a text is cut there, and each distinct piece is encoded by the library once. All others, and
-    texts in which an added token occurs, are encoded whole.
+    A byte-level vocabulary never joins a space that a visible character follows to what is before it, so such a
+    text is cut there, and each distinct piece is encoded once, as long as it is remembered: pieces that were not used
+    while REMEMBERED others came are forgotten. The words of a piece of Latin letters go to the library's model
+    directly, other pieces to the whole library. Texts for other vocabularies, and texts in which an added token
+    occurs, are encoded whole.
     """
 
     def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer)
         with open(tokenizer, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation")
+        self.by_piece = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not self.by_piece or any(t in text for t in self.added):
-            return self.whole(text)
-        known, out = self.pieces, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        for piece in re.split(r"(?= \S)", text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.whole(piece)
-                if len(piece) < 100:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.type = np.dtype("<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4")
+        self.model = self.library.model
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word.replace(" ", chr(BYTES[32])) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTES)
+            ids = self.words[word] = array(self.type.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece; a space and one word, or these and a punctuation mark, are told apart without a pattern."""
+        if not piece.isascii() and not SETTLED.fullmatch(piece):
+            return self._encode([piece])[0]
+        if piece[1:].isalpha() and piece[0] == " ":
+            return self._word(piece)
+        if piece[1:-1].isalpha() and piece[0] == " " and piece[-1] in ",.;:!?":
+            return self._word(piece[:-1]) + self._word(piece[-1])
+        return b"".join([self._word(w) for w in WORDS.findall(piece)])
+
+    @staticmethod
+    def _pieces(text: str) -> tuple[str, list[str]]:
+        """The text, cut before each space that a visible character follows: the first piece, and the others without that space."""
+        if text.endswith(" ") or re.search(r" \s", text):
+            first, *rest = re.split(r" (?=\S)", text)
+        else:
+            first, *rest = text.split(" ")
+        return first, rest
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if not self.by_piece or any(x in t for x in self.added)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+            out[i] = ids
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        cut_up = {i: self._pieces(texts[i]) for i in sorted(set(range(len(texts))) - set(whole))}
+        needed = set(chain.from_iterable(rest for _, rest in cut_up.values())) - known.keys()
+        known.update((p, before[p]) for p in needed & before.keys())
+        new = needed - before.keys()
+        for p in new:
+            known[p] = self._piece(f" {p}")
+        for i, (first, rest) in cut_up.items():
+            out[i] = self._piece(first) + b"".join([known[p] for p in rest])
+        for p in new:
+            if len(p) > 100:
+                del known[p]
+        return out
 
 
 def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -91,46 +143,46 @@ def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
 
 
-def schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), False), sequence)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), sequence)), ("docs", DOCS)])
+def schema(sequence: int, kind: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.field("item", pa.from_numpy_dtype(kind), False), sequence)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), sequence)), ("docs", DOCS)])
 
 
 class SequenceWriter:
     """Packs documents into sequences; a full batch is written at once, so memory holds one batch and one document."""
 
-    def __init__(self, sink, sequence: int):
-        self.sequence, self.schema = sequence, schema(sequence)
+    def __init__(self, sink, sequence: int, kind: np.dtype):
+        self.sequence, self.type, self.schema = sequence, kind, schema(sequence, kind)
         self.out = pa.ipc.new_file(sink, self.schema)
         self.buffer = bytearray()
         self.begun: list[tuple[int, int | None, int]] = []  # place in the buffer, doc_id, ids
         self.n_docs = self.n_tokens = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.begun.append((len(self.buffer) // 4, doc_id, len(ids) // 4))
+        width = self.type.itemsize
+        self.begun.append((len(self.buffer) // width, doc_id, len(ids) // width))
         self.buffer += ids
         self.n_docs += 1
-        self.n_tokens += len(ids) // 4
-        while len(self.buffer) >= 4 * self.sequence * BATCH_SEQUENCES:
+        self.n_tokens += len(ids) // width
+        while len(self.buffer) >= width * self.sequence * BATCH_SEQUENCES:
             self._flush(self.sequence * BATCH_SEQUENCES)
 
     def _flush(self, n: int) -> None:
         """Write the first n ids; the last sequence is padded if n does not fill it."""
         rows = -(-n // self.sequence)
-        ids = np.zeros(rows * self.sequence, np.uint32)
-        ids[:n] = np.frombuffer(self.buffer, "<u4", n)
-        mask = np.zeros(rows * self.sequence, np.uint8)
-        mask[:n] = 1
+        ids = np.zeros(rows * self.sequence, self.type)
+        ids[:n] = np.frombuffer(self.buffer, self.type, n)
+        mask = np.arange(rows * self.sequence) < n
         here = [x for x in self.begun if x[0] < n]
         offsets = np.searchsorted([x[0] for x in here], np.arange(rows + 1) * self.sequence)
         entries = pa.StructArray.from_arrays([pa.array([x[1] for x in here], pa.int64()), pa.array([x[0] % self.sequence for x in here], pa.int32()), pa.array([x[2] for x in here], pa.int64())], fields=list(DOCS.value_type))
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(a), type=t.type) for a, t in zip((ids, mask), self.schema)]
         self.out.write_batch(pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries, type=DOCS)], schema=self.schema))
-        del self.buffer[: 4 * n]
+        del self.buffer[: self.type.itemsize * n]
         self.begun = [(at - n, *rest) for at, *rest in self.begun[len(here) :]]
 
     def close(self) -> None:
         if self.buffer:
-            self._flush(len(self.buffer) // 4)
+            self._flush(len(self.buffer) // self.type.itemsize)
         self.out.close()
 
 
@@ -147,15 +199,15 @@ class TokenFile:
         n = self.file.num_record_batches
         return (n - 1) * BATCH_SEQUENCES + self.file.get_batch(n - 1).num_rows if n else 0
 
-    def _values(self, batch: pa.RecordBatch, name: str) -> np.ndarray:
-        return batch.column(name).flatten().to_numpy(zero_copy_only=True)
+    def _ids(self, k: int) -> np.ndarray:
+        return self.file.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of the i-th sequence."""
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids of the i-th sequence, as a NumPy view, and its mask, as an Arrow view of bits."""
         if not 0 <= i < len(self):
             raise IndexError(i)
-        batch, at = self.file.get_batch(i // BATCH_SEQUENCES), slice(i % BATCH_SEQUENCES * self.sequence, (i % BATCH_SEQUENCES + 1) * self.sequence)
-        return self._values(batch, "ids")[at], self._values(batch, "mask")[at]
+        k, at = i // BATCH_SEQUENCES, i % BATCH_SEQUENCES * self.sequence
+        return self._ids(k)[at : at + self.sequence], self.file.get_batch(k).column("mask").flatten().slice(at, self.sequence)
 
     def documents(self) -> Iterator[tuple[int | None, int, int, Iterator[np.ndarray]]]:
         """(doc_id, start, n_tokens, pieces) of each document; its ids are views of one batch each, to be taken before the next document."""
@@ -172,7 +224,7 @@ class TokenFile:
         """n ids from the start-th on, batch by batch."""
         size = BATCH_SEQUENCES * self.sequence
         while n > 0:
-            ids = self._values(self.file.get_batch(start // size), "ids")[start % size : start % size + n]
+            ids = self._ids(start // size)[start % size : start % size + n]
             yield ids
             start, n = start + len(ids), n - len(ids)
 
@@ -183,16 +235,17 @@ class TokenFile:
 def _write(tokenizer: str, folder: str, sequence: int, end_id: int):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, encode, end = None, Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        writer, encode = None, Encoder(tokenizer)
+        end = np.array([end_id], encode.type).tobytes()
         part, file = TaskContext.get().partitionId(), f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.arrow"
         fs, at = _place(folder)
         sink = None
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                 if writer is None:
                     sink = fs.open_output_stream(f"{at}/{file}")
-                    writer = SequenceWriter(sink, sequence)
-                writer.add(doc_id, encode(text) + end)
+                    writer = SequenceWriter(sink, sequence, encode.type)
+                writer.add(doc_id, ids + end)
         if writer:
             writer.close()
             sink.close()
@@ -237,7 +290,7 @@ def _read(folder: str):
                 for doc_id, start, n, pieces in file.documents():
                     crc = 0
                     for ids in pieces:
-                        crc = zlib.crc32(ids.astype("<u4", copy=False), crc)
+                        crc = zlib.crc32(ids.astype("<u4"), crc)
                     rows.append((doc_id, offset + start, n, crc))
                     if len(rows) >= 10_000:
                         yield flushed(rows)
