@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A text's ids come from a tokenizer file of the tokenizers library, with an end id after each document. Documents are
-dealt out by ascending doc_id to parts of near equal numbers of rows; each part is one Arrow IPC file, whose record
+dealt out by ascending doc_id to parts (as many as the session's shuffle partitions); each part is one Arrow IPC file, whose record
 batches hold `ids` (of two bytes where the vocabulary allows it, else of four) and `mask` (bits) as fixed-size lists
 of SEQUENCE values: one document follows the other without a gap, and only the last sequence of a file is padded
 (mask 0). `docs` lists the documents that begin in a sequence: doc_id, `at`, the place of the first id in the
@@ -28,6 +28,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -44,8 +45,6 @@ SEQUENCE = 2048
 #: Sequences of a record batch.
 BATCH_SEQUENCES = 512
 END_ID = 0
-#: Bytes of text of a part, about.
-PART_BYTES = 64 << 20
 #: Encoded pieces that a task remembers: at least this many, and at most twice as many and those of one batch of texts.
 REMEMBERED = 300_000
 #: Fixed values of byte-level vocabularies: how text falls into words, and the characters by which they write bytes.
@@ -138,6 +137,12 @@ class Encoder:
         return out
 
 
+@cache
+def _encoder(tokenizer: str) -> Encoder:
+    """One for each Python worker, with what it remembers from one task to the next."""
+    return Encoder(tokenizer)
+
+
 def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a path that Spark can name, and the path there."""
     return pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
@@ -235,7 +240,7 @@ class TokenFile:
 def _write(tokenizer: str, folder: str, sequence: int, end_id: int):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, encode = None, Encoder(tokenizer)
+        writer, encode = None, _encoder(tokenizer)
         end = np.array([end_id], encode.type).tobytes()
         part, file = TaskContext.get().partitionId(), f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.arrow"
         fs, at = _place(folder)
@@ -261,10 +266,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, sequence: int
     fs.create_dir(f"{at}/files")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_place"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_BYTES))
     order = ["doc_id", "_hash", "_place"]
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     with small_batches(spark):
         written = cut(dealt.mapInArrow(_write(tokenizer, f"{path}/files", sequence, end_id), WRITTEN))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
