@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdictflow.functions import findings as A
 from verdictflow.functions import prompts
 from verdictflow.functions import verifier as V
-from verdictflow.operators import flows, jobs, lint, normalize
+from verdictflow.operators import attempts, flows, jobs, lint, normalize
 from verdictflow.sources import analyzers, code, ground_truth
 
 AV, DZ, OOB = V.FORMAL
@@ -73,7 +73,7 @@ def test_responses(spark):
     assert found[0].id == "a" and found[0].verifiable and found[0].metadata.line == "7"
     assert one(spark, A.parse_response, t='{"findings": []} and more') == []
     assert one(spark, A.parse_response, t="no json") is None
-    assert [one(spark, lambda t: A.evidence_list(t.cast("string")), t=x) for x in ('["x", "y"]', "plain", None, "[odd")] == [["x", "y"], ["plain"], [], ["[odd"]]
+    assert [one(spark, lambda t: A.evidence_list(F.try_parse_json(t.cast("string"))), t=x) for x in ('["x", 1, null, true, {"a": [2]}]', '"plain"', None, '"[odd"', "null", "7")] == [["x", "1", "None", "True", '{"a":[2]}'], ["plain"], [], ["[odd"], ["None"], ["7"]]
     assert [one(spark, A.safe_int, t=x) for x in ("7", "", "x")] == [7, 0, 0]
 
 
@@ -189,6 +189,57 @@ def test_flows(spark):
     assert {(r.flow, r.category): (r.tp, r.fp, r.fn) for r in categories.collect()} == {("llm", DZ): (1, 2, 1), ("hybrid", DZ): (1, 0, 1)}
 
 
+def test_fields_of_any_type(spark):
+    """Texts, numbers and truth values as Python would take them from a JSON value."""
+    values = ["yes", "false", "", 0, 1, 0.0, -2.9, True, False, None, [], [0], {}, {"a": 1}, "7", " 8 ", "7.5"]
+    rows = [(i, json.dumps({"findings": [{"verifiable": v, "id": v, "expected_exception": v, "metadata": {"line": v, "expression": v}}]})) for i, v in enumerate(values)]
+    rows += [(90, json.dumps({"findings": [{"metadata": [1], "evidence": None}, 7]})), (91, '{"findings": 5}'), (92, "[1]"), (93, None)]
+    parsed = spark.createDataFrame(rows, "unit_key long, response string")
+    got = {(r.unit_key, r.pos): r for r in normalize.with_defaults(normalize.explode_findings(parsed)).collect()}
+
+    def whole(v):
+        try:
+            return int(v) if v not in (None, "") else 0
+        except (TypeError, ValueError):
+            return 0
+
+    said = lambda v: json.dumps(v, separators=(",", ":")) if isinstance(v, (list, dict)) else "0" if v == 0 and not isinstance(v, bool) else str(v)
+    for i, v in enumerate(values):
+        r = got[i, 1]
+        assert (r.verifiable, r.id, r.line, r.expression, r.expected_exception) == (bool(v), said(v) if v else "unknown", whole(v), said(v), said(v)), v
+    assert (got[90, 1].evidence, got[90, 1].expression, got[90, 1].line, got[90, 2].category) == (["None"], "", 0, "unknown")
+    assert set(got) == {(i, 1) for i in range(len(values))} | {(90, 1), (90, 2)}
+
+
+def test_attempts(spark):
+    """The first attempt whose every answer can be read counts; a file without one is lost."""
+    text = "def f(a, b):\n    return a / b\n\ndef g(a):\n    return a\n"
+    units = flows.keyed_units(code.extract_units(spark.createDataFrame([(p, text) for p in ("a.py", "b.py", "c.py", "d.py", "e.py")] + [("empty.py", "x = 1\n")], "path string, text string"))).cache()
+    none, good = '{"findings": []}', json.dumps({"findings": [{"id": "1", "finding_type": "suspected_bug", "category": DZ, "verifiable": True, "metadata": {"expression": "a / b"}}]})
+    f, g = lambda p: f"{p}::0::f", lambda p: f"{p}::1::g"
+    rows = [
+        (f("a.py"), 1, good, None, None), (g("a.py"), 1, "cut off {", None, None), (f("a.py"), 2, none, None, None), (g("a.py"), 2, none, None, None),  # what the first attempt found does not count
+        (f("b.py"), 1, good, None, None), (f("b.py"), 2, good, None, None), (g("b.py"), 2, none, "timeout", None), (f("b.py"), 3, None, None, None),  # no attempt is whole
+        (f("c.py"), 1, "", None, True), (g("c.py"), 1, good, None, True),  # the chat layout
+        (f("d.py"), 3, "", None, False), (g("d.py"), 3, none, None, False), (f("d.py"), 4, good, None, None), (g("d.py"), 4, good, None, None),  # tried too often
+        (f("gone.py"), 1, good, None, None),
+    ]
+    answers = spark.createDataFrame(rows, "unit_key string, attempt int, response string, error string, chat boolean")
+    placed = attempts.placed(units, answers)
+    ended = attempts.outcomes(units, placed)
+    assert {r.file: (r.attempt, r.attempts) for r in ended.collect()} == {"a.py": (2, 2), "b.py": (None, 3), "c.py": (1, 1), "d.py": (None, 1), "e.py": (None, 0)}
+    letters = {(r.unit_key, r.attempt, r.error, r.lost) for r in attempts.dead_letters(placed, ended).collect()}
+    unread = "no findings list in the response"
+    assert letters == {(g("a.py"), 1, unread, False), (g("b.py"), 2, "timeout", True), (f("b.py"), 3, "no answer", True), (f("d.py"), 3, unread, True)}
+    cases = spark.createDataFrame([(i, f"{x}.py", "missing" if x == "gone" else "ok") for i, x in enumerate(("a", "b", "c", "d", "e", "empty", "gone"))], "case_id long, file string, status string")
+    expected = spark.createDataFrame([(i, "f", DZ, True) for i in range(7)], "case_id long, function string, category string, verifiable boolean")
+    runs = spark.createDataFrame([], "file string, function string, stdout string, returncode int")
+    counts, categories = flows.benchmark(cases, expected, units, answers, runs)
+    assert {r.case_id: (r.bug_tp, r.bug_fp, r.bug_fn) for r in counts.collect()} == {0: (0, 0, 1), 2: (0, 1, 1), 5: (0, 0, 1), 6: (0, 0, 1)}
+    assert {(r.flow, r.category): (r.tp, r.fp, r.fn) for r in categories.collect()} == {("llm", DZ): (0, 1, 3), ("hybrid", DZ): (0, 0, 3)}
+    units.unpersist()
+
+
 def test_prompts_keep_secrets(spark):
     u = code.extract_units(spark.createDataFrame([("dir/secret.py", "def f(a: int):\n    assert a\n    if a > 1:\n        return a / 2\n"), ("bad.py", "def (")], "path string, text string"))
     row = u.select(prompts.raw_prompt().alias("raw"), prompts.hints_prompt().alias("hints"), prompts.assertion_lines(F.col("source")).alias("a")).collect()

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .verifier import FORMAL, SMELLS, has
 
-FINDING = "id string, stage string, finding_type string, category string, title string, explanation string, evidence string, verifiable boolean, confidence string, expected_exception string, metadata struct<expression:string,line:string,relative_line:string>"
-RESPONSE = f"findings array<struct<{', '.join(x.replace(' ', ':', 1) for x in FINDING.split(', '))}>>"
+#: A finding as parse_response() gives it: texts that Python calls false are null, so that defaults can take their place.
+FINDING = "id string, stage string, finding_type string, category string, title string, explanation string, evidence array<string>, verifiable boolean, confidence string, expected_exception string, metadata struct<expression:string,line:string,relative_line:string>"
+_FINDINGS = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in FINDING.split(', '))}>>"
 
 
 _SCALAR = r'^(?:"(?:[^"\\]++|\\.)*+"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)'
@@ -63,9 +64,54 @@ def clean_json(text: Column) -> Column:
     return _bound(_bound(out, _unfenced), _first_value)
 
 
+def _kind(value: Column) -> Column:
+    """VOID, BOOLEAN, STRING, BIGINT, DECIMAL(..), DOUBLE, ARRAY<..> or OBJECT<..>; null where there is no value."""
+    return F.schema_of_variant(value)
+
+
+def truth(value: Column) -> Column:
+    """The truth value that Python gives a JSON value: blank texts, zeros, empty lists and objects, and null are false."""
+    kind, json = _kind(value), F.to_json(value)
+    known = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+    known = known.when(F.startswith(kind, F.lit("ARRAY")), json != "[]").when(F.startswith(kind, F.lit("OBJECT")), json != "{}")
+    return F.coalesce(known.when(kind != "VOID", F.try_variant_get(value, "$", "double") != 0), F.lit(False))
+
+
+def text_of(value: Column) -> Column:
+    """A JSON value as text: literals as Python writes them, numbers, lists and objects as JSON; null where there is no value."""
+    kind = _kind(value)
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(F.to_json(value))).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+def whole_number(value: Column) -> Column:
+    """A number without its fraction, a text that is an integer, true and false as 1 and 0; null for anything else."""
+    kind, text = _kind(value), stripped(F.try_variant_get(value, "$", "string"))
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "int")).when(kind == "STRING", text.try_cast("int"))
+    return number.when(F.rlike(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")), F.try_variant_get(value, "$", "double").try_cast("int"))
+
+
+def evidence_list(value: Column) -> Column:
+    """A JSON list gives its elements as texts, any other value one element, no value none."""
+    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), text_of)
+    return F.when(value.isNull(), F.array().cast("array<string>")).when(F.startswith(_kind(value), F.lit("ARRAY")), listed).otherwise(F.array(text_of(value)))
+
+
+def _finding(f: Column) -> Column:
+    at = lambda path: F.try_variant_get(f, f"$.{path}", "variant")
+    said = lambda name: F.when(truth(at(name)), text_of(at(name))).alias(name)
+    number = lambda name: whole_number(at(f"metadata.{name}")).cast("string").alias(name)
+    metadata = F.struct(text_of(at("metadata.expression")).alias("expression"), number("line"), number("relative_line"))
+    return F.struct(*[said(c) for c in ("id", "stage", "finding_type", "category", "title", "explanation")], evidence_list(at("evidence")).alias("evidence"), truth(at("verifiable")).alias("verifiable"), said("confidence"), text_of(at("expected_exception")).alias("expected_exception"), metadata.alias("metadata"))
+
+
+def findings_of(text: Column) -> Column:
+    """The findings array of a response as variants; null where there is none. An object that repeats a key cannot be read."""
+    return F.try_variant_get(F.try_parse_json(clean_json(text)), "$.findings", "array<variant>")
+
+
 def parse_response(text: Column) -> Column:
-    """The findings array; null where the response has none. Prose after the JSON value is ignored."""
-    return F.from_json(clean_json(text), RESPONSE).getField("findings")
+    """The findings array, whatever the types of its fields; null where the response has none. Prose after the JSON value is ignored."""
+    return F.transform(findings_of(text), _finding)
 
 
 def or_default(value: Column, default: str) -> Column:
@@ -76,19 +122,13 @@ def safe_int(value: Column) -> Column:
     return F.coalesce(value.cast("string").try_cast("int"), F.lit(0))
 
 
-def evidence_list(raw: Column) -> Column:
-    """A JSON list gives its elements as strings, anything else one element."""
-    listed = F.from_json(raw, "array<string>")
-    return F.when(raw.isNull(), F.array().cast("array<string>")).when(F.startswith(F.trim(raw), F.lit("[")) & listed.isNotNull(), listed).otherwise(F.array(raw))
-
-
 def unique_id(finding_id: Column, repeat: Column, position: Column) -> Column:
     """A repeated id within a unit gets its 1-based position as a suffix; repeat counts it from 1."""
     return F.when(repeat > 1, F.concat(finding_id, F.lit(":"), position.cast("string"))).otherwise(finding_id)
 
 
 _BLOCKS = "array<struct<type:string,text:string>>"
-_ENVELOPE = f"struct<output_text:string,output:array<struct<content:{_BLOCKS}>>,content:{_BLOCKS},choices:array<struct<message:struct<content:string>>>>"
+_ENVELOPE = f"struct<output:array<struct<content:{_BLOCKS}>>,content:{_BLOCKS},choices:array<struct<message:struct<content:string>>>>"
 
 
 def _block_text(blocks: Column, *kinds: str) -> Column:
@@ -99,14 +139,14 @@ def _block_text(blocks: Column, *kinds: str) -> Column:
 
 def envelope_text(raw: Column) -> Column:
     """The answer in a provider's envelope, of the responses, messages or chat layout; null without one."""
-    e = F.from_json(raw, _ENVELOPE)
+    e, short = F.from_json(raw, _ENVELOPE), F.try_variant_get(F.try_parse_json(raw), "$.output_text", "variant")
     nested = F.flatten(F.transform(e["output"], lambda o: F.coalesce(o["content"], F.array().cast(_BLOCKS))))
-    return F.coalesce(e["output_text"], _block_text(nested, "output_text", "text"), _block_text(e["content"], "text"), F.nullif(F.get(e["choices"], F.lit(0))["message"]["content"], F.lit("")))
+    return F.coalesce(F.when(_kind(short) == "STRING", text_of(short)), _block_text(nested, "output_text", "text"), _block_text(e["content"], "text"), F.nullif(F.get(e["choices"], F.lit(0))["message"]["content"], F.lit("")))
 
 
 def chat_findings(raw: Column) -> Column:
     """Findings of a chat layout, where an answer that is empty or cannot be read has none."""
-    return F.coalesce(parse_response(F.get(F.from_json(raw, _ENVELOPE)["choices"], F.lit(0))["message"]["content"]), F.array().cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in FINDING.split(', '))}>>"))
+    return F.coalesce(parse_response(F.get(F.from_json(raw, _ENVELOPE)["choices"], F.lit(0))["message"]["content"]), F.array().cast(_FINDINGS))
 
 
 def operation_kind(category: Column) -> Column:

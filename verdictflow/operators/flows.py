@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import verifier as V
-from . import classify, evaluation, jobs, normalize
+from . import attempts, classify, evaluation, jobs, lineage, normalize
 
 
 def keyed_units(units: DataFrame) -> DataFrame:
@@ -61,15 +61,21 @@ def _classed(rows: DataFrame, matches, llm_only: bool) -> DataFrame:
     return out.withColumn("interpretation", classify.interpretation(F.col("final_class"), F.col("category"), F.col("expression"), F.col("confidence"), F.when(F.col("status").isNotNull(), detail)))
 
 
-def benchmark(cases: DataFrame, expected: DataFrame, units: DataFrame, responses: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def benchmark(cases: DataFrame, expected: DataFrame, units: DataFrame, answers: DataFrame, runs: DataFrame, tries: int = attempts.TRIES) -> tuple[DataFrame, DataFrame]:
     """(counts of each case, counts of each category) of all three flows against ground truth.
 
-    cases: case_id, file, and status ('ok', 'missing' where the file does not exist, 'failed' where the analyzer gave
-    up: such a case is left out). expected: case_id, function, category, verifiable.
+    cases: case_id, file, and status ('ok', 'missing' where the file does not exist, or 'failed' where it is known that
+    the analyzer gave up). answers: (unit_key, response), or the answers of several attempts as attempts.placed() wants
+    them. Of a file the first attempt without an error counts; a case whose every attempt failed is left out of all
+    counts. The units are cut once for all flows. expected: case_id, function, category, verifiable.
     """
+    units = lineage.cut(units)
+    rows = attempts.placed(units, answers, tries)
+    ended = lineage.cut(attempts.outcomes(units, rows))
+    given_up = ended.where("attempt is null").select("file")
     tried = cases.where("status <> 'failed'")
-    there = tried.where("status = 'ok'").select("case_id", "file")
-    findings = hybrid(units, responses, runs).join(there, "file").select("case_id", "function", "category", "finding_type", "verifiable", "status", "property")
+    there = tried.where("status = 'ok'").select("case_id", "file").join(given_up, "file", "left_anti")
+    findings = hybrid(units, attempts.counted_answers(rows, ended), runs).join(there, "file").select("case_id", "function", "category", "finding_type", "verifiable", "status", "property")
     functions, _ = verifier_only(there.select("file").distinct(), units, runs)
     direct = evaluation.flow_a_findings(functions.join(there, "file"))
     known = expected.join(there.select("case_id"), "case_id", "left_semi")

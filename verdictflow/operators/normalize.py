@@ -30,7 +30,7 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     m = F.col("metadata")
     return rows.where("error is null").withColumns({
         "id": A.or_default(F.col("id"), "unknown"), "stage": A.or_default(F.col("stage"), "llm_analysis"), "finding_type": A.or_default(F.col("finding_type"), "smell_heuristic"),
-        "category": A.or_default(F.col("category"), "unknown"), "title": F.coalesce("title", F.lit("")), "explanation": F.coalesce("explanation", F.lit("")), "evidence": A.evidence_list(F.col("evidence")),
+        "category": A.or_default(F.col("category"), "unknown"), "title": F.coalesce("title", F.lit("")), "explanation": F.coalesce("explanation", F.lit("")), "evidence": F.coalesce("evidence", F.array().cast("array<string>")),
         "verifiable": F.coalesce("verifiable", F.lit(False)), "confidence": A.or_default(F.col("confidence"), "low"),
         "expression": F.coalesce(m["expression"], F.lit("")), "line": A.safe_int(m["line"]), "relative_line": A.safe_int(m["relative_line"]), "expected_exception": F.coalesce(F.col("expected_exception"), F.lit("")),
     }).drop("metadata", "error")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import findings as A
-from ..operators import evaluation, flows, lint, normalize
+from ..operators import attempts, evaluation, flows, lineage, lint, normalize
 from ..sources import code
 from . import fixtures as X
 from .evaluation import CATEGORY_SQL as _CATEGORY_SQL
@@ -83,16 +83,32 @@ def flow_verifier_only(spark, d):
 
 
 def flow_benchmark(spark, d):
-    units, responses, runs = _flow_inputs(spark, d)
-    cases, expected = X.bound(spark, d, X.UNIT_CASES), X.bound(spark, d, X.UNIT_EXPECTED)
-    counts, _ = flows.benchmark(cases, expected, units, responses, runs)
+    units, _, runs = _flow_inputs(spark, d)
+    cases, expected, answers = (X.bound(spark, d, s) for s in (X.FOUND_CASES, X.UNIT_EXPECTED, X.UNIT_ATTEMPTS))
+    counts, _ = flows.benchmark(cases, expected, units, answers, runs)
     return evaluation.totals(counts)
 
 
 def flow_benchmark_categories(spark, d):
-    units, responses, runs = _flow_inputs(spark, d)
-    cases, expected = X.bound(spark, d, X.UNIT_CASES), X.bound(spark, d, X.UNIT_EXPECTED)
-    return flows.benchmark(cases, expected, units, responses, runs)[1]
+    units, _, runs = _flow_inputs(spark, d)
+    cases, expected, answers = (X.bound(spark, d, s) for s in (X.FOUND_CASES, X.UNIT_EXPECTED, X.UNIT_ATTEMPTS))
+    return flows.benchmark(cases, expected, units, answers, runs)[1]
+
+
+def dead_letters(spark, d):
+    units = lineage.cut(_units(spark, d))
+    rows = attempts.placed(units, X.bound(spark, d, X.UNIT_ATTEMPTS))
+    return attempts.dead_letters(rows, attempts.outcomes(units, rows)).select("file", "unit_key", "attempt", "error", "response", "lost")
+
+
+def attempt_outcomes(spark, d):
+    units = lineage.cut(_units(spark, d))
+    return attempts.outcomes(units, attempts.placed(units, X.bound(spark, d, X.UNIT_ATTEMPTS)))
+
+
+def odd_payloads(spark, d):
+    f = normalize.with_defaults(normalize.explode_findings(X.bound(spark, d, X.ODD_RESPONSES)))
+    return f.select("conv_id", "turn", "id", "stage", "explanation", F.array_join("evidence", "|").alias("evidence"), "verifiable", "expression", "line", "expected_exception")
 
 
 def guard_cover(spark, d):
@@ -182,6 +198,30 @@ _ADDED = {"bug_fn": "bugs", "hybrid_fn": "bugs", "direct_fn": "bugs", "smell_fn"
 _BENCH = f"WITH {_HYBRID}, {_COUNTS_OF(_CASED)}, lost AS ({_LOST}) SELECT " + ", ".join(f"CAST(sum({c}) + any_value({_ADDED.get(c, '0')}) AS BIGINT) AS {c}" for c in evaluation.COUNTERS) + " FROM counts, lost"
 _SHAPE = f"""e AS ({X.EXPECTED}), s AS (SELECT case_id, category, concat_ws(',', CASE WHEN verifiable AND case_id % 7 = 0 THEN 'should_go_to_esbmc' END, CASE WHEN verifiable AND case_id % 5 = 0 THEN 'expression' END,
   CASE WHEN NOT verifiable AND category <> 'clean' AND case_id % 3 <> 0 THEN 'expected_type' END) AS issues FROM e)"""
+_LETTERS = f"SELECT conv_id, attempt, unit_key, response, split_part(unit_key, '::', 1) AS file FROM (SELECT a.*, CAST(split_part(unit_key, ':', 1) AS BIGINT) AS conv_id FROM ({X.UNIT_ATTEMPTS}) a) b"
+_ODD = f"o AS ({X.ODD_RESPONSES}), j AS (SELECT conv_id, turn, json_extract(response, '$.findings[0]') AS f FROM o)"
+
+
+def _json_truth(path: str) -> str:
+    j = f"json_extract(f, '$.{path}')"
+    return f"coalesce(CASE json_type({j}) WHEN 'BOOLEAN' THEN {j} = 'true' WHEN 'VARCHAR' THEN {j} ->> '$' <> '' WHEN 'ARRAY' THEN json_array_length({j}) > 0 WHEN 'OBJECT' THEN len(json_keys({j})) > 0 WHEN 'NULL' THEN false ELSE CAST({j} AS DOUBLE) <> 0 END, false)"
+
+
+def _json_text(j: str) -> str:
+    return f"CASE json_type({j}) WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE WHEN {j} = 'true' THEN 'True' ELSE 'False' END WHEN 'VARCHAR' THEN {j} ->> '$' ELSE CAST({j} AS VARCHAR) END"
+
+
+def _json_said(path: str, default: str) -> str:
+    return f"CASE WHEN {_json_truth(path)} THEN {_json_text(f"json_extract(f, '$.{path}')")} ELSE '{default}' END"
+
+
+_line = "json_extract(f, '$.metadata.line')"
+_evidence = "json_extract(f, '$.evidence')"
+_ODD_SQL = f"""WITH {_ODD} SELECT conv_id, turn, {_json_said('id', 'unknown')} AS id, 's' AS stage, {_json_said('explanation', '')} AS explanation, {_json_truth('verifiable')} AS verifiable,
+  CASE WHEN {_evidence} IS NULL THEN '' WHEN json_type({_evidence}) = 'ARRAY' THEN coalesce(array_to_string([coalesce({_json_text('x')}, 'None') FOR x IN CAST({_evidence} AS JSON[])], '|'), '') ELSE {_json_text(_evidence)} END AS evidence,
+  coalesce({_json_text("json_extract(f, '$.metadata.expression')")}, '') AS expression, coalesce({_json_text("json_extract(f, '$.expected_exception')")}, '') AS expected_exception,
+  coalesce(CASE json_type({_line}) WHEN 'BOOLEAN' THEN CASE WHEN {_line} = 'true' THEN 1 ELSE 0 END WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim({_line} ->> '$'), '-?[0-9]+') THEN CAST(trim({_line} ->> '$') AS INTEGER) END WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL WHEN 'NULL' THEN NULL ELSE CAST(trunc(CAST({_line} AS DOUBLE)) AS INTEGER) END, 0) AS line
+FROM j"""
 
 PLANS = {
     "q_sanitize_json": (sanitize_json, f"WITH {_F} SELECT conv_id, turn, clean FROM j"),
@@ -195,6 +235,9 @@ PLANS = {
     "q_flow_verifier_only": (flow_verifier_only, f"WITH f AS ({_FILES}) SELECT *, CASE status WHEN 'violation_found' THEN 'violated in ' || violating WHEN 'no_violation_found' THEN '1 functions without violation within the bound' WHEN 'skipped' THEN 'not run: no verifier, or no function' ELSE 'the verifier failed on every function' END AS summary FROM f"),
     "q_flow_benchmark": (flow_benchmark, _BENCH),
     "q_flow_benchmark_categories": (flow_benchmark_categories, f"WITH {_HYBRID}, {_COUNTS_OF(_CASED)}, {_CATEGORY_SQL}"),
+    "q_dead_letters": (dead_letters, f"WITH l AS ({_LETTERS}) SELECT file, unit_key, attempt, CASE WHEN response IS NULL THEN 'no answer' ELSE 'no findings list in the response' END AS error, response, conv_id % 13 = 12 AS lost FROM l WHERE response IS NULL OR NOT starts_with(response, '<think>')"),
+    "q_attempt_outcomes": (attempt_outcomes, f"WITH l AS ({_LETTERS}) SELECT file, min(attempt) FILTER (WHERE starts_with(response, '<think>')) AS attempt, CAST(count(*) AS INTEGER) AS attempts FROM l GROUP BY file"),
+    "q_odd_payloads": (odd_payloads, _ODD_SQL),
     "q_guard_cover": (guard_cover, "WITH x AS (SELECT l_linenumber % 4 AS i, l_returnflag AS f, l_linestatus AS s, l_orderkey % 2 = 0 AS even FROM lineitem), y AS (SELECT CASE WHEN i <= 1 THEN 'division_by_zero' WHEN i = 2 THEN 'out_of_bounds' ELSE 'assertion_violation' END AS category, CASE i WHEN 0 THEN 'total // ' || f WHEN 1 THEN 'x / ' || f WHEN 2 THEN 'a[' || s || ']' ELSE 'f(x)' END AS expression, CASE WHEN i <= 1 THEN f IN ('R', 'A') OR (even AND f = s) WHEN i = 2 THEN even ELSE false END AS covered FROM x) SELECT category, expression, covered, count(*) AS n FROM y GROUP BY ALL"),
     "q_backend_infer": (backend_infer, f"WITH m AS (SELECT {_MODEL} AS model FROM documents), b AS (SELECT *, CASE WHEN model IS NULL THEN 'openai' WHEN contains(lower(model), 'claude') THEN 'anthropic' WHEN contains(lower(model), 'gemini') THEN 'google' WHEN regexp_matches(lower(model), 'gpt|o1|o3|o4') THEN 'openai' ELSE 'ollama' END AS backend FROM m) SELECT model, backend, trim(regexp_replace(model, '[^A-Za-z0-9_-]', '_', 'g'), '_') AS name, string_split(model, '/')[-1] AS short, CASE WHEN model IS NULL THEN 'gpt-4o' WHEN lower(model) = 'deepseek' THEN 'deepseek-r1:7b' ELSE model END AS resolved, count(*) AS n FROM b GROUP BY 1, 2, 3, 4, 5"),
     "q_escapes": (escapes, "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS html, md5(replace(html, '</', '<\\/')) AS script FROM pages"),

@@ -86,7 +86,8 @@ _given = lambda j: f"CASE (turn + {j}) % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'B' WHEN
 _told = lambda j: f"""'{{"id": "' || {_given(j)} || '", "finding_type": "suspected_bug", "category": "' || {_pick(j, 0)} || '", "verifiable": ' || {_pick(j, 2)} || ', "metadata": {{"expression": "' || {_pick(j, 1)} || '", "line": 1}}}}'"""
 _KEY = "CAST(conv_id AS VARCHAR(20)) || ':' || CAST(turn AS VARCHAR(20))"
 UNITS = f"SELECT conv_id, turn, {_KEY} || '.py' AS path, CASE conv_id % 3 " + " ".join(f"WHEN {i} THEN {_text(t)}" for i, t in enumerate(UNIT_SOURCES[:2])) + f" ELSE {_text(UNIT_SOURCES[2])} END AS text FROM conversations"
-UNIT_RESPONSES = f"SELECT {_KEY} || '.py::0::' || CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END AS unit_key, '<think>well</think>{{\"findings\": [' || {_told(0)} || ', ' || {_told(1)} || ', ' || {_told(2)} || ']}} So much for that.' AS response FROM conversations"
+UNIT_RESPONSES_OF = f"SELECT conv_id, turn, {_KEY} || '.py::0::' || CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END AS unit_key, '<think>well</think>{{\"findings\": [' || {_told(0)} || ', ' || {_told(1)} || ', ' || {_told(2)} || ']}} So much for that.' AS response FROM conversations"
+UNIT_RESPONSES = f"SELECT unit_key, response FROM ({UNIT_RESPONSES_OF}) r"
 #: Runs of the units' functions; every fifth has no output.
 UNIT_RUNS = f"""
 SELECT {_KEY} || '.py' AS file, CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END AS function,
@@ -98,12 +99,36 @@ FROM conversations
 _CASE = "conv_id * 1000 + turn"
 _FUNCTION = "CASE conv_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'h' END"
 UNIT_CASES = f"SELECT {_CASE} AS case_id, {_KEY} || '.py' AS file, CASE WHEN conv_id % 11 = 10 THEN 'missing' WHEN conv_id % 13 = 12 THEN 'failed' ELSE 'ok' END AS status FROM conversations"
+#: The same cases as they are known before an answer is read, and the attempts at their units: of some files the first answers are of no use, of some all.
+FOUND_CASES = f"SELECT case_id, file, CASE WHEN status = 'missing' THEN status ELSE 'ok' END AS status FROM ({UNIT_CASES}) c"
+_TRY = "(SELECT 1 AS attempt UNION ALL SELECT 2 AS attempt UNION ALL SELECT 3 AS attempt)"
+_BAD = "CASE WHEN conv_id % 13 = 12 THEN 3 WHEN conv_id % 7 = 3 THEN 2 WHEN conv_id % 5 = 1 THEN 1 ELSE 0 END"
+_USELESS = "CASE (conv_id + turn + attempt) % 4 WHEN 0 THEN NULL WHEN 1 THEN '{\"findings\": {\"id\": 1}}' WHEN 2 THEN 'I cannot say.' ELSE '{\"findings\": [' END"
+UNIT_ATTEMPTS = f"""
+SELECT unit_key, attempt, CASE WHEN attempt <= bad THEN useless ELSE response END AS response
+FROM (SELECT r.*, attempt, {_BAD} AS bad, {_USELESS} AS useless FROM ({UNIT_RESPONSES_OF}) r CROSS JOIN {_TRY} a) x WHERE attempt <= bad + 1
+"""
 UNIT_EXPECTED = f"""
 SELECT {_CASE} AS case_id, {_FUNCTION} AS function, CASE conv_id % 3 WHEN 0 THEN 'division_by_zero' ELSE 'out_of_bounds' END AS category, TRUE AS verifiable FROM conversations WHERE conv_id % 3 <> 2 AND turn % 4 <> 3
 UNION ALL SELECT {_CASE}, {_FUNCTION}, 'long_method', FALSE FROM conversations WHERE turn % 4 = 1
 UNION ALL SELECT {_CASE}, {_FUNCTION}, 'clean', FALSE FROM conversations WHERE turn % 4 = 3
 """
 
+#: Values of any type where a response should have a text, a list, a number or a truth value.
+ODD = ('"yes"', '"false"', '""', "1", "0", "true", "false", "null", "[]", '["a",1,null,{"b":true}]', "{}", '{"k":1}', "2.5", '"7"', '" 12 "', '"7.5"', "-3.9")
+_odd = lambda k: f"CASE (conv_id * 31 + turn * {2 * k + 1} + {k}) % {len(ODD) + 1} " + " ".join(f"WHEN {i} THEN '{{name}}{v}'" for i, v in enumerate(ODD)) + " ELSE '' END"
+
+
+def _odd_field(name: str, k: int) -> str:
+    return _odd(k).replace("{name}", f', "{name}": ')
+
+
+ODD_RESPONSES = f"""
+SELECT conv_id, turn, CAST(conv_id AS VARCHAR(20)) || ':' || CAST(turn AS VARCHAR(20)) AS unit_key,
+  '{{"findings": [{{"stage": "s"' || {_odd_field("verifiable", 0)} || {_odd_field("id", 1)} || {_odd_field("evidence", 2)} || {_odd_field("explanation", 3)} || {_odd_field("expected_exception", 4)}
+  || CASE turn % 5 WHEN 0 THEN ', "metadata": [1]' ELSE ', "metadata": {{"at": 0' || {_odd_field("expression", 5)} || {_odd_field("line", 6)} || '}}' END || '}}]}}' AS response
+FROM conversations
+"""
 
 _TABLES = re.compile(r"\b(documents|labels|events|conversations|lineitem)\b")
 
