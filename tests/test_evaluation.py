@@ -83,10 +83,43 @@ def test_published_intervals(spark):
     got = {r.metric: (r.low, r.high) for r in native.bootstrap_exact(spark, "").collect()}
     assert got["hybrid_bug_recall"] == (0.9286, 1.0) and got["hybrid_bug_mcc"] == (0.8117, 1.0)
     two = native.anchor_counts(spark).withColumns({c: F.when(F.col("case_idx") == 14, v).otherwise(F.col(c)) for c, v in (("hybrid_tp", 0), ("hybrid_fn", 1), ("hybrid_func_tp", 0), ("hybrid_func_fn", 1))})
-    got = {r.metric: (round(r.low, 4), round(r.high, 4)) for r in bootstrap.intervals(two, bootstrap.seeded_resample(spark, 70), 2000).collect()}
+    got = {r.metric: (round(r.low, 4), round(r.high, 4)) for r in bootstrap.intervals(two, bootstrap.seeded(70)).collect()}
     assert got["hybrid_bug_recall"] == (0.8889, 1.0) and got["hybrid_bug_mcc"] == (0.7347, 1.0)
 
 
+@pytest.mark.parametrize(("n", "turns", "per"), [(1, 3, 2), (2, 5, 5), (70, 40, 7), (1024, 12, 5), (1500, 9, 4)])
+def test_seeded_draws_are_those_of_choice(n, turns, per, monkeypatch):
+    """From the states that the driver keeps, groups of turns go on alike in any order."""
+    monkeypatch.setattr(bootstrap, "GROUP_TURNS", per)
+    monkeypatch.setattr(bootstrap, "CHUNK", 1000)
+    r, draws = random.Random(42), bootstrap.seeded(n, turns)
+    want = [[r.choice(range(n)) for _ in range(n)] for _ in range(turns)]
+    got = {g: [x.tolist() for x in draws.of(g)] for g in reversed(range(draws.groups))}
+    assert [x for g in range(draws.groups) for x in got[g]] == want
+
+
+@pytest.mark.parametrize("block", [1 << 14, 7])
+def test_intervals_equal_a_plain_loop(spark, monkeypatch, block):
+    """Also of a metric and a counter that the caller adds."""
+    monkeypatch.setattr(bootstrap, "BLOCK", block)
+    r, n, turns = random.Random(3), 30, 60
+    rows = [tuple(r.randint(0, 3) for _ in evaluation.COUNTERS) + (r.randint(0, 9),) for _ in range(n)]
+    counters = [*evaluation.COUNTERS, "lines"]
+    counts = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "case_idx long, " + ", ".join(f"{c} long" for c in counters)).repartition(3)
+    extra = {"found_per_line": M.ratio("bug_tp", "lines")}
+    got = {x.metric: (x.low, x.high) for x in bootstrap.intervals(counts, bootstrap.seeded(n, turns, 5), 0.9, extra, counters).collect()}
+    draw, values = random.Random(5), {"found_per_line": [], "smell_recall": []}
+    for _ in range(turns):
+        total = dict(zip(counters, map(sum, zip(*[draw.choice(rows) for _ in range(n)]))))
+        values["found_per_line"].append(total["bug_tp"] / total["lines"])
+        values["smell_recall"].append(total["smell_tp"] / (total["smell_tp"] + total["smell_fn"]))
+    for k, v in values.items():
+        assert got[k] == (sorted(v)[int((1 - 0.9) / 2 * turns)], sorted(v)[min(int((1 - (1 - 0.9) / 2) * turns), turns - 1)])
+    assert len(got) == 16
+    with pytest.raises(ValueError):
+        evaluation.metric_columns({"smell_f1": F.lit(1)})
+
+
 def test_final_classes(spark):
     rows = [
         ("out_of_scope_finding", None, None, None, False, "out_of_scope_finding"), ("llm_false_positive", None, None, None, False, "llm_false_positive"), ("smell_heuristic", None, None, None, False, "heuristic_smell_only"),

@@ -27,6 +27,12 @@ def f1(tp, fp, fn) -> Column:
     return ratio(2.0 * p * r, p + r)
 
 
+def f_beta(beta: float, tp, fp, fn) -> Column:
+    """F score in which recall counts beta^2 times as much as precision."""
+    b = float(beta) ** 2
+    return ratio((1 + b) * _col(tp), (1 + b) * _col(tp) + b * _col(fn) + _col(fp))
+
+
 def accuracy(tp, fp, fn, tn) -> Column:
     return ratio(_col(tp) + _col(tn), _col(tp) + _col(fp) + _col(fn) + _col(tn))
 

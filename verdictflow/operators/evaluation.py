@@ -7,7 +7,7 @@ status, property, from the verifier alone. cases: case_id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -123,18 +123,21 @@ def totals(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
 FLOWS = {"llm": ("bug", "func"), "hybrid": ("hybrid", "hybrid_func"), "esbmc": ("direct", "direct_func")}
 
 
-def metric_columns() -> dict:
-    """The fifteen metrics that get confidence intervals, as columns over counters."""
+def metric_columns(extra: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The fifteen metrics that get confidence intervals, as columns over counters, and the caller's own under names of their own."""
     out = {}
     for flow, (c, f) in FLOWS.items():
         tp, fp, fn = f"{c}_tp", f"{c}_fp", f"{c}_fn"
         out |= {f"{flow}_bug_precision": M.precision(tp, fp), f"{flow}_bug_recall": M.recall(tp, fn), f"{flow}_bug_f1": M.f1(tp, fp, fn), f"{flow}_bug_mcc": M.mcc(f"{f}_tp", f"{f}_fp", f"{f}_fn", f"{f}_tn")}
     tp, fp, fn = "smell_tp", "smell_fp", "smell_fn"
-    return out | {"smell_precision": M.precision(tp, fp), "smell_recall": M.recall(tp, fn), "smell_f1": M.f1(tp, fp, fn)}
+    out |= {"smell_precision": M.precision(tp, fp), "smell_recall": M.recall(tp, fn), "smell_f1": M.f1(tp, fp, fn)}
+    if taken := sorted(out.keys() & (extra or {}).keys()):
+        raise ValueError(f"metrics of these names exist: {taken}")
+    return out | (extra or {})
 
 
-def rates(total: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Metrics, accuracies and rates of summed counters, rounded to four digits."""
-    own = metric_columns() | {f"{flow}_accuracy": M.accuracy(f"{f}_tp", f"{f}_fp", f"{f}_fn", f"{f}_tn") for flow, (_, f) in FLOWS.items()}
+def rates(total: DataFrame, keep: list[str] | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Metrics (the caller's own too), accuracies and rates of summed counters, rounded to four digits."""
+    own = metric_columns(extra) | {f"{flow}_accuracy": M.accuracy(f"{f}_tp", f"{f}_fp", f"{f}_fn", f"{f}_tn") for flow, (_, f) in FLOWS.items()}
     own |= {"hallucination_rate": M.hallucination_rate("hallucinations", "bug_tp", "bug_fp", "ghosts"), "confirmation_rate": M.confirmation_rate("confirmed", "not_confirmed", "inconclusive"), "noise_reduction": M.noise_reduction("bug_fp", "hybrid_fp")}
     return total.select(*(keep or []), *[F.round(v, 4).alias(k) for k, v in own.items()])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, classify, evaluation, matching, reports
+from ..functions import metrics as M
+from ..operators import bootstrap, classify, evaluation, lineage, matching, reports
 from . import fixtures as X
 
 TURNS = 2000
@@ -73,10 +74,36 @@ def missed_bug_rows(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    counts = bootstrap.numbered(_counts(spark, d), "case_id")
-    n = X.bound(spark, d, X.CASES).count()
-    out = bootstrap.intervals(counts, bootstrap.lcg_resample(counts, n, TURNS), TURNS)
-    return out.select("metric", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    return _rounded(bootstrap.intervals(_numbered(spark, d), bootstrap.lcg(_n_cases(spark, d), TURNS)))
+
+
+def bootstrap_seeded(spark, d):
+    return _rounded(bootstrap.intervals(_numbered(spark, d), bootstrap.seeded(_n_cases(spark, d), TURNS)))
+
+
+def _numbered(spark, d):
+    return bootstrap.numbered(lineage.cut(_counts(spark, d)), "case_id")
+
+
+def _n_cases(spark, d):
+    return X.bound(spark, d, X.CASES).count()
+
+
+def _rounded(intervals):
+    return intervals.select("metric", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+#: What a caller of the library might want to know besides: recall counts four times, and how many of the analyzer's bugs the verifier could say nothing of.
+OWN_METRICS = {"hybrid_bug_f2": lambda: M.f_beta(2, "hybrid_tp", "hybrid_fp", "hybrid_fn"), "undecided_share": lambda: M.ratio(F.col("inconclusive") + F.col("skipped"), F.col("confirmed") + F.col("not_confirmed") + F.col("inconclusive") + F.col("skipped"))}
+
+
+def own_metrics(spark, d):
+    """The caller's metrics of each model, and over all models their interval."""
+    extra = {k: f() for k, f in OWN_METRICS.items()}
+    by_model = evaluation.rates(evaluation.totals(_by_model(spark, d), ["model"]), ["model"], extra)
+    told = by_model.select("model", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in extra])).alias("x")).select("model", "x.*")
+    spans = _rounded(bootstrap.intervals(_numbered(spark, d), bootstrap.lcg(_n_cases(spark, d), TURNS), extra=extra)).where(F.col("metric").isin(*extra))
+    return told.join(spans, "metric")
 
 
 def section_table(spark, d):
@@ -249,11 +276,17 @@ _RATES |= {"hallucination_rate": _div("hallucinations", "bug_tp + bug_fp - ghost
 _RATE_SQL = ", ".join(f"round({v}, 4) AS {k}" for k, v in _RATES.items())
 _SECTIONS = {"bugs_llm_only": "bug", "bugs_hybrid_pipeline": "hybrid", "smells": "smell", "esbmc_direct_baseline": "direct"}
 _TABLE = f"{_COUNTS}, t AS (SELECT model, {_SUMS} FROM counts GROUP BY model), sections AS (" + " UNION ALL ".join(f"SELECT model, '{s}' AS section, round({_div(f'{c}_tp', f'{c}_tp + {c}_fp')}, 4) AS \"precision\", round({_div(f'{c}_tp', f'{c}_tp + {c}_fn')}, 4) AS recall, round({_div(f'2 * {c}_tp', f'2 * {c}_tp + {c}_fp + {c}_fn')}, 4) AS f1, {c}_tp AS tp, {c}_fp AS fp, {c}_fn AS fn FROM t" for s, c in _SECTIONS.items()) + ")"
-_CI = f"""WITH {_COUNTS}, n AS (SELECT count(*) AS n FROM counts), idx AS (SELECT *, row_number() OVER (ORDER BY case_id) - 1 AS case_idx FROM counts),
+def _ci_sql(metrics):
+    return f"""WITH {_COUNTS}, n AS (SELECT count(*) AS n FROM counts), idx AS (SELECT *, row_number() OVER (ORDER BY case_id) - 1 AS case_idx FROM counts),
 grid AS (SELECT b, ((b * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % n AS case_idx FROM n, unnest(range({TURNS})) AS g(b), (SELECT unnest(range(n)) AS pos FROM n) p),
-s AS (SELECT b, {_SUMS} FROM grid JOIN idx USING (case_idx) GROUP BY b), long AS ({' UNION ALL '.join(f"SELECT '{k}' AS metric, {v} AS value FROM s" for k, v in _METRICS.items())}),
+s AS (SELECT b, {_SUMS} FROM grid JOIN idx USING (case_idx) GROUP BY b), long AS ({' UNION ALL '.join(f"SELECT '{k}' AS metric, {v} AS value FROM s" for k, v in metrics.items())}),
 r AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY value) AS r FROM long)
 SELECT metric, round(max(value) FILTER (WHERE r = {int(0.025 * TURNS) + 1}), 4) AS low, round(max(value) FILTER (WHERE r = {min(int(0.975 * TURNS), TURNS - 1) + 1}), 4) AS high FROM r GROUP BY metric"""
+
+
+_CI = _ci_sql(_METRICS)
+_OWN = {"hybrid_bug_f2": _div("5 * hybrid_tp", "5 * hybrid_tp + 4 * hybrid_fn + hybrid_fp"), "undecided_share": _div("(inconclusive + skipped)", "confirmed + not_confirmed + inconclusive + skipped")}
+_OWN_SQL = f"WITH ci AS ({_ci_sql(_OWN)}), {_COUNTS}, t AS (SELECT model, {_SUMS} FROM counts GROUP BY model), told AS ({' UNION ALL '.join(f"SELECT model, '{k}' AS metric, round({v}, 4) AS value FROM t" for k, v in _OWN.items())}) SELECT metric, model, value, low, high FROM told JOIN ci USING (metric)"
 _FINAL = """CASE WHEN finding_type IN ('out_of_scope_finding', 'llm_false_positive') THEN finding_type WHEN finding_type = 'smell_heuristic' THEN 'heuristic_smell_only' WHEN finding_type <> 'suspected_bug' THEN 'skipped_not_verifiable'
   WHEN case_id % 19 = 0 THEN 'llm_only_suspected' WHEN status IS NULL OR status = 'skipped' THEN CASE WHEN dstatus = 'violation_found' THEN 'esbmc_native_bug' ELSE 'skipped_not_verifiable' END
   WHEN status = 'violation_found' AND property = category THEN 'llm_confirmed_by_esbmc' WHEN status = 'violation_found' THEN 'esbmc_inconclusive' WHEN status = 'no_violation_found' THEN 'not_confirmed_within_bound' ELSE 'esbmc_inconclusive' END"""
@@ -282,6 +315,8 @@ PLANS = {
     "q_missed_multiset": (missed_multiset, f"WITH {_B}, {_match_sql('m', _BUGS, _NATIVE)} SELECT case_id, category, function, CAST(fn AS BIGINT) AS missed FROM m WHERE fn > 0"),
     "q_missed_bug_rows": (missed_bug_rows, f"WITH {_B} SELECT case_id, function, 'esbmc_detected' AS category, 'esbmc_direct' AS stage, 'suspected_bug' AS finding_type, true AS verifiable, 'llm_missed_esbmc_bug' AS final_class FROM direct d WHERE status = 'violation_found' AND NOT EXISTS (SELECT 1 FROM findings f WHERE f.verifiable AND f.case_id = d.case_id AND f.category = d.property AND f.function = d.function) UNION ALL SELECT case_id, function, 'esbmc_direct', 'esbmc_direct', 'direct_observation', false, 'clean' FROM direct WHERE status = 'no_violation_found'"),
     "q_bootstrap_ci": (bootstrap_ci, _CI),
+    "q_bootstrap_seeded": (bootstrap_seeded, None),
+    "q_own_metrics": (own_metrics, _OWN_SQL),
     "q_section_table": (section_table, f"WITH {_TABLE} SELECT * FROM sections"),
     "q_section_pivot": (section_pivot, f"WITH {_TABLE} SELECT model, {', '.join(f"max(f1) FILTER (WHERE section = '{s}') AS {s}" for s in reports.SECTIONS)} FROM sections GROUP BY model"),
     "q_na_note": (na_note, f"WITH {_TABLE}, notes AS (SELECT model, tp = 0 AND fp = 0 AS note FROM sections WHERE section = 'esbmc_direct_baseline') SELECT model, section, CASE WHEN tp = 0 AND fp = 0 THEN 'N/A' ELSE printf('%.4f', \"precision\") END AS shown, note FROM sections JOIN notes USING (model)"),

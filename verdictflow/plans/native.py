@@ -105,7 +105,7 @@ def anchor_counts(spark, missed: int = 4, n: int = 70):
 
 
 def bootstrap_exact(spark, _):
-    out = bootstrap.intervals(anchor_counts(spark), bootstrap.seeded_resample(spark, 70), 2000)
+    out = bootstrap.intervals(anchor_counts(spark), bootstrap.seeded(70))
     return out.where("metric like 'hybrid%'").select("metric", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
