@@ -87,6 +87,26 @@ def test_published_intervals(spark):
     assert got["hybrid_bug_recall"] == (0.8889, 1.0) and got["hybrid_bug_mcc"] == (0.7347, 1.0)
 
 
+def test_rows_that_match(spark):
+    """As a plain greedy loop pairs them; one key has most of the rows, and is ranked by many tasks."""
+    r = random.Random(7)
+    keys = [("hot", "f")] * 400 + [(c, f) for c in "ab" for f in "fg"] * 5 + [(None, "f")] * 2
+    found, expected = [(*k, p) for p, k in enumerate(r.sample(keys, 300))], [(*k, p) for p, k in enumerate(r.sample(keys, 250))]
+    left, want = list(found), []
+    for e in expected:
+        hit = next((g for g in left if g[:2] == e[:2] and None not in e), None)
+        want.append((hit and hit[2], e[2]))
+        left = [g for g in left if g is not hit]
+    want += [(g[2], None) for g in left]
+    sides = spark.createDataFrame(found, "category string, function string, pos int"), spark.createDataFrame(expected, "category string, function string, ord int")
+    got = matching.match_rows(*sides, ["category", "function"]).collect()
+    assert Counter((x.found and x.found.pos, x.expected and x.expected.ord) for x in got) == Counter(want)
+    assert all(x.verdict == ("fp" if x.expected is None else "fn" if x.found is None else "tp") for x in got)
+    parts = matching.ranked(sides[0].where("category = 'hot'"), ["category", "function"], "pos")
+    assert sorted(x["rank"] for x in parts.collect()) == list(range(1, parts.count() + 1))
+    assert matching.match_rows(sides[0].limit(0), sides[1].limit(0), ["category", "function"]).count() == 0
+
+
 @pytest.mark.parametrize(("n", "turns", "per"), [(1, 3, 2), (2, 5, 5), (70, 40, 7), (1024, 12, 5), (1500, 9, 4)])
 def test_seeded_draws_are_those_of_choice(n, turns, per, monkeypatch):
     """From the states that the driver keeps, groups of turns go on alike in any order."""

@@ -32,6 +32,15 @@ def match_verdicts(spark, d):
     return matching.match_verdicts(*_bugs(spark, d)).withColumn("n", F.col("n").cast("long"))
 
 
+def match_rows(spark, d):
+    """Over all files of a model, so that a key has many rows."""
+    found, expected = _bugs(spark, d)
+    told = found.select("model", "category", (F.col("case_id") * 10 + F.col("rule")).alias("pos"), "rule")
+    wanted = expected.select("model", "category", F.col("case_id").alias("ord"), "function")
+    out = matching.match_rows(told, wanted, ["model", "category"])
+    return out.select("model", "category", "verdict", "rank", F.col("found.pos").alias("finding"), F.col("found.rule").alias("rule"), F.col("expected.ord").alias("expectation"), F.col("expected.function").alias("function"))
+
+
 def match_per_category(spark, d):
     return matching.match_counts(*_bugs(spark, d)).groupBy("category").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
@@ -305,6 +314,7 @@ _MODELS = f"{_COUNTS}, {CATEGORY_SQL.split('SELECT flow')[0]}, t AS (SELECT mode
 
 PLANS = {
     "q_match_verdicts": (match_verdicts, f"WITH {_B}, {_match_sql('m', _BUGS, _EXP)} SELECT case_id, category, function, verdict, unnest(range(1, CAST(k AS BIGINT) + 1)) AS n FROM (SELECT case_id, category, function, 'tp' AS verdict, tp AS k FROM m UNION ALL SELECT case_id, category, function, 'fp', fp FROM m UNION ALL SELECT case_id, category, function, 'fn', fn FROM m) v WHERE k > 0"),
+    "q_match_rows": (match_rows, f"WITH {_B}, f AS (SELECT model, category, case_id * 10 + rule AS finding, rule, row_number() OVER (PARTITION BY model, category ORDER BY case_id * 10 + rule) AS rank FROM findings WHERE verifiable), e AS (SELECT model, category, case_id AS expectation, function, row_number() OVER (PARTITION BY model, category ORDER BY case_id) AS rank FROM expected WHERE verifiable) SELECT model, category, CASE WHEN expectation IS NULL THEN 'fp' WHEN finding IS NULL THEN 'fn' ELSE 'tp' END AS verdict, rank, finding, rule, expectation, function FROM f FULL JOIN e USING (model, category, rank)"),
     "q_match_per_category": (match_per_category, f"WITH {_B}, {_match_sql('m', _BUGS, _EXP)} SELECT category, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM m GROUP BY category"),
     "q_category_counts": (category_counts, f"WITH {_COUNTS}, {CATEGORY_SQL}"),
     "q_case_counts": (case_counts, f"WITH {_COUNTS} SELECT * EXCLUDE (model) FROM counts"),
