@@ -489,6 +489,34 @@ def test_html_extract_reads_other_layouts(full_dom, name):
     assert full_dom.extract([page]) == [want]
 
 
+NAV = '<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>'
+FOOT = "<footer>&copy; 2020 Bugle. All rights reserved.</footer>"
+SAID = "the storm reached coast on monday evening and officials asked people to stay inside while rain was expected tomorrow for most of northern towns near rivers".split()
+
+
+@pytest.mark.parametrize("size", [12, 15, 16, 17, 20, 30, 40, 41, 60])
+@pytest.mark.parametrize("count", [1, 2, 3, 8])
+def test_html_extract_short_and_bare_articles(full_dom, size, count):
+    """Pages of a second layout code, with their exact texts: articles directly in the body, short ones, link lists and meaningless names."""
+    r = random.Random(size * 10 + count)
+    said = [" ".join(r.choice(SAID) for _ in range(size)).capitalize() + "." for _ in range(count)]
+    wrapped, head = "".join(f"<p>{p}</p>" for p in said), "Storm reaches the coast"
+    pages = {
+        f"<html><body><h1>{head}</h1>{wrapped}</body></html>": [head, *said],
+        f"<html><head><title>x</title></head><body>{NAV}<h1>{head}</h1>{wrapped}{FOOT}</body></html>": [head, *said],
+        f"<html><body>{wrapped}</body></html>": said,
+        f"<html><body>{NAV}<main><h1>{head}</h1>{wrapped}</main>{FOOT}</body></html>": [head, *said],
+        f"<html><body><main><p>{said[0]}</p><ul><li><a href=/x>First source</a></li><li><a href=/y>Second source</a></li></ul>{wrapped[len(said[0]) + 7 :]}</main></body></html>": [said[0], "First source", "Second source", *said[1:]],
+        f"<html><body>{NAV}<div class=c-a1><h2>Weather report</h2><ul><li>Wind</li><li>Rain</li><li>Snow</li></ul>{wrapped}</div>{FOOT}</body></html>": ["Weather report", "Wind", "Rain", "Snow", *said],
+    }
+    assert full_dom.extract(list(pages)) == ["\n".join(x) for x in pages.values()]
+
+
+def test_html_extract_formulas(full_dom):
+    page = "<article><h1>Energy at rest</h1><p>It says <math><mi>E</mi><mo>=</mo><msup><mi>m</mi><mn>2</mn></msup><annotation encoding=x>E=mc^2</annotation></math> for a body at rest, <svg viewBox=x><g><text>axis</text><svg><path d=z /></svg></g></svg>as everybody knows.</p><p>And so it has been said for a hundred years.</p></article>"
+    assert full_dom.extract([page]) == ["Energy at rest\nIt says E=m2 for a body at rest, as everybody knows.\nAnd so it has been said for a hundred years."]
+
+
 def test_html_extract_generalises(full_dom):
     right = total = 0
     for p in html_extract.labelled_pages(120, seed=1234):

@@ -67,14 +67,16 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: float = CONTAI
     items = items.groupBy("w").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("null_id")).withColumn("item", F.xxhash64("w"))
     items = cut(items)
     sizes = sorted(r["k"] for r in items.select(F.least(F.size("w"), F.lit(WORDS)).alias("k")).distinct().collect()) or [WORDS]
-    texts = docs.select(F.xxhash64(text_col).alias("t"), F.octet_length(text_col).alias("b"), words(F.col(text_col)).alias("w"))
+    keyed = docs.select(F.xxhash64(text_col).alias("t"), F.octet_length(text_col).alias("b"), F.col(text_col).alias("text"))
+    texts = keyed.select("t", "b", words(F.col("text")).alias("w"))
     sketches = cut(item_sketches(items.select("item", "w"), share).withColumnRenamed("s", "h"))
     probes = _sized(texts.withColumn("most", F.size("w")), sizes, _hashed).withColumnRenamed("s", "h")
     pairs = attach_bounded(probes, sketches, ["k", "h"], ["t"], "inner", BROADCAST_ROWS).where(F.col("most") - F.col("k") + 1 >= F.col("n") * share - 1e-9)
     pairs = cut(pairs.select("t", "b", "item", "n", "k").distinct())
     candidates = pairs.select("t", "b").distinct()
-    near = attach_bounded(texts, candidates, ["t", "b"], ["t"], "left_semi", BROADCAST_ROWS).dropDuplicates(["t", "b"])
-    held = _sized(near, sizes, _plain).distinct()
+    # Only candidates' texts are taken apart again.
+    near = attach_bounded(keyed, candidates, ["t", "b"], None, "left_semi", BROADCAST_ROWS).dropDuplicates(["t", "b"])
+    held = _sized(near.select("t", "b", words(F.col("text")).alias("w")), sizes, _plain).distinct()
     wanted = items.withColumn("kk", F.least(F.size("w"), F.lit(WORDS))).select("item", F.explode(F.coalesce(*[F.when(F.col("kk") == k, F.array_distinct(_plain(F.col("w"), k))) for k in range(1, WORDS + 1)])).alias("s"), F.col("kk").alias("k"))
     both = attach_bounded(held, wanted, ["k", "s"], ["t"], "inner", BROADCAST_ROWS).groupBy("t", "b", "item").agg(F.count("*").alias("shared"))
     exact = both.join(pairs, ["t", "b", "item"]).where(F.col("shared") >= F.col("n") * share - 1e-9)
@@ -97,4 +99,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINM
     found = cut(contained_items(docs, benchmark, share, text_col, item_id_col).select("t", "b").distinct())
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("t"), F.octet_length(text_col).alias("b"))
     keyed = rows.withColumn("b", F.coalesce("b", F.lit(-1)))
-    return attach_bounded(keyed, found, ["t", "b"], ["t"], "left_anti", BROADCAST_ROWS).select("row.*")
+    return attach_bounded(keyed, found, ["t", "b"], None, "left_anti", BROADCAST_ROWS).select("row.*")

@@ -3,19 +3,22 @@
 A page becomes a tree of its block elements, with a leaf for each run of text inside a block. Each
 node has one of three states: mixed (holds both), content, boilerplate. Parent-child potentials (by the
 child's tag) and naive Bayes node potentials (words of class, id and role; what a block's whole inside is like: its
-share of the page's text, of links, the length of its runs, form controls; text statistics of leaves) are learned by
+share of the page's text, of links, the length of its runs, form controls, whether it lies on the way from the page to
+its largest part; text statistics of leaves) are learned by
 counting on labelled pages; sum-product messages, once upward and once downward, give each leaf its exact
 content marginal. Leaves above one half are the main text. All pages of an Arrow batch are solved
 together, level by level.
 
-The labelled pages come from labelled_pages(), which lays out pages in many styles, tables and blocks with
-meaningless names among them, and marks each part as content or boilerplate; no page of the input is labelled, and
+The labelled pages come from labelled_pages(), which lays out pages in many styles, tables, blocks with meaningless
+names and articles directly in the body among them, and marks each part as content or boilerplate; no page of the input is labelled, and
 none is learned from.
 
 Defined results: null html is an empty page with empty text; character references are decoded; white
 space inside a block becomes one space; br is white space; blocks are joined by one line break in
 page order; unclosed and misnested tags are closed as browsers do for p, li, dt, dd, tr, td, th and
-option; what is hidden (by the hidden attribute or an inline style), buttons, selections and noscript are never read;
+option; a formula is text of its paragraph, a drawing is skipped without ending it; what is hidden (by the hidden
+attribute or an inline style), buttons, selections and noscript are never read, since no reader of the page sees them
+as its text;
 null ids and repeated rows are kept; extra columns are ignored.
 """
 
@@ -35,23 +38,27 @@ from pyspark.sql import functions as F
 
 MIXED, CONTENT, BOILER = 0, 1, 2
 TRAIN_PAGES = 1000
-#: Text statistics of neighbours depend on each other, so they count for less.
-LEAF_WEIGHT, BLOCK_WEIGHT = 0.5, 0.15
+#: Text statistics of neighbours depend on each other, and so do those of a block, so they count for less.
+LEAF_WEIGHT, BLOCK_WEIGHT, WAY_WEIGHT = 0.5, 0.25, 0.6
 #: Words of class, id and role that fewer labelled blocks have say nothing.
 LEAST_SEEN = 4
 LEAST_RUNS = 2
 GROUP_CHARS = 4 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
+_DRAWING = re.compile(r"<(/?)svg(?=[\s/>])[^>]*+>", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ATTRIBUTE = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|hidden|style|data-label)(?=[\s=/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Raw elements and embedded documents never hold readable blocks.
-UNREAD = frozenset("script style textarea title iframe noembed noframes noscript xmp template svg math head datalist object canvas audio video button select dialog".split())
+UNREAD = frozenset("script style textarea title iframe noembed noframes noscript xmp template head datalist object canvas audio video button select dialog".split())
 CONTROLS = frozenset("input textarea button select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: A formula is text of its paragraph; what only describes it to programs is not read.
+FORMULA = frozenset("math merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+DESCRIBES = frozenset(("annotation", "annotation-xml"))
 #: An opening tag closes these if they are open above the nearest barrier.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "optgroup": {"option", "optgroup"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}, "optgroup": {"select"}}
@@ -93,12 +100,19 @@ class Tree:
             for sums in (chars, runs, linked, controls):
                 sums[up] += sums[i]
         total = max(1, chars[0])
+        largest: dict[int, int] = {}  # of each block, the child with the most text
+        for i in range(1, len(chars)):
+            if self.text[i] is None and chars[i] > chars[largest.get(self.parent[i], i)] - (self.parent[i] not in largest):
+                largest[self.parent[i]] = i
+        on_way = [True] * len(chars)  # from the page to its largest part
+        for i in range(1, len(chars)):
+            on_way[i] = on_way[self.parent[i]] and largest.get(self.parent[i]) == i
         for i, text in enumerate(self.text):
             if text is None and runs[i] < LEAST_RUNS:
                 self.feature[i] = (*self.feature[i], ())
             elif text is None:
                 share, links, run = chars[i] / total, linked[i] / max(1, chars[i]), chars[i] / max(1, runs[i])
-                inside = (_step(share, (0.001, 0.03, 0.1, 0.25, 0.5, 0.8)), _step(links, (0.01, 0.15, 0.5, 0.9)), _step(run, (1, 15, 40, 90, 200)), _step(runs[i], (1, 2, 3, 6, 12)), controls[i] > 0)
+                inside = (_step(share, (0.001, 0.03, 0.1, 0.25, 0.5, 0.8)), _step(links, (0.01, 0.15, 0.5, 0.9)), _step(run, (1, 15, 40, 90, 200)), _step(runs[i], (1, 2, 3, 6, 12)), controls[i] > 0, on_way[i])
                 self.feature[i] = (*self.feature[i], inside)
 
 
@@ -131,6 +145,16 @@ def _leaf_feature(text: str, linked: int) -> tuple:
     return ("leaf", size, 0 if share == 0 else 1 if share < 0.5 else 2, text[-1] in ".!?…", "©" in text)
 
 
+def _after_drawing(html: str, at: int) -> int:
+    """The place behind the drawing that has been opened before `at`; drawings may hold others."""
+    depth = 1
+    for m in _DRAWING.finditer(html, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if not depth:
+            return m.end()
+    return len(html)
+
+
 def parse_html(html: str | None) -> Tree:
     """The block tree of a page. Cost is linear in its length."""
     tree = Tree()
@@ -195,7 +219,11 @@ def parse_html(html: str | None) -> Tree:
         if not name:
             continue
         name = name.lower()
-        if name in INLINE:
+        if name == "svg":  # a drawing is no text, and does not end its paragraph
+            if not end and not (raw or "").endswith("/"):
+                at = _after_drawing(html, at)
+            continue
+        if name in INLINE or name in FORMULA or name in DESCRIBES:
             if name == "br":
                 say(" ")
             elif name == "a":
@@ -206,7 +234,7 @@ def parse_html(html: str | None) -> Tree:
                     unread -= not veil
                 elif not end and name == veil[0] and name not in VOID:
                     veil.append(name)
-            elif not end and name not in VOID and raw and _attributes(raw)[2]:
+            elif not end and name not in VOID and (name in DESCRIBES or (raw and _attributes(raw)[2])):
                 veil.append(name)
                 unread += 1
             continue
@@ -238,13 +266,12 @@ def parse_html(html: str | None) -> Tree:
             tail = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(html, at)
             at = tail.end() if tail else n
             continue
-        if not raw.endswith("/") or name not in ("svg", "math", "path"):
-            node = tree.add(up, (name, words), None, state)
-            unseen = hidden or name in UNREAD
-            stack.append((name, node, unseen))
-            opened[name] += 1
-            unread += unseen
-            links = 0
+        node = tree.add(up, (name, words), None, state)
+        unseen = hidden or name in UNREAD
+        stack.append((name, node, unseen))
+        opened[name] += 1
+        unread += unseen
+        links = 0
     flush()
     tree.measure()
     return tree
@@ -261,7 +288,7 @@ class DomModel:
         every, edge = np.ones((3, 3)), defaultdict(lambda: np.zeros((3, 3)))
         word, leaf = defaultdict(lambda: np.full(3, 0.5)), [defaultdict(lambda: np.ones(3)) for _ in range(4)]
         leaves, named, blocks = np.zeros(3), np.zeros(3), np.zeros(3)
-        inside = [defaultdict(lambda: np.ones(3)) for _ in range(5)]
+        inside = [defaultdict(lambda: np.ones(3)) for _ in range(6)]
         for t in trees:
             for up, f, state in zip(t.parent, t.feature, t.label):
                 if up >= 0:
@@ -297,7 +324,7 @@ class DomModel:
                 own = sum(d.get(x, np.zeros(3)) for d, x in zip(self.leaf, feature[1:])) * LEAF_WEIGHT
             else:
                 own = sum((self.word[w] for w in feature[1] if w in self.word), np.zeros(3))
-                own = own + sum(d.get(x, np.zeros(3)) for d, x in zip(self.inside, feature[2])) * BLOCK_WEIGHT
+                own = own + sum(d.get(x, np.zeros(3)) * w for d, x, w in zip(self.inside, feature[2], [BLOCK_WEIGHT] * 5 + [WAY_WEIGHT]))
             out = own, self.edge.get(feature[0], self.other)
             if len(self.cache) < 100_000:
                 self.cache[feature] = out
@@ -420,10 +447,29 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> Iterator[str]:
 
     def body_parts() -> str:
         parts = [paragraphs(1)]
-        for _ in range(r.randint(0, 8)):
-            parts.append(r.choice([lambda: paragraphs(r.randint(1, 3))] * 5 + [lambda: f"<h2>{words(1, 7)}</h2>", lambda: f"<ul>{''.join(f'<li>{prose(1, 15)}</li>' for _ in range(r.randint(1, 5)))}</ul>", lambda: f"<blockquote>{prose(3, 30)}</blockquote>", lambda: f"<blockquote><p>{prose(3, 30)}</p></blockquote>", lambda: f"<table><tr><th>{words(1, 2)}<td>{words(1, 3)}</table>", lambda: "<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{prose(1, 9)}</td></tr>" for _ in range(r.randint(1, 5))) + "</table>", lambda: f"<pre>{words(2, 20)}</pre>", lambda: f"<figure><img src=x><figcaption>{prose(2, 12)}</figcaption></figure>", lambda: f"<dl><dt>{words(1, 3)}<dd>{prose(2, 15)}</dl>", lambda: f"<section>{paragraphs(2)}</section>", lambda: f"<p>{prose(2, 20)} {link(words(1, 4))} {prose(1, 20)}</p>", lambda: f"<ol><li>{prose(1, 15)}<li>{link(words(1, 6))}</ol>"])())
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3, 4, 5, 6, 7, 8])):
+            parts.append(r.choice([lambda: paragraphs(r.randint(1, 3))] * 5 + [lambda: f"<h2>{words(1, 7)}</h2>", lambda: f"<ul>{''.join(f'<li>{prose(1, 15)}</li>' for _ in range(r.randint(1, 5)))}</ul>", lambda: f"<blockquote>{prose(3, 30)}</blockquote>", lambda: f"<blockquote><p>{prose(3, 30)}</p></blockquote>", lambda: f"<table><tr><th>{words(1, 2)}<td>{words(1, 3)}</table>", lambda: "<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{prose(1, 9)}</td></tr>" for _ in range(r.randint(1, 5))) + "</table>", lambda: f"<pre>{words(2, 20)}</pre>", lambda: f"<figure><img src=x><figcaption>{prose(2, 12)}</figcaption></figure>", lambda: f"<dl><dt>{words(1, 3)}<dd>{prose(2, 15)}</dl>", lambda: f"<section>{paragraphs(2)}</section>", lambda: f"<p>{prose(2, 20)} {link(words(1, 4))} {prose(1, 20)}</p>", lambda: f"<ol><li>{prose(1, 15)}<li>{link(words(1, 6))}</ol>", lambda: f"<ul>{''.join(f'<li>{link(words(1, 5))}</li>' for _ in range(r.randint(1, 4)))}</ul>", lambda: f"<ul>{''.join(f'<li>{words(1, 3)}</li>' for _ in range(r.randint(2, 6)))}</ul>"])())
         return "".join(parts)
 
+    def in_body(parts: str) -> str:
+        """The parts of an article without anything around them: each is content by itself."""
+        out, at = [], 0
+        for m in re.finditer(r"<(/?)(\w+)([^>]*)>", parts):
+            if m.start() < at:
+                continue
+            at = m.end()
+            if not m[1] and m[2] not in VOID:
+                depth = 1
+                for x in re.finditer(rf"<(/?){m[2]}(?=[ >])", parts[at:]):
+                    depth += -1 if x[1] else 1
+                    if not depth:
+                        break
+                end = at + x.end() + 1
+                label = "" if "data-label" in m[3] else ' data-label="content"'
+                out.append(f"<{m[2]}{m[3]}{label}>{parts[at:end]}")
+                at = end
+        return "".join(out)
+
     def tabled(main: str) -> str:
         """The article in a cell of a layout table, between rows and cells of other parts."""
         cell = lambda part: f'<td data-label="boiler">{part()}</td>'
@@ -446,7 +492,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> Iterator[str]:
         for part, chance in ((ad, 0.25), (notice, 0.12), (form, 0.12), (side, 0.12), (small, 0.3), (comments, 0.2), (foot, 0.08), (nav, 0.05)):
             if r.random() < chance:
                 inside.insert(r.randint(0 if part is small else 1, len(inside)), part())
-        kind = r.random()
+        kind = r.uniform(0, 1.25)
         names = ["article", "artikel", "inhalt", "contenu", "contenido", "articulo", "beitrag", "post", "content", "entry", "entry-content", "article-body", "story", "main-content", "post-body", "text", "body-text", "main"]
         if kind < 0.45:
             main = named("article", names, "content", "".join(inside), 0.3)
@@ -454,9 +500,11 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> Iterator[str]:
             main = named("main", names, "content", "".join(inside), 0.5)
         elif kind < 0.85:
             main = named(r.choice(["div", "section"]), names, "content", "".join(inside), 1.0)
-        else:
+        elif kind < 1.0:
             main = tabled("".join(inside))
-        if r.random() < 0.35:
+        else:
+            main = in_body("".join(inside))
+        if r.random() < 0.35 and kind < 1.0:
             main = named(r.choice(["main", "div", "section"]), ["wrapper", "container", "page", "site", "layout", "row", "columns", "grid"], "mixed", main + "".join(part() for part in (side, comments, ad, form, small) if r.random() < 0.3), 0.8)
         before = [part() for part, chance in ((notice, 0.2), (top, 0.5), (nav, 0.85), (small, 0.2), (ad, 0.5), (form, 0.15)) if r.random() < chance]
         after = [part() for part, chance in ((comments, 0.25), (side, 0.35), (ad, 0.2), (form, 0.2), (notice, 0.1), (foot, 0.85)) if r.random() < chance]
