@@ -58,12 +58,13 @@ ENCODER = token_files.Encoder(TOKENIZER)
 
 
 def test_pieces_are_forgotten_and_encoded_again(monkeypatch):
-    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    monkeypatch.setattr(token_files, "PIECES_KEPT", 20)
+    monkeypatch.setattr(token_files, "WORDS_KEPT", 20)
     own, r = token_files.Encoder(TOKENIZER), random.Random(2)
     for _ in range(60):
         texts = [" ".join(r.choice("abcdefghij") * r.randint(1, 120 if r.random() < 0.1 else 4) for _ in range(9)) for _ in range(3)]
         assert [np.frombuffer(x, own.type).tolist() for x in own(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
-        assert len(own.known) <= 20 + 27
+        assert len(own.known) <= 20 + 9 and len(own.words) <= 20 + 9
 
 
 def test_other_vocabularies_are_encoded_whole():

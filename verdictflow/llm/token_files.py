@@ -27,9 +27,9 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +45,13 @@ SEQUENCE = 2048
 #: Sequences of a record batch.
 BATCH_SEQUENCES = 512
 END_ID = 0
-#: Encoded pieces that a task remembers: at least this many, and at most twice as many and those of one batch of texts.
-REMEMBERED = 300_000
+#: Encoded pieces and words that a worker remembers, about 300 MB; with more than that it starts afresh at the next text.
+PIECES_KEPT, WORDS_KEPT = 1_000_000, 500_000
 #: Fixed values of byte-level vocabularies: how text falls into words, and the characters by which they write bytes.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
+TOKEN_ID = attrgetter("id")
 #: Letters and digits below this are such in any version of Unicode that the library may have.
 SETTLED = regex.compile(r"[\x00-\u024F]*")
 DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int32()), ("n_tokens", pa.int64())]))
@@ -62,8 +63,7 @@ class Encoder:
     """Batches of texts to bytes of little-endian ids, of two bytes where the vocabulary allows it, else of four.
 
     A byte-level vocabulary never joins a space that a visible character follows to what is before it, so such a
-    text is cut there, and each distinct piece is encoded once, as long as it is remembered: pieces that were not used
-    while REMEMBERED others came are forgotten. The words of a piece of Latin letters go to the library's model
+    text is cut there, and each distinct piece is encoded once, as long as it is remembered. The words of a piece of Latin letters go to the library's model
     directly, other pieces to the whole library. Texts for other vocabularies, and texts in which an added token
     occurs, are encoded whole.
     """
@@ -80,8 +80,7 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.type = np.dtype("<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4")
         self.model = self.library.model
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = _Known(self._piece)
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -90,8 +89,10 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            shown = word.replace(" ", chr(BYTES[32])) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTES)
-            ids = self.words[word] = array(self.type.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            shown = (word if word.isascii() else word.encode().decode("latin-1")).replace(" ", chr(BYTES[32]))
+            if not shown.isprintable():
+                shown = shown.translate(BYTES)
+            ids = self.words[word] = array(self.type.char, map(TOKEN_ID, self.model.tokenize(shown))).tobytes()
         return ids
 
     def _piece(self, piece: str) -> bytes:
@@ -115,26 +116,29 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if not self.by_piece or any(x in t for x in self.added)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        cut_up = {i: self._pieces(texts[i]) for i in sorted(set(range(len(texts))) - set(whole))}
-        needed = set(chain.from_iterable(rest for _, rest in cut_up.values())) - known.keys()
-        known.update((p, before[p]) for p in needed & before.keys())
-        new = needed - before.keys()
-        for p in new:
-            known[p] = self._piece(f" {p}")
-        for i, (first, rest) in cut_up.items():
-            out[i] = self._piece(first) + b"".join([known[p] for p in rest])
-        for p in new:
-            if len(p) > 100:
-                del known[p]
-        return out
+        out = dict(zip(whole, self._encode([texts[i] for i in whole])))
+        for i, text in enumerate(texts):
+            if i not in out:
+                if len(self.words) > WORDS_KEPT:
+                    self.words.clear()
+                if len(self.known) > PIECES_KEPT:
+                    self.known.clear()
+                first, rest = self._pieces(text)
+                out[i] = self._piece(first) + b"".join(map(self.known.__getitem__, rest))
+        return [out[i] for i in range(len(texts))]
+
+
+class _Known(dict):
+    """The ids of pieces after a space, worked out when a piece is first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(f" {piece}")
+        if len(piece) < 100:
+            self[piece] = ids
+        return ids
 
 
 @cache
