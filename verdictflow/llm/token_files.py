@@ -63,9 +63,9 @@ class Encoder:
     """Batches of texts to bytes of little-endian ids, of two bytes where the vocabulary allows it, else of four.
 
     A byte-level vocabulary never joins a space that a visible character follows to what is before it, so such a
-    text is cut there, and each distinct piece is encoded once, as long as it is remembered. The words of a piece of Latin letters go to the library's model
-    directly, other pieces to the whole library. Texts for other vocabularies, and texts in which an added token
-    occurs, are encoded whole.
+    text is cut there, and each distinct piece is encoded once, as long as it is remembered. The words of a piece of
+    Latin letters go to the library's model directly, other pieces to the whole library. Texts for other vocabularies,
+    and texts in which an added token occurs, are encoded whole.
     """
 
     def __init__(self, tokenizer: str):
