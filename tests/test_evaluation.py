@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from verdictflow.functions import metrics as M
 from verdictflow.operators import bootstrap, classify, evaluation, matching, presentation, reports
-from verdictflow.plans import native
 
 EXPECTED = "case_id long, function string, category string, verifiable boolean"
 FINDING = "case_id long, function string, category string, finding_type string, verifiable boolean, status string, property string"
@@ -78,11 +77,22 @@ def test_rates(spark):
     assert (out.confirmation_rate, out.noise_reduction, out.hallucination_rate) == (0.8704, 0.6364, 0.0182)
 
 
+def anchor_counts(spark, missed: int = 4, n: int = 70):
+    """Counters of 70 cases, 45 of them bugs and 10 clean, of which one bug is missed."""
+    rows = []
+    for i in range(n):
+        c = dict.fromkeys(evaluation.COUNTERS, 0)
+        bug, clean = i < 45, 45 <= i < 55
+        c |= {"hybrid_tp": int(bug and i != missed), "hybrid_fn": int(bug and i == missed), "hybrid_func_tp": int(bug and i != missed), "hybrid_func_fn": int(bug and i == missed), "hybrid_func_tn": int(clean)}
+        rows.append((i, *[c[k] for k in evaluation.COUNTERS]))
+    return spark.createDataFrame(rows, "case_idx long, " + ", ".join(f"{c} long" for c in evaluation.COUNTERS))
+
+
 def test_published_intervals(spark):
     """Two published runs: one missed case at position 5, and two at 5 and 15."""
-    got = {r.metric: (r.low, r.high) for r in native.bootstrap_exact(spark, "").collect()}
+    got = {r.metric: (round(r.low, 4), round(r.high, 4)) for r in bootstrap.intervals(anchor_counts(spark), bootstrap.seeded(70)).collect()}
     assert got["hybrid_bug_recall"] == (0.9286, 1.0) and got["hybrid_bug_mcc"] == (0.8117, 1.0)
-    two = native.anchor_counts(spark).withColumns({c: F.when(F.col("case_idx") == 14, v).otherwise(F.col(c)) for c, v in (("hybrid_tp", 0), ("hybrid_fn", 1), ("hybrid_func_tp", 0), ("hybrid_func_fn", 1))})
+    two = anchor_counts(spark).withColumns({c: F.when(F.col("case_idx") == 14, v).otherwise(F.col(c)) for c, v in (("hybrid_tp", 0), ("hybrid_fn", 1), ("hybrid_func_tp", 0), ("hybrid_func_fn", 1))})
     got = {r.metric: (round(r.low, 4), round(r.high, 4)) for r in bootstrap.intervals(two, bootstrap.seeded(70)).collect()}
     assert got["hybrid_bug_recall"] == (0.8889, 1.0) and got["hybrid_bug_mcc"] == (0.7347, 1.0)
 

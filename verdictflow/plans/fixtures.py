@@ -130,6 +130,87 @@ SELECT conv_id, turn, CAST(conv_id AS VARCHAR(20)) || ':' || CAST(turn AS VARCHA
 FROM conversations
 """
 
+# Whole source files, one for each conversation row: a module with a method, a nested and an asynchronous function, one that
+# breaks rules of labelled data, and one that is no Python. Blank lines above, a literal ($d) and names ($t) follow the row.
+_SHARE = """import math
+
+
+def share_$t(total: int, parts: int) -> int:
+    return total // parts
+
+
+def pick(rows: list[int], at: int) -> int:
+    if at < len(rows):
+        return rows[at]
+    return rows[0] / $d
+
+
+class Box:
+    def main(self, n: int) -> float:
+        def inner(k: int) -> int:
+            assert k > 0
+            return $d % k
+
+        for i in range(n):
+            inner(i)
+        return math.sqrt(n)
+
+
+async def later(k: int) -> int:
+    while k > $d:
+        k = k - 1
+    return k
+
+
+def main() -> None:
+    share_$t(1, 2)
+
+
+def test_share() -> None:
+    assert share_$t(4, 2) == 2
+"""
+_LOOSE = """import numpy
+
+
+def loose(a, b: int):
+    if b < $d:
+        return 0
+    assert b >= 0
+    return a
+
+
+print(loose(1, 2))
+"""
+KIND = "CASE (conv_id + turn) % 5 WHEN 0 THEN 'share' WHEN 1 THEN 'share' WHEN 4 THEN 'broken' ELSE 'loose' END"
+SHIFT = "CAST((conv_id * 7 + turn) % 6 AS INTEGER)"
+LITERAL = "CAST(conv_id % 8 + 2 AS VARCHAR(20))"
+TURN_OF_ELEVEN = "(conv_id + turn * 3) % 11"
+_filled = lambda text: f"replace(replace({text}, '$d', {LITERAL}), '$t', CAST(turn AS VARCHAR(20)))"
+_of_eleven = lambda *texts: f"CASE {TURN_OF_ELEVEN} " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts)) + " END"
+#: What a file's units are asked for.
+ASKED = _filled(_of_eleven("total//parts", "rows[ at ]", "k>0", "assert k > 0", "len(rows)", "list[int]", "b>=0", "assert b >= 0", "rows[0]/$d", "", "1 +"))
+SOURCES = f"SELECT 'src/' || {_KEY} || '.py' AS path, repeat({_N}, {SHIFT}) || {_filled(f'CASE {KIND} ' + f"WHEN 'share' THEN {_text(_SHARE)} WHEN 'loose' THEN {_text(_LOOSE)} ELSE 'def broken(:' END")} AS text, {ASKED} AS expression FROM conversations"
+DIVISIONS = f"SELECT conv_id, turn, {_filled(_of_eleven('a + b / $d', 'f(a / $d', 'x / $de3', 'x // 1_00$d', 'x / 0x1$d', 'x % 0', 'x / -$d', 'x / y', 'x * $d', 'x / $d', '$d % k'))} AS expression FROM conversations"
+#: Labelled items about these files, and the ground-truth file that holds each: flags, files and lines are wrong or missing here and there.
+_NAMED = "CASE asked WHEN 'share' THEN CASE turn % 4 WHEN 0 THEN CASE WHEN conv_id % 6 = 5 THEN 'clean' ELSE 'division_by_zero' END WHEN 1 THEN 'division_by_zero' WHEN 2 THEN CASE WHEN conv_id % 4 = 1 THEN 'assertion_violation' ELSE 'out_of_bounds' END ELSE 'clean' END WHEN 'loose' THEN CASE WHEN conv_id % 2 = 0 THEN 'clean' ELSE 'assertion_violation' END ELSE 'clean' END"
+LABELLED_ITEMS = f"""
+SELECT conv_id, turn, CASE conv_id % 2 WHEN 0 THEN 'data/ground_truths/bugs' ELSE 'data/set_b' END || '/out_of_bounds_' || CAST(conv_id AS VARCHAR(20)) || '.json' AS json_path, CASE conv_id % 3 WHEN 0 THEN 'division_by_zero' WHEN 2 THEN 'clean' END AS told_category,
+  'i' || {_KEY} AS id, CASE turn % 6 WHEN 4 THEN '' WHEN 5 THEN 'lost_' ELSE '' END || CASE WHEN turn % 6 = 4 THEN '' ELSE {_KEY} || '.py' END AS file,
+  CASE asked WHEN 'share' THEN CASE turn % 4 WHEN 0 THEN 'share_' || CAST(turn AS VARCHAR(20)) WHEN 1 THEN 'inner' WHEN 2 THEN 'pick' ELSE 'later' END ELSE asked END AS function,
+  CASE WHEN turn % 3 <> 2 THEN named END AS expected_category, CASE WHEN turn % 3 = 2 THEN named END AS category, named <> 'clean' AS verifiable, CASE WHEN turn % 7 <> 6 THEN named <> 'clean' END AS should_go_to_esbmc,
+  CASE WHEN named = 'clean' THEN '' WHEN asked = 'loose' THEN 'b >= 0' WHEN turn % 4 = 0 THEN 'total // parts' WHEN turn % 4 = 1 THEN {LITERAL} || ' % k' ELSE 'rows[0]' END AS expression,
+  CASE WHEN named = 'clean' THEN 0 WHEN (conv_id + turn) % 7 = 3 THEN 99 ELSE CASE WHEN asked = 'loose' THEN 7 WHEN turn % 4 = 0 THEN 5 WHEN turn % 4 = 1 THEN 18 ELSE 11 END + {SHIFT} + conv_id % 2 END AS line,
+  CASE WHEN named = 'clean' THEN '' ELSE 'Error' END AS expected_type
+FROM (SELECT *, {_NAMED} AS named FROM (SELECT *, {KIND} AS asked FROM conversations) a) b
+"""
+#: Rows of people's reports, one for each finding.
+REPORT_ROWS = f"""
+SELECT case_id, model, 'a/b/' || CAST(case_id AS VARCHAR(20)) || '.py' AS path, rule, CASE WHEN rule = 6 THEN 'esbmc_direct' ELSE 'llm_analysis' END AS stage, function, category, CASE WHEN rule <> 5 THEN 'x' || CAST(rule AS VARCHAR(20)) || ' / y' END AS expression, CASE WHEN rule = 7 THEN 0 ELSE case_id % 50 + rule END AS line,
+  CASE WHEN finding_type = 'llm_false_positive' THEN finding_type WHEN finding_type = 'suspected_bug' AND status = 'violation_found' THEN 'llm_confirmed_by_esbmc' WHEN finding_type = 'suspected_bug' THEN 'not_confirmed_within_bound' ELSE 'out_of_scope_finding' END AS final_class,
+  CASE WHEN rule % 2 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN rule % 3 <> 0 THEN 'why ' || CAST(rule AS VARCHAR(20)) END AS reasoning, 'told ' || CAST(rule AS VARCHAR(20)) AS interpretation
+FROM ({FINDINGS}) f
+"""
+
 _TABLES = re.compile(r"\b(documents|labels|events|conversations|lineitem)\b")
 
 

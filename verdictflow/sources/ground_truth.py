@@ -24,13 +24,16 @@ def _typed(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parse_ground_truth(files: DataFrame) -> DataFrame:
-    """(json_path, text) to one row for each item with a file, numbered in load order (by path, then position), with its source_path."""
+    """(json_path, text) to one row for each item with a file, numbered in load order (by path, then position), with its source_path; a path is given once."""
     rows = files.select("json_path", F.from_json("text", GROUND_TRUTH).alias("g")).select("json_path", "g.*").where("items is not null")
     stem = F.regexp_extract("json_path", r"([^/]+)\.json$", 1)
-    items = rows.select("json_path", F.coalesce(F.nullif(F.col("category"), F.lit("")), stem).alias("group"), F.posexplode("items").alias("pos", "item")).where("item.file is not null and item.file <> ''")
+    placed = F.filter(F.transform("items", lambda x, i: F.struct(i.alias("pos"), x.alias("item"))), lambda x: F.coalesce(x["item"]["file"], F.lit("")) != "")
+    rows = rows.select("json_path", F.coalesce(F.nullif(F.col("category"), F.lit("")), stem).alias("group"), placed.alias("placed"))
+    before = F.sum("n").over(Window.orderBy("json_path").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.select("json_path", F.size("placed").alias("n")).select("json_path", F.coalesce(before, F.lit(0)).alias("before"))  # one slim row a file
+    items = rows.join(starts, "json_path").select("json_path", "group", "before", F.posexplode("placed").alias("nth", "x")).select("json_path", "group", (F.col("before") + F.col("nth") + 1).cast("int").alias("ord"), "x.item")
     items = items.withColumn("source_path", source_path(F.regexp_replace("json_path", r"/[^/]*$", ""), F.col("group"), F.col("item.file")))
-    order = Window.orderBy("json_path", "pos")  # labelled items only: thousands, whatever the corpus
-    return _typed(items.withColumn("ord", F.row_number().over(order)), ["ord", "json_path", "source_path"])
+    return _typed(items, ["ord", "json_path", "source_path"])
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
