@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import verifier as V
-from ..operators import jobs
+from ..operators import jobs, lineage
+from ..sources import live_runs
+from ..sources.run_logs import RunLogs
 from . import fixtures as X
 
+
 def _runs(spark, d):
     return X.bound(spark, d, X.RUNS)
 
@@ -105,6 +108,27 @@ _BASIC = "CASE WHEN lower(stdout) LIKE '%verification failed%' THEN 'violation_f
 _TOOL = "contains(stdout, 'ERROR:') AND NOT contains(stdout, 'VERIFICATION')"
 _STATUS = f"CASE WHEN stdout IS NULL THEN 'skipped' WHEN {_TOOL} THEN 'tool_error' ELSE {_BASIC} END"
 _VCC = "TRY_CAST(nullif(regexp_extract(stdout, '(?i)Generated\\s+(\\d+)\\s+VCC', 1), '') AS BIGINT)"
+
+def live_runs_of_units(spark, d):
+    """Every unit's verifier is a shell that prints what the table says; where that says nothing, the program does not exist."""
+    said = F.array(*map(F.lit, ("sh", "-c", 'printf "%s" "$1"; exit "$2"', "run")), F.col("stdout"), F.col("returncode").cast("string"))
+    jobs_ = X.bound(spark, d, X.UNIT_RUNS).select("file", "function", F.when(F.col("stdout").isNull(), F.array(F.lit("no-such-verifier"))).otherwise(said).alias("command"))
+    return live_runs.run_jobs(jobs_, lineage.shared_folder(spark, "outcomes"))
+
+
+def live_status(spark, d):
+    return live_runs_of_units(spark, d).select("file", "function", "outcome", "returncode", F.length("stdout").alias("n_chars"), live_runs.run_status().alias("status"), live_runs.run_status(True).alias("whole_status"))
+
+
+def run_logs(spark, d):
+    """Logs of all recorded runs, written as files and read back."""
+    spark.dataSource.register(RunLogs)
+    folder = lineage.shared_folder(spark, "logs")
+    rows = X.bound(spark, d, X.UNIT_RUNS).select("file", "function", F.lit("B1").alias("finding"), F.col("stdout").alias("log"))
+    rows.write.format("run_logs").option("path", folder).mode("append").save()
+    return spark.read.format("run_logs").option("path", folder).load().select("file", "function", "finding", F.md5("log").alias("digest"))
+
+
 _R = f"runs AS ({X.RUNS})"
 # In these runs a place stands before the property's kind and text, but for every third run, which has its place from the state.
 _BODY = "string_split(regexp_extract(stdout, '(?s)Violated property:\\n(.*)\\n\\nVERIFICATION FAILED', 1), chr(10))"
@@ -116,7 +140,11 @@ _SWEPT = f"""{_R}, late AS (SELECT event_id, event_id % 60 = 0 AS late, CASE WHE
 verdict AS (SELECT *, CASE WHEN late THEN 'timeout' WHEN contains(stdout, 'VERIFICATION FAILED') THEN 'FAILED' WHEN contains(stdout, 'VERIFICATION SUCCESSFUL') THEN 'SUCCESSFUL' ELSE 'inconclusive' END AS sweep_status FROM late),
 swept AS (SELECT event_id, sweep_status, CASE WHEN contains(lower(stdout), 'dereference failure') THEN 'dereference' WHEN contains(lower(stdout), 'division by zero') THEN 'div-by-zero' WHEN contains(lower(stdout), 'assertion') AND sweep_status = 'FAILED' THEN 'assertion' WHEN sweep_status = 'inconclusive' THEN substr(stdout, 1, 30) ELSE '' END AS keyword FROM verdict)"""
 
+_LIVE = "CASE WHEN stdout IS NULL THEN 'skipped' WHEN contains(stdout, 'FAILED') THEN 'violation_found' WHEN contains(stdout, 'SUCCESSFUL') THEN 'no_violation_found' ELSE 'tool_error' END"
+
 PLANS = {
+    "q_live_runs": (live_status, f"SELECT file, function, CASE WHEN stdout IS NULL THEN 'absent' ELSE 'done' END AS outcome, CASE WHEN stdout IS NOT NULL THEN returncode END AS returncode, length(stdout) AS n_chars, {_LIVE} AS status, {_LIVE} AS whole_status FROM ({X.UNIT_RUNS}) r"),
+    "q_run_logs": (run_logs, f"SELECT file, function, 'B1' AS finding, md5(stdout) AS digest FROM ({X.UNIT_RUNS}) r"),
     "q_verifier_status": (verifier_status, f"WITH {_R} SELECT event_id, {_STATUS} AS status FROM runs"),
     "q_direct_status": (direct_status, f"WITH {_R} SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'timeout' WHEN {_TOOL} THEN CASE WHEN contains(stdout, 'Cannot open file') OR contains(lower(stdout), 'not supported') THEN 'unsupported_case' ELSE 'tool_error' END WHEN ({_BASIC}) = 'no_violation_found' AND {_VCC} = 0 THEN 'no_vcc_generated' ELSE {_BASIC} END AS status FROM runs"),
     "q_vcc": (vcc, f"WITH {_R} SELECT event_id, {_VCC} AS vcc FROM runs"),
