@@ -333,9 +333,15 @@ def test_http_analyzer(spark):
         assert asked[0][1]["input"] == "p" and asked[0][1]["temperature"] == 0 and asked[0][0]["Authorization"] == "Bearer k"
         with pytest.raises(RuntimeError):
             analyzers.build_analyzer("anthropic", key="k", url=at).ask("p")
-        assert asked[2][1]["messages"][0]["content"] == "p"
+        assert asked[2][1]["messages"][0]["content"] == "p" and asked[2][1]["system"] == prompts.SYSTEM and "text" not in asked[2][1]
+        held = asked[0][1]["text"]["format"]
+        assert asked[0][1]["instructions"] == prompts.SYSTEM and held["strict"] and held["schema"] == prompts.ANSWER_SCHEMA
+        item = held["schema"]["properties"]["findings"]["items"]
+        assert set(item["required"]) == {"finding_type", "category", "explanation", "verifiable", "metadata"} and set(item["properties"]["category"]["enum"]) == {*V.FORMAL, *V.SMELLS}
         units = spark.createDataFrame([("u", "p")], "unit_key string, prompt string")
         assert analyzers.build_analyzer("ollama", url=at).analyze(units).first().response == '{"output_text": "yes"}'
+        last = asked[-1][1]
+        assert last["response_format"] == {"type": "json_object"} and [m["role"] for m in last["messages"]] == ["system", "user"]
         server.shutdown()
 
 

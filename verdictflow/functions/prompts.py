@@ -5,6 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .verifier import FORMAL, SMELLS
+
+SYSTEM = f"""You examine single Python functions. For each operation that may fail, find out which values reach it,
+which guards protect it, and whether some input that the function admits still makes it fail; report only such
+operations. Report smells of the function apart from these.
+Faults: {', '.join(FORMAL)}; they are verifiable. Smells: {', '.join(SMELLS)}; they are not.
+Answer with one JSON object and nothing else: {{"findings": [...]}}, an empty list if there is nothing to report."""
+
+
+def _object(**fields) -> dict:
+    return {"type": "object", "additionalProperties": False, "properties": fields, "required": list(fields)}
+
+
+_WORD = {"type": "string"}
+#: The answer's shape, as the providers' interfaces take it: every field is required and no other is allowed.
+ANSWER_SCHEMA = _object(
+    findings={"type": "array", "items": _object(finding_type=_WORD | {"enum": ["suspected_bug", "smell_heuristic"]}, category=_WORD | {"enum": [*FORMAL, *SMELLS]}, explanation=_WORD, verifiable={"type": "boolean"}, metadata=_object(expression=_WORD))}
+)
+
 
 def assertion_lines(source: Column) -> Column:
     """Lines that assert or raise AssertionError, with their number within the function."""

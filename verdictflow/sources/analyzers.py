@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 from urllib import error, request
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions.findings import DEFAULT_MODELS
+from ..functions.prompts import ANSWER_SCHEMA, SYSTEM
 
 # Addresses of the providers, and the codes after which a call is tried again.
 URLS = {
@@ -46,12 +47,16 @@ class ReplayAnalyzer:
         return units.join(self.responses, "unit_key", "left")
 
 
-def _body(backend: str, model: str, system: str, prompt: str) -> dict:
+def _body(backend: str, model: str, system: str, prompt: str, schema: dict | None) -> dict:
+    """A request in the backend's own layout; where the interface takes a schema or a JSON mode, the answer is held to it."""
+    common = {"model": model, "temperature": 0}
     if backend == "openai":
-        return {"model": model, "temperature": 0, "instructions": system, "input": prompt}
+        held = {"text": {"format": {"type": "json_schema", "name": "findings", "schema": schema, "strict": True}}} if schema else {}
+        return {**common, "instructions": system, "input": prompt, **held}
     if backend == "anthropic":
-        return {"model": model, "temperature": 0, "max_tokens": MAX_TOKENS, "system": system, "messages": [{"role": "user", "content": prompt}]}
-    return {"model": model, "temperature": 0, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
+        return {**common, "max_tokens": MAX_TOKENS, "system": system, "messages": [{"role": "user", "content": prompt}]}
+    held = {"response_format": {"type": "json_object"}} if schema else {}
+    return {**common, "stream": False, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}], **held}
 
 
 def _headers(backend: str, key: str) -> dict[str, str]:
@@ -63,7 +68,7 @@ def _headers(backend: str, key: str) -> dict[str, str]:
 class HttpAnalyzer:
     """One POST for each unit, in the executors' tasks; the answer's whole envelope is the response.
 
-    A call that fails for good fails its task. Only the openai backend tries again: `tries` times in all, after
+    The system prompt and the answer's schema go with every call. A call that fails for good fails its task. Only the openai backend tries again: `tries` times in all, after
     1, 2, ... seconds, on the codes of AGAIN and on network errors.
     """
 
@@ -71,12 +76,13 @@ class HttpAnalyzer:
     model: str
     key: str = ""
     url: str = ""
-    system: str = ""
+    system: str = SYSTEM
+    schema: dict | None = field(default_factory=lambda: ANSWER_SCHEMA)
     timeout: int = 300
     tries: int = 3
 
     def ask(self, prompt: str, wait: Callable[[float], None] = time.sleep) -> str:
-        data = json.dumps(_body(self.backend, self.model, self.system, prompt)).encode()
+        data = json.dumps(_body(self.backend, self.model, self.system, prompt, self.schema)).encode()
         call = request.Request(self.url or URLS[self.backend], data, _headers(self.backend, self.key), method="POST")
         left = self.tries if self.backend == "openai" else 1
         for turn in range(left):
