@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import bootstrap, classify, evaluation, lineage, matching, reports
+from ..sources import notes
 from . import fixtures as X
 
 TURNS = 2000
@@ -221,6 +222,16 @@ def annotation_stats(spark, d):
     return reports.stats(rows, reports.search(rows, notes, text="division"), notes)
 
 
+def notes_table(spark, d):
+    """Notes are entered, some are changed and some deleted, and the table is read again."""
+    table = notes.NotesTable(spark, lineage.shared_folder(spark, "notes"))
+    rows = _annotations(spark, d).where("case_id % 6 = 0")
+    table.upsert(rows.select("row_key", F.when(F.col("line") % 2 == 0, "confirmed").otherwise("false_positive").alias("verdict"), F.lit("seen").alias("note")))
+    gone = F.col("line") % 3 == 0
+    table.upsert(rows.where("line <> 5").select("row_key", F.when(gone, "").otherwise("confirmed").alias("verdict"), F.when(~gone, F.concat(F.lit("again "), "line")).alias("note")))
+    return table.read()
+
+
 _B = f"""cases AS ({X.CASES}), expected AS ({X.EXPECTED}), findings AS ({X.FINDINGS}), direct AS ({X.DIRECT})"""
 
 
@@ -340,5 +351,6 @@ PLANS = {
     "q_report_rows": (report_rows, f"WITH {_CLASSED} SELECT case_id AS file, rule AS pos, 'm' AS model, category AS original_category, final_class <> 'out_of_scope_finding' AS mvp_scope, CASE WHEN final_class = 'out_of_scope_finding' THEN 'category_outside_mvp' ELSE '' END AS discard_reason, CAST(CASE WHEN case_id % 2 = 0 THEN 7 ELSE 0 END AS INTEGER) AS line, CASE WHEN status IS NOT NULL THEN 'esbmc' WHEN finding_type = 'smell_heuristic' THEN 'heuristic' ELSE 'skipped' END AS validation_strategy, status AS run, final_class AS final_classification, {_TOLD} AS interpretation FROM classed"),
     "q_annotation_rows": (annotation_rows, f"WITH {_KEYED} SELECT case_id, line, row_key FROM keyed"),
     "q_annotation_search": (annotation_search, f"WITH {_KEYED} SELECT case_id, line, final_class FROM keyed WHERE lower(concat_ws(' ', model, category, final_class)) LIKE '%division%' AND case_id % 6 <> 0"),
+    "q_notes_table": (notes_table, f"WITH {_KEYED} SELECT row_key, CASE WHEN line = 5 THEN 'false_positive' ELSE 'confirmed' END AS verdict, CASE WHEN line = 5 THEN 'seen' ELSE 'again ' || CAST(line AS VARCHAR) END AS note FROM keyed WHERE case_id % 6 = 0 AND line % 3 <> 0"),
     "q_annotation_stats": (annotation_stats, f"WITH {_KEYED} SELECT count(DISTINCT model) AS models, count(*) AS rows, count(*) FILTER (WHERE case_id % 6 = 0) AS annotated, count(*) FILTER (WHERE final_class = 'llm_confirmed_by_esbmc') AS confirmed, count(*) FILTER (WHERE final_class = 'llm_false_positive') AS false_positives, count(*) FILTER (WHERE category LIKE '%division%') AS visible FROM keyed"),
 }
