@@ -234,3 +234,22 @@ def test_tables_for_people(spark):
     runs = spark.createDataFrame([("m", 0, 1.5, "r.json"), ("n", 1, 0.5, "s.json")], "model string, returncode int, elapsed_seconds double, report string")
     told = presentation.manifest(runs, "now")
     assert told["failed"] and [x["status"] for x in told["runs"]] == ["ok", "failed"]
+
+
+def test_reports_in_one_pass(spark):
+    """The same counts as case by case and category by category; one case holds a third of all findings."""
+    r = random.Random(5)
+    cases = spark.createDataFrame([(i, "abc"[i % 3] if i < 58 else None) for i in range(60)], "case_id long, model string")
+    pick = lambda: 7 if r.random() < 0.34 else r.randrange(60)
+    expected = [(c, r.choice("fg"), r.choice(["x", "y"]), True) if c % 4 else (c, "f", "clean", False) for c in [pick() for _ in range(150)]] + [(c, "f", "long", False) for c in range(0, 60, 5)]
+    kinds = [("suspected_bug", True), ("smell_heuristic", False), ("suspected_bug", False), ("llm_false_positive", False), ("out_of_scope_finding", False)]
+    found = [(pick(), r.choice("fg"), r.choice(["x", "y", "z", "long"]), *r.choice(kinds), r.choice(["violation_found", "no_violation_found", "skipped", None]), r.choice("xy")) for _ in range(600)]
+    direct = spark.createDataFrame([(pick(), r.choice("fg"), r.choice(["violation_found", "no_violation_found"]), r.choice("xy")) for _ in range(120)], "case_id long, function string, status string, property string")
+    expected = spark.createDataFrame(expected, "case_id long, function string, category string, verifiable boolean")
+    found = spark.createDataFrame(found, "case_id long, function string, category string, finding_type string, verifiable boolean, status string, property string")
+    got = {row["model"]: row for row in evaluation.report_counts(cases, expected, found, direct).collect()}
+    want = evaluation.totals(evaluation.case_counts(cases.select("case_id"), expected, found, direct).join(cases, "case_id"), ["model"]).collect()
+    assert {row["model"]: [row[c] for c in evaluation.COUNTERS] for row in want} == {m: [row[c] for c in evaluation.COUNTERS] for m, row in got.items()}
+    per = evaluation.category_counts(expected.join(cases, "case_id"), found.join(cases, "case_id"), ["model"]).collect()
+    assert sorted(((p.model or "-", p.flow, p.category, p.tp, p.fp, p.fn) for p in per)) == sorted((m or "-", flow, *c) for m, row in got.items() for flow in ("llm", "hybrid") for c in row[flow])
+    assert evaluation.report_counts(cases.limit(0), expected.limit(0), found.limit(0), direct.limit(0)).count() == 0

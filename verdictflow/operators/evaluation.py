@@ -7,7 +7,7 @@ status, property, from the verifier alone. cases: case_id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -34,12 +34,16 @@ def is_ghost():
 _KINDS = ("g_bug", "g_smell", "hallucinations", "ghosts", "out_of_scope", "confirmed", "not_confirmed", "inconclusive", "skipped", "e_bug", "e_smell", "e_clean", "e_any", "native", "is_case")
 
 
-def _kinds(rows: DataFrame, **kinds) -> DataFrame:
-    return rows.select(*KEYS, *[(kinds[k].cast("long") if k in kinds else F.lit(0).cast("long")).alias(k) for k in _KINDS])
+_SUMS = [*_KINDS, *[f"{p}_{c}" for p in "bshd" for c in ("tp", "fp", "fn")], "stray", "missed"]
 
 
-def key_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direct: DataFrame) -> DataFrame:
-    """KEYS and _KINDS: one aggregate over all inputs. A case is a row of its own, with null function and category."""
+def _kinds(rows: DataFrame, *more: str, **kinds) -> DataFrame:
+    return rows.select(*KEYS, *more, *[(kinds[k].cast("long") if k in kinds else F.lit(0).cast("long")).alias(k) for k in _KINDS])
+
+
+def key_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direct: DataFrame, by: str | None = None) -> DataFrame:
+    """KEYS and _KINDS: one aggregate over all inputs. A case is a row of its own, with null function and category, and the only one with its `by`."""
+    own = [by] if by else []
     verdict = F.when(F.col("verifiable"), confirmation(F.col("status"), F.col("property"), F.col("category")))
     told = _kinds(
         findings, g_bug=F.col("verifiable"), g_smell=is_smell(), hallucinations=F.col("finding_type") == "llm_false_positive", ghosts=is_ghost(), out_of_scope=F.col("finding_type") == "out_of_scope_finding",
@@ -48,9 +52,9 @@ def key_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direc
     bug, clean = F.col("verifiable"), F.col("category") == "clean"
     wanted = _kinds(expected, e_bug=bug, e_smell=~bug & ~clean, e_clean=clean, e_any=F.lit(True))
     native = _kinds(direct.where(F.col("status") == VIOLATION).withColumn("category", F.col("property")), native=F.lit(True))
-    known = _kinds(cases.select("case_id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("function")), is_case=F.lit(True))
-    rows = told.unionByName(wanted).unionByName(native).unionByName(known)
-    return rows.groupBy(*KEYS).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _KINDS])
+    known = _kinds(cases.select("case_id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("function"), *own), *own, is_case=F.lit(True))
+    rows = told.unionByName(wanted).unionByName(native).unionByName(known, allowMissingColumns=True)
+    return rows.groupBy(*KEYS).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _KINDS], *[F.max(c).alias(c) for c in own])
 
 
 def _matched(g: str, e: str, prefix: str) -> dict:
@@ -64,11 +68,8 @@ def _flow_counts(keys: DataFrame) -> DataFrame:
     return keys.withColumns(_matched("g_bug", "e_bug", "b") | _matched("g_smell", "e_smell", "s") | _matched("confirmed", "e_bug", "h") | _matched("native", "e_bug", "d") | {"stray": F.when(F.col("e_bug") == 0, F.col("inconclusive")).otherwise(0), "missed": F.greatest(F.col("native") - F.col("g_bug"), F.lit(0))})
 
 
-def case_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direct: DataFrame) -> DataFrame:
-    """case_id and COUNTERS, for every case: one aggregate by match key, then one by case; no joins."""
-    each = _flow_counts(key_counts(cases, expected, findings, direct))
-    sums = [*_KINDS, *[f"{p}_{c}" for p in "bshd" for c in ("tp", "fp", "fn")], "stray", "missed"]
-    out = each.groupBy("case_id").agg(*[F.sum(c).alias(c) for c in sums]).where("is_case > 0")
+def _counted(out: DataFrame) -> DataFrame:
+    """Rows with the _SUMS of a case, with its COUNTERS beside them."""
     clean, extra = (F.col("e_any") > 0) & (F.col("e_any") == F.col("e_clean")), F.col("hallucinations") + F.col("ghosts")
     has_bugs = F.col("e_bug") > 0
     out = out.withColumns({
@@ -80,9 +81,42 @@ def case_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, dire
     for flow, func in (("bug", "func"), ("hybrid", "hybrid_func"), ("direct", "direct_func")):
         tp, fp = F.col(f"{flow}_tp") > 0, F.col(f"{flow}_fp") > 0
         out = out.withColumns({f"{func}_tp": (has_bugs & tp).cast("long"), f"{func}_fn": (has_bugs & ~tp).cast("long"), f"{func}_fp": (~has_bugs & clean & fp).cast("long"), f"{func}_tn": (~has_bugs & clean & ~fp).cast("long")})
+    return out
+
+
+def case_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direct: DataFrame) -> DataFrame:
+    """case_id and COUNTERS, for every case: one aggregate by match key, then one by case; no joins."""
+    each = _flow_counts(key_counts(cases, expected, findings, direct))
+    out = _counted(each.groupBy("case_id").agg(*[F.sum(c).alias(c) for c in _SUMS]).where("is_case > 0"))
     return out.select("case_id", *[F.col(c).cast("long").alias(c) for c in COUNTERS])
 
 
+def report_counts(cases: DataFrame, expected: DataFrame, findings: DataFrame, direct: DataFrame, by: str = "model") -> DataFrame:
+    """by, COUNTERS, and what category_counts() tells as arrays llm and hybrid of (category, tp, fp, fn), in one pass.
+
+    cases has the column `by`. Every input is read once: a key's rows are added up, then a case's categories, which see
+    the sums of their case by a window, then categories by `by`. A null category counts as a blank one.
+    """
+    each = _flow_counts(key_counts(cases, expected, findings, direct, by)).withColumn("category", F.coalesce("category", F.lit("")))
+    rows = each.groupBy("case_id", "category").agg(*[F.sum(c).alias(c) for c in _SUMS], F.max(by).alias(by))
+    case = Window.partitionBy("case_id")
+    wide = rows.select("category", *[F.col(c).alias(f"own_{c}") for c in _SUMS], *[F.sum(c).over(case).alias(c) for c in _SUMS], F.max(by).over(case).alias(by), (F.row_number().over(case.orderBy("category")) == 1).alias("first"))
+    wide = _counted(wide.where("is_case > 0"))
+    own = lambda c: F.col(f"own_{c}")
+    n = lambda c: F.when(F.col("clean"), 0).otherwise(own(f"b_{c}") + own(f"s_{c}"))
+    told = F.when(F.col("clean"), own("g_bug") + own("g_smell")).otherwise(own("b_fp") + own("s_fp")) + own("hallucinations") + own("ghosts")
+    flows = {"llm": (n("tp"), told, n("fn")), "hybrid": (own("h_tp"), own("h_fp") + own("stray"), own("h_fn"))}
+    parts = {f"{flow}_{c}_": v for flow, vs in flows.items() for c, v in zip(("tp", "fp", "fn"), vs)}
+    small = wide.groupBy(by, "category").agg(*[F.sum(F.when(F.col("first"), F.col(c)).otherwise(0)).alias(c) for c in COUNTERS], *[F.sum(v).alias(k) for k, v in parts.items()])
+
+    def listed(flow: str) -> Column:
+        tp, fp, fn = (F.col(f"{flow}_{c}_") for c in ("tp", "fp", "fn"))
+        cell = F.struct("category", tp.cast("long").alias("tp"), fp.cast("long").alias("fp"), fn.cast("long").alias("fn"))
+        return F.sort_array(F.collect_list(F.when(tp + fp + fn > 0, cell))).alias(flow)
+
+    return small.groupBy(by).agg(*[F.sum(c).cast("long").alias(c) for c in COUNTERS], listed("llm"), listed("hybrid"))
+
+
 def missing_file_counts(cases: DataFrame, expected: DataFrame) -> DataFrame:
     """Counters of cases whose file is missing: all that was expected is a false negative."""
     per = expected.groupBy("case_id").agg(F.count_if("verifiable").alias("b"), F.count_if(~F.col("verifiable") & (F.col("category") != "clean")).alias("s"))

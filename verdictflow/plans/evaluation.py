@@ -136,11 +136,7 @@ def hallucination_table(spark, d):
 
 def benchmark_report(spark, d):
     """The report of every model, flattened where JSON writers differ."""
-    models = X.bound(spark, d, X.CASES)
-    cases, expected, findings, direct = _inputs(spark, d)
-    counts = evaluation.totals(evaluation.case_counts(cases, expected, findings, direct).join(models, "case_id"), ["model"])
-    per = evaluation.category_counts(expected, findings, ["model"])
-    rows = reports.benchmark_report(counts, per, backend="openai").select("report.*")
+    rows = reports.model_reports(evaluation.report_counts(*_inputs(spark, d)), backend="openai").select("report.*")
     m = "metrics.bugs_hybrid_pipeline"
     cells = F.array_join(F.transform(F.map_entries("per_category_hybrid"), lambda e: F.concat_ws(":", e["key"], e["value"]["tp"].cast("string"), e["value"]["fp"].cast("string"), e["value"]["fn"].cast("string"))), ";")
     return rows.select("model", "prompt_mode", "bound", F.col(f"{m}.f1").alias("hybrid_f1"), F.col(f"{m}.function_mcc").alias("hybrid_mcc"), F.col(f"{m}.function_tn").alias("hybrid_tn"), F.col(f"{m}.formal_confirmation_rate").alias("confirmed"), F.col(f"{m}.noise_reduction_rate").alias("noise"), F.col("hallucinations.rate").alias("hallucinations"), F.col("out_of_scope_findings.count").alias("out_of_scope"), cells.alias("per_category_hybrid"))

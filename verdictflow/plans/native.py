@@ -73,9 +73,7 @@ def lint_native(spark, d):
 
 def _benchmark_files(spark, d):
     """(file, text): every model's benchmark report as JSON, a manifest, and a file that only looks like a report."""
-    cases, expected, findings, direct = E._inputs(spark, d)
-    counts = evaluation.totals(evaluation.case_counts(cases, expected, findings, direct).join(X.bound(spark, d, X.CASES), "case_id"), ["model"])
-    told = reports.benchmark_report(counts, evaluation.category_counts(expected, findings, ["model"]), backend="openai")
+    told = reports.model_reports(evaluation.report_counts(*E._inputs(spark, d)), backend="openai")
     written = told.select("model", F.to_json("report").alias("text"))
     named = F.explode(F.array(F.concat(F.lit("benchmark_"), "model", F.lit(".json")), F.concat(F.lit("report_"), "model", F.lit(".json")), F.lit("benchmark_matrix_manifest.json")))
     return written.select(named.alias("file"), "text")
