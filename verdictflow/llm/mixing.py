@@ -182,19 +182,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     decided = reduce(DataFrame.unionByName, parts).withColumn("copies", F.col("base") + F.col("p").cast("int"))
     decided = decided.withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
     out = attach_bounded(decided, targets, ["key"])
-    return out.select("doc_id", "uid", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "uid", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that the mix takes, each as often as it is taken, with the columns of docs.
 
-    Rows that repeat id and text share their number of copies; each stands for its own share of it, and one task deals
-    it out to them.
+    Rows that repeat id, text and source share their number of copies; each stands for its own share of it, and one task
+    deals it out to them in the order of a hash of the whole row, so that reruns agree where their other columns differ.
     """
+    key = ["_id", "_uid", "_src"]
     text_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    chosen = mix(docs, id_col, text_col, source_col).groupBy(text_id("doc_id").alias("_id"), F.col("uid").alias("_uid")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
-    same = Window.partitionBy("_id", "_uid").orderBy(F.lit(0))
-    rows = docs.select(F.struct("*").alias("_row"), text_id(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_uid"))
-    joined = rows.join(chosen.where("_sum > 0"), ["_id", "_uid"]).withColumn("_k", F.row_number().over(same))
+    from_source = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    chosen = mix(docs, id_col, text_col, source_col).groupBy(text_id("doc_id").alias("_id"), F.col("uid").alias("_uid"), from_source("source").alias("_src")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
+    same = Window.partitionBy(*key).orderBy(F.when(F.col("_n") > 1, F.xxhash64(F.to_json("_row"))))
+    rows = docs.select(F.struct("*").alias("_row"), text_id(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_uid"), from_source(source_col).alias("_src"))
+    joined = rows.join(chosen.where("_sum > 0"), key).withColumn("_k", F.row_number().over(same))
     copies = F.floor(F.col("_sum") / F.col("_n")) + F.when(F.col("_k") <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
     return joined.withColumn("_copies", copies.cast("int")).where("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
