@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verdictflow.llm import decontamination, exact_dedup, html_extract, lang_id, line_dedup, mixing, quality, sharding, simhash, warc
+from verdictflow.llm import _components, decontamination, exact_dedup, html_extract, lang_id, line_dedup, mixing, quality, sharding, simhash, warc
 from verdictflow.llm._components import components
 from verdictflow.llm._shared import held_out, scratch_path
 
@@ -300,6 +301,29 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(1, 201)} | {500: 400, 600: 400}
 
 
+def test_components_of_stars_take_no_turn(spark, monkeypatch):
+    """What is settled is seen by one aggregate; a chain, or two links of one node, are not."""
+    turns, star = [], _components._star
+    monkeypatch.setattr(_components, "_star", lambda e, large: turns.append(large) or star(e, large))
+    got = lambda edges: {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got([(2, 1), (1, 3), (9, 8), (9, 8), (5, 5)]) == {2: 1, 3: 1, 9: 8} and not turns
+    assert got([]) == {} and not turns
+    assert got([(3, 2), (2, 1)]) == {3: 1, 2: 1} and len(turns) == 2
+    assert got([(3, 2), (3, 1)]) == {3: 1, 2: 1} and len(turns) == 4
+
+
+def test_common_shingles_are_small_on_the_driver(spark):
+    """Two numbers a shingle and their sort, no Python objects; sorted, with the counts of all texts."""
+    df = spark.range(600).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda x: F.concat(F.lit("w"), x + F.col("id") * 500))).alias("text"))
+    simhash.common_shingles(df.limit(2), 0.8, "text", 0)  # what is loaded once does not count
+    tracemalloc.start()
+    token, n = simhash.common_shingles(df, 0.8, "text", 0)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(token) > 60_000 and (np.diff(token) > 0).all() and n.sum() > 100_000
+    assert peak < 80 * len(token)
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_table(docs).collect()
     data = _texts()

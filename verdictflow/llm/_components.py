@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import attach, cut, uncut
+from ._shared import attach, cut, release, uncut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,20 +25,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return joined.select(end.alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges with a > b are stars: no node leads to two others, or to one that leads on."""
+    side = lambda node, up: F.struct(F.col(node).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = edges.select(F.inline(F.array(side("a", 1), side("b", 0)))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
+
+
 def components(edges: DataFrame, most_turns: int = 60) -> DataFrame:
     """(a, b) edges of longs to (node, component), component being the smallest node reachable.
 
     Each turn is cut at the shared checkpoint folder; turns grow with the logarithm of the longest
-    path. Hot nodes are spread by salted joins, and their minima are combined before the shuffle.
+    path. Hot nodes are spread by salted joins, and their minima are combined before the shuffle. The
+    driver's garbage is collected after each turn: it keeps account of every stage, task and plan.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
     for _ in range(most_turns):
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
+        if _settled(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = seen
         large = cut(_star(edges, True))
         before, edges = edges, cut(_star(large, False))
         uncut(before, large)
+        release(edges.sparkSession)
     raise RuntimeError(f"components did not settle in {most_turns} turns")

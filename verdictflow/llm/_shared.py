@@ -56,6 +56,12 @@ def uncut(*frames: DataFrame) -> None:
                     delete_path(df.sparkSession, file.get())
 
 
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver: Spark deletes the shuffle files that nothing reads again, and the heap shrinks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of at most BATCH_BYTES for what is computed inside; the caller's setting comes back."""

@@ -24,18 +24,17 @@ its fingerprint links it; extra columns are ignored; an empty table gives an emp
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import attach, attach_bounded, cut, frugal, small_batches, uncut
+from ._shared import attach, attach_bounded, cut, frugal, release, small_batches, uncut
 
 SEED = 42
 TILE = 1024
@@ -242,12 +241,6 @@ def _needs(share: float, n: np.ndarray, m: np.ndarray, shared: np.ndarray) -> np
     return shared * (1 + share) >= share * (n + m) - 1e-6
 
 
-def release(spark: SparkSession) -> None:
-    """Collect garbage on the driver, so that Spark deletes the shuffle files that nothing reads again."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _node(w: list[bytes]) -> int:
     return signed(xxhash.xxh3_64_intdigest(b" ".join(w)))
 
@@ -310,9 +303,12 @@ def common_shingles(docs: DataFrame, share: float, text_col: str, rare: int = RA
     levels = counts.groupBy(F.floor(F.log2("n") * 8).alias("level")).count().orderBy(F.col("level").desc()).collect()  # a few hundred
     total = np.cumsum([r["count"] for r in levels])
     least = next((r["level"] + 1 for r, t in zip(levels, total) if t > most), -1)
-    got = counts.where(F.floor(F.log2("n") * 8) >= least).toPandas().sort_values("token")
+    # As Arrow the driver holds two numbers a shingle, 16 MB at most; rows of Python objects would be many times that.
+    got = counts.where(F.floor(F.log2("n") * 8) >= least).select("token", "n").toArrow()
     uncut(counts)
-    return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    token, n = got["token"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
 def _parities(s: np.ndarray, classes: int) -> bytes:
@@ -596,6 +592,7 @@ def _placed(docs: DataFrame, share: float, id_col: str, text_col: str) -> DataFr
         own = rows.groupBy("doc_id", "t", "node").agg(F.count("*").alias("n"))
         out = cut(own.join(found.hint("merge"), "node", "left").select("doc_id", "t", "n", F.coalesce("component", "node").alias("component")))
     uncut(rows, found)
+    release(docs.sparkSession)
     return out
 
 
